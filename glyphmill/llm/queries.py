@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.decontaminate import contamination
+from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
+from glyphmill.llm.token_count import count_tokens
 from glyphmill.llm.url_filter import judge_urls
 
 #: Rules of the page filter: verdict, host, path.
@@ -25,6 +28,10 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -34,6 +41,10 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
 
+def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
