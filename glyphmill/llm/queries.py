@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.llm import language, quality
 from glyphmill.llm.decontaminate import contamination
 from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
@@ -23,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -41,6 +47,11 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
 
+def op9_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+
+
 def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
