@@ -13,6 +13,7 @@ from glyphmill.llm.decontaminate import contamination
 from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
 from glyphmill.llm.token_count import count_tokens
+from glyphmill.llm.topk import top_k
 from glyphmill.llm.url_filter import judge_urls
 
 #: Rules of the page filter: verdict, host, path.
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -91,6 +96,17 @@ FROM fit JOIN h2 USING (host)
 """
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -110,4 +126,4 @@ FROM docs LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL}
+    return {"op1_dual_tree_topk": OP1_SQL, "op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL}
