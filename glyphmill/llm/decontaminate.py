@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphmill.llm.shared import store
+from glyphmill.llm.shared import BROADCAST_ROWS, small, store
 
 #: Words of a window, rarest words of a window whose postings are intersected.
 WINDOW, RAREST = 10, 2
-#: Tables of more rows than this are never broadcast.
-BROADCAST_ROWS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,11 +32,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (a stored table) with a broadcast hint if a count shows it to be small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def positions(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, pos, term of every word; rows without words vanish."""
     return docs.select("doc_id", F.posexplode(words(F.col(text))).alias("pos", "term"))
