@@ -13,6 +13,7 @@ from glyphmill.llm.decontaminate import contamination
 from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
 from glyphmill.llm.simhash import near_duplicates
+from glyphmill.llm.suffix_dedup import deduplicate
 from glyphmill.llm.token_count import count_tokens
 from glyphmill.llm.topk import top_k
 from glyphmill.llm.url_filter import judge_urls
@@ -34,6 +35,10 @@ def op2_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
