@@ -18,7 +18,8 @@ from glyphmill.llm.shared import BROADCAST_ROWS, small, store
 
 #: Words of a window, rarest words of a window whose postings are intersected.
 WINDOW, RAREST = 10, 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: all of ASCII but digits and (lower-cased) letters.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,7 +30,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of words of a text; empty for null."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def positions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,7 +79,7 @@ def _starts(c: Column, text_words: Column) -> Column:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Every row of `docs` (doc_id, text) with n_words and `found`: array of struct(item_id, start, w).
+    """Every row of `docs` (doc_id, text and more) with _n_words and _found: array of struct(item_id, start, w).
 
     `start` is the document word at which an occurring window begins, `w` its words. Items without
     words never match, null texts have no words. Documents that share an id, or have none, are each
@@ -87,13 +88,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     items = item_table(items, window)
     rare = anchors(items, term_counts(docs, items), rarest)
     cand = store(candidates(docs, rare), "candidates").join(small(items), "item_key")
-    lists = store(cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias("cand")), "aligned")
+    lists = store(cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias("_cand")), "aligned")
     lists = lists.withColumnRenamed("doc_id", "_doc")
-    out = docs.select("doc_id", "text").join(small(lists, BROADCAST_ROWS // 10), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    out = out.select("doc_id", "text", words(F.col("text")).alias("_w"), "cand")
-    ranges = F.flatten(F.transform("cand", lambda c: F.transform(_starts(c, F.col("_w")), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
+    out = docs.join(small(lists, BROADCAST_ROWS // 10), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    out = out.withColumn("_w", words(F.col("text")))
+    ranges = F.flatten(F.transform("_cand", lambda c: F.transform(_starts(c, F.col("_w")), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
     empty = F.array().cast("array<struct<item_id:string,start:int,w:int>>")
-    return out.select("doc_id", "text", F.size("_w").cast("long").alias("n_words"), F.when(F.col("cand").isNull(), empty).otherwise(ranges).alias("found"))
+    return out.withColumns({"_n_words": F.size("_w").cast("long"), "_found": F.when(F.col("_cand").isNull(), empty).otherwise(ranges)}).drop("_w", "_cand")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` in which no window of an item occurs. All columns stay."""
+    return phrase_matches(docs, items, window).filter(F.size("_found") == 0).drop("_n_words", "_found")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms: int = 3) -> DataFrame:
@@ -115,10 +121,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     n_hit: words inside any occurring window. items_sha256: of the comma-joined ids, sorted as strings,
     of items with occurring windows (items without id count as hits but are not listed).
     """
-    out = phrase_matches(docs, items, window, rarest)
-    hits = F.size(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["w"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda x: x["item_id"]), lambda i: i.isNotNull())))
-    out = out.select("doc_id", "n_words", hits.cast("long").alias("n_hit"), ids.alias("_ids"))
+    out = phrase_matches(docs.select("doc_id", "text"), items, window, rarest)
+    hits = F.size(F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["w"] - 1)))))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("_found", lambda x: x["item_id"]), lambda i: i.isNotNull())))
+    out = out.select("doc_id", F.col("_n_words").alias("n_words"), hits.cast("long").alias("n_hit"), ids.alias("_ids"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
