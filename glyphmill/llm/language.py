@@ -100,6 +100,18 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
     return solve(packed, [r["lang"] for r in got], landmarks, ridge)
 
 
+def _predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    letter = re.compile(r"[^\W\d_]").search
+    langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+    for at in range(0, len(column), BATCH):
+        texts = [(at + i, t) for i, x in enumerate(column.slice(at, BATCH)) if (t := x.as_py()) and letter(t)]
+        if texts and model.langs:
+            found, best = model.predict([t for _, t in texts])
+            for (i, _), name, s in zip(texts, found, best):
+                langs[i], scores[i] = name, s
+    return langs, scores
+
+
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
@@ -110,16 +122,21 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*sent.value)
-        letter = re.compile(r"[^\W\d_]").search
         for b in batches:
-            langs, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            for at in range(0, b.num_rows, BATCH):
-                texts = [(at + i, t) for i, x in enumerate(b.column(2).slice(at, BATCH)) if (t := x.as_py()) and letter(t)]
-                if texts and model.langs:
-                    found, best = model.predict([t for _, t in texts])
-                    for (i, _), name, s in zip(texts, found, best):
-                        langs[i], scores[i] = name, s
+            langs, scores = _predict(model, b.column(2))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text gets a language; those that would be `und` go. All columns stay."""
+    sent, place = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights)), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageModel(*sent.value)
+        for b in batches:
+            yield b.filter(pa.array(np.array([x != UNKNOWN for x in _predict(model, b.column(place))[0]], bool)))
+
+    return docs.mapInArrow(run, docs.schema)

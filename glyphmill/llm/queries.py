@@ -36,7 +36,7 @@ def op2_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ LENGTH, SEED = 50, 16
 LIST_SEEDS, PACKED, SORTED = 1_500_000, 1_000_000, 4_000
 #: Seeds with more surroundings than this hand on each string of their surroundings by itself.
 HOT = 4_000
+#: Tables of spans or seeds of more bytes than this are never broadcast.
+BROADCAST_BYTES = 32 << 20
 _CHUNK = 1 << 19
 
 
@@ -335,39 +338,68 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> Data
     known = shared_seeds(single, lists, length, k).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     known = store(known, "seeds")
     width = known.agg(F.coalesce(F.sum(8 * F.size("seeds")), F.lit(0)).alias("b")).first()["b"]
-    asked = F.broadcast(known) if width <= 32 << 20 else known
+    asked = F.broadcast(known) if width <= BROADCAST_BYTES else known
     found = store(candidates(docs.filter(size >= length).join(asked, "doc_id").select("doc_id", "text", "seeds"), length, k, lists), "around")
     every = spans(found, length).unionAll(copies.select("doc_id", F.lit(0).alias("start"), "size"))
     return store(every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "spans")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = SEED, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary) or, for `digest`, kept_sha256, of every row.
+def _with_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """`docs` (doc_id, text and more) with the column _spans, null where nothing is removed."""
+    found = repeated_spans(docs.select("doc_id", "text"), length, k)
+    n = found.agg(F.coalesce(F.sum(16 + 8 * F.size("spans")), F.lit(0)).alias("b")).first()["b"]
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    return docs.join(F.broadcast(found) if n <= BROADCAST_BYTES else found, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+
+
+def cut(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal runs removed)."""
+    if not spans.is_valid or not len(spans):
+        return text, 0, 0
+    start, size = (spans.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    _, start, size = _merge(np.zeros(len(start), np.int64), start, size)
+    edge = [0, *np.stack([start, start + size], 1).ravel().tolist(), len(text)]
+    return b"".join(text[i:j] for i, j in zip(edge[::2], edge[1::2])), int(size.sum()), len(start)
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs`.
 
     A byte goes if a string of `length` bytes over it also starts in a document with a smaller id;
     overlaps count, and strings are judged on the input. Null text counts as empty. Ids tell documents
     apart: repeated rows are cut alike and do not repeat each other; rows without id are never cut.
     """
-    found = repeated_spans(docs.select("doc_id", "text"), length, k)
-    n = found.agg(F.coalesce(F.sum(16 + 8 * F.size("spans")), F.lit(0)).alias("b")).first()["b"]
-    rows = docs.select("doc_id", "text").join(F.broadcast(found) if n <= 32 << 20 else found, "doc_id", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for x, got in zip(b.column(1), b.column(2)):
-                text, removed, runs = _bytes(x), 0, 0
-                if got.is_valid and len(got):
-                    start, size = (got.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-                    _, start, size = _merge(np.zeros(len(start), np.int64), start, size)
-                    removed, runs = int(size.sum()), len(start)
-                    edge = [0, *np.stack([start, start + size], 1).ravel().tolist(), len(text)]
-                    kept = b"".join(text[i:j] for i, j in zip(edge[::2], edge[1::2]))
-                else:
-                    kept = text
-                for column, v in zip(out, (len(text), removed, runs, hashlib.sha256(kept).hexdigest() if digest else kept)):
+            for x, spans in zip(b.column(1), b.column(2)):
+                text = _bytes(x)
+                kept, removed, runs = cut(text, spans)
+                for column, v in zip(out, (len(text), removed, runs, hashlib.sha256(kept).hexdigest())):
                     column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
-            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, k)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
+    """`docs` with what `deduplicate` leaves of each text (and n_chars, if there, counted anew).
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
+    Characters that a cut splits go. Rows of which nothing is left go; rows that had no text stay.
+    """
+    names, place = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for x, spans in zip(b.column(place), b.column(len(names))):
+                texts.append(cut(_bytes(x), spans)[0].decode("utf-8", "ignore") if spans.is_valid else x.as_py())
+            gone = pa.array([bool(s.is_valid) and not t for s, t in zip(b.column(len(names)), texts)], pa.bool_())
+            cols = [pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(names))]
+            yield pa.record_batch(cols, names).filter(pa.compute.invert(gone))
+
+    out = _with_spans(docs, length, k).mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
