@@ -19,36 +19,32 @@ def collection_suffixes(symbols: np.ndarray, lengths: np.ndarray, most: int) ->
     suffixes are ordered by string.
     """
     n = len(lengths)
-    text = np.zeros((n, symbols.shape[1] + 1), np.uint16)
-    text[:, 1:] = symbols.astype(np.uint16) + 1  # column o + 1 holds symbol o, column 0 the end mark
+    kind = np.uint8 if symbols.max(initial=0) < 255 else np.uint16
+    text = np.zeros((n, symbols.shape[1] + 1), kind)
+    text[:, 1:] = symbols.astype(kind) + kind(1)  # column o + 1 holds symbol o, column 0 the end mark
     width, flat = text.shape[1], text.ravel()
-    empty_string, empty_offset = np.arange(n), lengths.astype(np.int64)
-    string, offset = empty_string, empty_offset
+    empty = (np.arange(n) * width + lengths).astype(np.int64 if n * width > 1 << 31 else np.int32)
+    place = empty  # string * width + offset of every suffix, in order
     lcp = np.zeros(n, np.uint8)
-    bwt = flat[string * width + offset]
+    bwt = flat[place]
     fresh = np.ones(n, bool)  # suffixes of the last round, whose symbol in front is inserted now
     for _ in range(int(lengths.max(initial=0))):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]  # nothing stands in front of whole strings
+        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]  # nothing stands in front of whole strings
         new = fresh[order]
         longer = np.zeros(len(order), np.uint8)
         longer[~new] = lcp[n:]  # suffixes that were there before keep their order and number
-        at = np.flatnonzero(new | np.r_[False, new[:-1]])
-        at = at[at > 0]
+        at = np.flatnonzero(new[1:] | new[:-1]) + 1
         p, q = order[at - 1], order[at]
         same = bwt[p] == bwt[q]
         longer[at] = 0
         at, p, q = at[same], p[same], q[same]
         if len(at):
             between = np.minimum.reduceat(np.append(lcp, np.uint8(0)), np.stack([p + 1, q + 1], 1).ravel())[::2]
-            longer[at] = np.minimum(between + 1, most)
-        if len(order):
-            longer[0] = 0
-        string = np.concatenate([empty_string, string[order]])
-        offset = np.concatenate([empty_offset, offset[order] - 1])
+            longer[at] = np.minimum(between, most - 1) + np.uint8(1)
+        place = np.concatenate([empty, place[order] - 1])
         lcp = np.concatenate([np.zeros(n, np.uint8), longer])
-        bwt = flat[string * width + offset]
+        bwt = flat[place]
         fresh = np.concatenate([np.zeros(n, bool), new])
         if not new.any():
             break
-    return string, offset, lcp, bwt
+    return place // width, place % width, lcp, bwt

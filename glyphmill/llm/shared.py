@@ -64,6 +64,17 @@ def _cleanup() -> None:
             pass
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id's text leaves remainder 2 modulo 4; false for null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

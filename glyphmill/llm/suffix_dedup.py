@@ -22,26 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.bwt import collection_suffixes
-from glyphmill.llm.shared import small, store
+from glyphmill.llm.shared import fresh, small, store
 
 #: Length of a repeat and of a seed, both in bytes.
 LENGTH, SEED = 50, 16
 #: Seeds that a packed list is meant to hold, texts' seeds of one packing, surroundings sorted together.
 LIST_SEEDS, PACKED, SORTED = 1_500_000, 1_000_000, 4_000
-#: Seeds with more surroundings than this hand on each string of their surroundings by itself.
-HOT = 4_000
+#: Surroundings that are settled in one go.
+PART = 20_000
+#: Seeds of more documents than this (or than a millionth of all) hand on each of their strings by itself.
+HOT = 32_000
 #: Tables of spans or seeds of more bytes than this are never broadcast.
 BROADCAST_BYTES = 32 << 20
 _CHUNK = 1 << 19
 
 
-def seeds(text: np.ndarray, length: int = LENGTH, k: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the winnowed seeds: the leftmost least k-gram of every string of `length` bytes.
+def seeds(text: np.ndarray, length: int = LENGTH, k: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of each winnowed seed and of the strings of `length` bytes whose leftmost least
+    k-gram it is: those that start at `first` to `last`.
 
-    Which k-gram is picked depends on the string alone, so equal strings have equal seeds in equal places.
+    Every string has one seed, which depends on the string alone: equal strings have equal seeds in
+    equal places.
     """
     if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, n, power = text.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     while n < k:
         h = h[:-n] * np.uint64(power) + h[n:]
@@ -58,10 +62,10 @@ def seeds(text: np.ndarray, length: int = LENGTH, k: int = SEED) -> tuple[np.nda
             least, n = np.minimum(least[:-n], least[n:]), 2 * n
         if n < window:
             least = np.minimum(least[: n - window], least[window - n :])
-        at = (least & low).astype(np.int64)
-        found.append(first + at[np.r_[True, at[1:] != at[:-1]]])
-    at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-    return at, h[at]
+        found.append(first + (least & low).astype(np.int64))
+    at = np.concatenate(found) if len(found) > 1 else found[0]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return h[at[first]], first, np.r_[first[1:], len(at)] - 1
 
 
 def _bytes(x: pa.Scalar) -> bytes:
@@ -86,9 +90,9 @@ def _ties(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def shared_seeds(docs: DataFrame, lists: int, length: int, k: int) -> DataFrame:
+def shared_seeds(docs: DataFrame, lists: int, hot: int, length: int, k: int) -> DataFrame:
     """doc_id, seed: seeds of each document that other documents also have (never too few; now and then
-    one too many, where 32-bit hashes in a list collide)."""
+    one too many, where 32-bit hashes in a list collide). Without doc_id: seeds of over `hot` documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -96,29 +100,33 @@ def shared_seeds(docs: DataFrame, lists: int, length: int, k: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             doc = np.concatenate([np.full(len(h), d) for d, h in held])
             h = np.concatenate([h for _, h in held])
-            seed = ((h >> np.uint64(32)) % np.uint64(lists)).astype(np.int64) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            seed = _seed(h, lists)
             order, group = _ties(seed, doc)
             seed, doc = seed[order], doc[order]
             first = np.r_[True, group[1:] != group[:-1]]
             several = np.maximum.reduceat(doc, np.flatnonzero(first)) != doc[first]
             inside = several[group]  # known to be shared without asking other packings
-            rows = [(lists + int(seed[0] % lists), *row(seed[inside], doc[inside], True))] if inside.any() else []
+            rows = [(lists + int(seed[0] % lists), *row(seed[inside], doc[inside], None))] if inside.any() else []
+            many = np.diff(np.r_[np.flatnonzero(first), len(seed)])  # rows are distinct (seed, document) pairs, but for repeats in a document
             seed, doc = seed[first], doc[first]
             number = seed >> 32
             cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             for a, b in zip(cuts, np.r_[cuts[1:], len(seed)]):
-                rows.append((int(number[a]), *row(seed[a:b], doc[a:b])))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["list", "n", "seeds", "docs"])
+                rows.append((int(number[a]), *row(seed[a:b], doc[a:b], many[a:b])))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["list", "n", "seeds", "docs", "many"])
 
-        def row(seed: np.ndarray, doc: np.ndarray, whole: bool = False) -> tuple[int, bytes, bytes]:
+        def row(seed: np.ndarray, doc: np.ndarray, many: np.ndarray | None) -> tuple[int, bytes, bytes, bytes | None]:
             by_doc = np.argsort(doc, kind="stable")
             seed, doc = seed[by_doc], doc[by_doc]
-            return len(seed), (seed.astype("<i8") if whole else (seed & 0xFFFFFFFF).astype("<u4")).tobytes(), _pack(doc)
+            if many is None:
+                return len(seed), seed.astype("<i8").tobytes(), _pack(doc), None
+            return len(seed), (seed & 0xFFFFFFFF).astype("<u4").tobytes(), _pack(doc), _pack(many[by_doc])
 
         size = 0
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1)):
-                _, h = seeds(np.frombuffer(_bytes(x), np.uint8), length, k)
+                h, _, _ = seeds(np.frombuffer(_bytes(x), np.uint8), length, k)
                 if len(h):
                     held.append((doc, h))
                     size += len(h)
@@ -132,11 +140,13 @@ def shared_seeds(docs: DataFrame, lists: int, length: int, k: int) -> DataFrame:
         number, parts = None, []
 
         def shared() -> Iterator[pa.RecordBatch]:
-            seed, doc = (np.concatenate(c) for c in zip(*parts))
+            seed, doc, many = (np.concatenate(c) for c in zip(*parts))
             if number < lists:
                 order, group = _ties(seed, doc)
                 seed, doc = seed[order], doc[order]
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                often = seed[first[np.add.reduceat(many[order], first) > hot]]
+                yield pa.record_batch([pa.nulls(len(often), pa.int64()), pa.array(often)], ["doc_id", "seed"])
                 keep = (np.maximum.reduceat(doc, first) != doc[first])[group]
                 seed, doc = seed[keep], doc[keep]
             for i in range(0, len(seed), 100_000):
@@ -150,31 +160,25 @@ def shared_seeds(docs: DataFrame, lists: int, length: int, k: int) -> DataFrame:
                 number = row["list"]
                 # lists from `lists` on hold whole seeds that are known to be shared, the others 32 bits each
                 seed = np.frombuffer(row["seeds"], "<i8") if number >= lists else np.frombuffer(row["seeds"], "<u4").astype(np.int64) | number << 32
-                parts.append((seed, _unpack(row["docs"], row["n"])))
+                many = _unpack(row["many"], row["n"]) if number < lists else np.zeros(row["n"], np.int64)
+                parts.append((seed, _unpack(row["docs"], row["n"]), many))
         if parts:
             yield from shared()
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "list long, n int, seeds binary, docs binary")
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "list long, n int, seeds binary, docs binary, many binary")
     return packed.repartition("list").sortWithinPartitions("list").mapInArrow(compare, "doc_id long, seed long")
 
 
-def _surroundings(rows: list[tuple[int, np.ndarray, np.ndarray, bytes]], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(seed, doc, start, size, bytes as padded rows) of the seeds at these positions."""
-    side, widest = length - k, 2 * length - k
-    seed, doc = np.concatenate([r[1] for r in rows]), np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
-    start = np.concatenate([np.maximum(r[2] - side, 0) for r in rows])
-    end = np.concatenate([np.minimum(r[2] + length, len(r[3])) for r in rows])
-    base = np.repeat(np.cumsum([0, *(len(r[3]) for r in rows[:-1])]), [len(r[1]) for r in rows])
-    text = np.frombuffer(b"".join(r[3] for r in rows) + bytes(widest), np.uint8)
-    matrix = text[(base + start)[:, None] + np.arange(widest)]
-    matrix[np.arange(widest) >= (end - start)[:, None]] = 0
-    return seed, doc, start, end - start, matrix
+def _matrix(text: np.ndarray, start: np.ndarray, size: np.ndarray, widest: int) -> np.ndarray:
+    """Rows of `text` from each start, zero behind each size (`text` has to go on for `widest` bytes)."""
+    out = text[start[:, None] + np.arange(widest)]
+    out[np.arange(widest) >= size[:, None]] = 0
+    return out
 
 
 def _alike(key: np.ndarray, size: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Number of each row's class: equal key, size and bytes."""
-    power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(matrix.shape[1])], np.uint64)
-    h = matrix.astype(np.uint64) @ power + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = _hash(matrix) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     order, group = _ties(key, h, np.arange(len(key)))
     out = np.empty(len(key), np.int64)
     out[order] = group
@@ -186,33 +190,63 @@ def _alike(key: np.ndarray, size: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, length: int, k: int, lists: int) -> DataFrame:
-    """key (null: a span that is settled), doc_id, start, size, around: surroundings of shared seeds of `docs` (doc_id, text, seeds)."""
+def candidates(docs: DataFrame, hot: np.ndarray, length: int, k: int, lists: int) -> DataFrame:
+    """bucket, n, settled, packed of `docs` (doc_id, text, seeds: the shared ones).
+
+    Each row packs key, document, start, size and bytes of the surroundings of a bucket's seeds: the
+    strings of a shared seed, keyed by the seed; strings of a hot seed come one by one, keyed by a
+    hash of the string. Settled rows pack spans that a smaller document of the same packing has too.
+    """
+    widest, sent = 2 * length - k, docs.sparkSession.sparkContext.broadcast(hot)  # at most a million seeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray, bytes]] = []
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]] = []
 
         def flush() -> pa.RecordBatch:
-            seed, doc, start, size, matrix = _surroundings(held, length, k)
+            seed, start, last = (np.concatenate(c) for c in list(zip(*held))[1:4])
+            many = [len(r[1]) for r in held]
+            doc, base = np.repeat([r[0] for r in held], many), np.repeat(np.cumsum([0, *(len(r[4]) for r in held[:-1])]), many)
+            text = np.frombuffer(b"".join(r[4] for r in held) + bytes(widest), np.uint8)
+            size = last - start + length
+            if len(sent.value) and (warm := np.isin(seed, sent.value)).any():
+                each = np.repeat(np.flatnonzero(warm), (size - length + 1)[warm])
+                step = np.arange(len(each)) - np.repeat(np.cumsum((size - length + 1)[warm]) - (size - length + 1)[warm], (size - length + 1)[warm])
+                pick = np.r_[np.flatnonzero(~warm), each]
+                seed, doc, base = seed[pick], doc[pick], base[pick]
+                start, size = np.r_[start[~warm], start[each] + step], np.r_[size[~warm], np.full(len(each), length)]
+                single = np.arange(len(pick)) >= (~warm).sum()
+            else:
+                single = np.zeros(len(seed), bool)
+            matrix = _matrix(text, base + start, size, widest)
+            if single.any():
+                seed = np.where(single, -1 - (_hash(matrix) >> np.uint64(1)).astype(np.int64), seed)
             group = _alike(seed, size, matrix)
             least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc)
-            done = doc > least[group]  # the same surroundings are in a smaller document of this packing
+            done = doc > least[group]
             d_doc, d_start, d_size = _merge(doc[done], start[done], size[done])
+            rows = [(int(d_doc[0]) % (2 * lists), len(d_doc), True, _pack_rows(d_doc, d_doc, d_start, d_size, b""))] if len(d_doc) else []
             open_ = np.flatnonzero(~done)
-            key = pa.concat_arrays([pa.array(seed[open_]), pa.nulls(len(d_doc), pa.int64())])
-            around = pa.concat_arrays([pa.array([matrix[i, :s].tobytes() for i, s in zip(open_, size[open_])], pa.binary()), pa.nulls(len(d_doc), pa.binary())])
-            return pa.record_batch([key, pa.array(np.r_[doc[open_], d_doc]), pa.array(np.r_[start[open_], d_start].astype(np.int32)), pa.array(np.r_[size[open_], d_size].astype(np.int32)), around], ["key", "doc_id", "start", "size", "around"])
+            bucket = _bucket(seed[open_], 2 * lists)
+            open_ = open_[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)]):
+                i = open_[a:b]
+                around = matrix[i][np.arange(widest) < size[i][:, None]].tobytes()
+                rows.append((int(bucket[a]), len(i), False, _pack_rows(seed[i], doc[i], start[i], size[i], around)))
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "n", "settled", "packed"])
 
         n = 0
         for b in batches:
             for doc, x, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 text = _bytes(x)
-                at, h = seeds(np.frombuffer(text, np.uint8), length, k)
-                seed = ((h >> np.uint64(32)) % np.uint64(lists)).astype(np.int64) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                h, first, last = seeds(np.frombuffer(text, np.uint8), length, k)
+                seed = _seed(h, lists)
                 mine = np.isin(seed, known.values.to_numpy())
                 if mine.any():
-                    held.append((doc, seed[mine], at[mine], text))
+                    held.append((doc, seed[mine], first[mine], last[mine], text))
                     n += int(mine.sum())
                 if n >= 50_000:
                     yield flush()
@@ -220,7 +254,47 @@ def candidates(docs: DataFrame, length: int, k: int, lists: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, doc_id long, start int, size int, around binary")
+    return docs.mapInArrow(run, "bucket long, n int, settled boolean, packed binary")
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pack_rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, around: bytes) -> bytes:
+    """Rows in columns, compressed, behind the plain size (8 bytes)."""
+    plain = key.astype("<i8").tobytes() + np.diff(doc, prepend=0).astype("<i8").tobytes() + start.astype("<i4").tobytes() + size.astype("<i4").tobytes() + around
+    return len(plain).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(plain, asbytes=True)
+
+
+def _unpack_rows(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    plain = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    key, doc = np.frombuffer(plain, "<i8", n), np.cumsum(np.frombuffer(plain, "<i8", n, 8 * n))
+    start, size = (np.frombuffer(plain, "<i4", n, at * n).astype(np.int64) for at in (16, 20))
+    return key, doc, start, size, plain[24 * n :]
+
+
+def _seed(h: np.ndarray, lists: int) -> np.ndarray:
+    """Number of the list (high half) and 32 bits of the hash."""
+    return ((h >> np.uint64(32)) % np.uint64(lists)).astype(np.int64) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _hash(matrix: np.ndarray) -> np.ndarray:
+    power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(matrix.shape[1])], np.uint64)
+    return matrix.astype(np.uint64) @ power
+
+
+def _windows(matrix: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the string of `length` bytes at every place of every row."""
+    part, n, power, out, done = matrix.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15, None, 0
+    places = matrix.shape[1] - length + 1
+    for bit in range(length.bit_length()):
+        if length >> bit & 1:
+            piece = part[:, done : done + places]
+            out, done = piece if out is None else out * np.uint64(power) + piece, done + n
+        if length >> (bit + 1):
+            part, n, power = part[:, :-n] * np.uint64(power) + part[:, n:], 2 * n, power * power % (1 << 64)
+    return out
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,35 +310,53 @@ def _merge(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, matrix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, size) of the spans of complete seed groups that a smaller document also has."""
+    """(doc, start, size) of the spans of complete seed groups that a smaller document also has.
+
+    Kinds of surroundings that have a string's hash in common with another kind of their seed are cut to
+    those strings and suffix-sorted; strings that share `length` bytes are then compared by document.
+    """
     group = _alike(key, size, matrix)
     n = group.max() + 1
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc)
     first = np.full(n, -1)
     first[group[::-1]] = np.arange(len(group))[::-1]
-    first = first[first >= 0]  # one row of each kind of surroundings
+    first = first[first >= 0]  # one row of each kind
     found = [(doc[whole := doc > least[group]], start[whole], size[whole])]
     _, place, kinds = np.unique(key[first], return_inverse=True, return_counts=True)
     first = first[kinds[place] > 1]
-    cuts = [0]
-    ordered = first[np.argsort(key[first], kind="stable")]  # parts end between keys: kinds of one seed stay together
-    keys = key[ordered]
-    while cuts[-1] < len(ordered):
-        end = min(cuts[-1] + SORTED, len(ordered))
-        while end < len(ordered) and keys[end] == keys[end - 1]:
+    first = first[np.argsort(key[first], kind="stable")]
+    if len(first):
+        h = _windows(matrix[first], length)
+        h = h ^ (key[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
+        kind, at = np.nonzero(np.arange(h.shape[1]) <= (size[first] - length)[:, None])
+        order, same = _ties(h[kind, at], kind)
+        new = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        common = (np.maximum.reduceat(kind[order], new) != kind[order][new])[same]
+        low, high = np.full(len(first), len(h[0])), np.full(len(first), -1)
+        np.minimum.at(low, kind[order][common], at[order][common])
+        np.maximum.at(high, kind[order][common], at[order][common])
+        keep = high >= 0
+        first, low, high = first[keep], low[keep], high[keep]
+    keys, cuts = key[first], [0]
+    while cuts[-1] < len(first):  # parts end between keys: kinds of one seed are sorted together
+        end = min(cuts[-1] + SORTED, len(first))
+        while end < len(first) and keys[end] == keys[end - 1]:
             end += 1
         cuts.append(end)
     for a, b in zip(cuts, cuts[1:]):
-        rows = ordered[a:b]
-        string, offset, lcp, _ = collection_suffixes(matrix[rows], size[rows], length)
-        long = size[rows][string] - offset >= length
+        rows, shift = first[a:b], low[a:b]
+        cut_size = high[a:b] - shift + length
+        wide = np.pad(matrix[rows], ((0, 0), (0, matrix.shape[1])))
+        part = _matrix(wide.ravel(), np.arange(len(rows)) * wide.shape[1] + shift, cut_size, int(cut_size.max()))
+        string, offset, lcp, _ = collection_suffixes(part, cut_size, length)
+        long = cut_size[string] - offset >= length
         cls = np.cumsum(lcp < length)
-        low = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, cls[long], least[group[rows]][string[long]])
-        hit = long & (low[cls] < least[group[rows]][string])
-        string, offset = string[hit], offset[hit]
-        s_kind, s_start, s_size = _merge(string.astype(np.int64), offset, np.full(len(offset), length))
+        owner = least[group[rows]]
+        lowest = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, cls[long], owner[string[long]])
+        hit = long & (lowest[cls] < owner[string])
+        s_kind, s_start, s_size = _merge(string[hit].astype(np.int64), (offset + shift[string])[hit], np.full(int(hit.sum()), length))
         found.append(_spread(s_kind, s_start, s_size, group[rows], group, doc, start, least))
     return tuple(np.concatenate(c) for c in zip(*found))
 
@@ -280,48 +372,65 @@ def _spread(kind: np.ndarray, offset: np.ndarray, size: np.ndarray, kinds: np.nd
 
 
 def spans(found: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, size of removed spans, from `found` (key, doc_id, start, size, around)."""
+    """doc_id, start, size of removed spans, from `candidates`. A task holds one bucket at a time."""
+    widest = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            key = table.column("key").to_numpy()
-            doc, start, size = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "size"))
-            around = table.column("around").combine_chunks()
-            text = np.frombuffer(b"".join(around.to_pylist()) + bytes(2 * length), np.uint8)
-            at = np.cumsum(size) - size
-            matrix = text[at[:, None] + np.arange(int(size.max()))]
-            matrix[np.arange(matrix.shape[1]) >= size[:, None]] = 0
-            out = settle(key, doc, start, size, matrix, length)
-            return pa.record_batch([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32))], ["doc_id", "start", "size"])
+        held: list[tuple] = []
+        current = None
+
+        def out(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc_id", "start", "size"])
+
+        def search() -> Iterator[pa.RecordBatch]:
+            key, doc, start, size = (np.concatenate(c) for c in list(zip(*held))[:4])
+            text = np.frombuffer(b"".join(h[4] for h in held) + bytes(widest), np.uint8)
+            place = np.cumsum(size) - size
+            order = np.argsort(key, kind="stable")
+            at, sorted_key = 0, key[order]
+            while at < len(order):
+                end = min(at + PART, len(order))
+                end = int(np.searchsorted(sorted_key, sorted_key[end - 1], "right"))  # seeds stay whole
+                i = order[at:end]
+                yield out(*settle(key[i], doc[i], start[i], size[i], _matrix(text, place[i], size[i], int(size[i].max())), length))
+                at = end
 
         for b in batches:
-            held.append(b)
-            if sum(h.num_rows for h in held) < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield flush(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held and sum(h.num_rows for h in held):
-            yield flush(pa.Table.from_batches(held).combine_chunks())
-
-    rows = found.filter(F.col("key").isNotNull())
-    hot = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
-    cold, warm = rows.join(small(hot), "key", "left_anti"), rows.join(small(hot), "key", "left_semi")
-    each = warm.select("key", "doc_id", "start", "around", F.explode(F.sequence(F.lit(0), F.col("size") - length)).alias("i"))
-    part = F.substring("around", F.col("i") + 1, F.lit(length))
-    each = each.select(F.xxhash64("key", part).alias("key"), "doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(length).alias("size"), part.alias("around"))
-    every = cold.select("key", "doc_id", "start", "size", "around").unionAll(each)
-    settled = every.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, size int")
-    return settled.unionAll(found.filter(F.col("key").isNull()).select("doc_id", "start", "size"))
+            for row in b.to_pylist():
+                rows = _unpack_rows(row["packed"], row["n"])
+                if row["settled"]:
+                    yield out(*rows[1:4])
+                    continue
+                if held and row["bucket"] != current:
+                    yield from search()
+                    held = []
+                current = row["bucket"]
+                held.append(rows)
+        if held:
+            yield from search()
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, start int, size int")
+
+
+def merged_spans(every: DataFrame) -> DataFrame:
+    """Stored table doc_id, spans: array of struct(start, size), in order and apart, from doc_id, start, size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                start, size = (x.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                _, start, size = _merge(np.zeros(len(start), np.int64), start, size)
+                out.append([{"start": s, "size": n} for s, n in zip(start.tolist(), size.tolist())])
+            yield pa.record_batch([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+
+    lists = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # bounded by the document
+    return store(lists.mapInArrow(run, "doc_id long, spans array<struct<start:int,size:int>>"), "spans")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
-    """Stored table doc_id, spans: array of struct(start, size) of bytes to remove, in no order, possibly overlapping.
+    """Stored table doc_id, spans: array of struct(start, size) of bytes to remove, in order and apart.
 
     `docs`: doc_id, text. Only documents with spans have a row. Rows without id take no part.
     """
@@ -331,25 +440,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> Data
     least = store(whole.groupBy("sha").agg(F.min("doc_id").alias("least")), "least")
     copies = store(whole.join(least, "sha").filter("doc_id > least").select("doc_id", F.col("size").cast("int").alias("size")), "copies")
     total = whole.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    lists = 64
-    while lists * LIST_SEEDS < 2 * total / (length - k + 2):
+    lists, expected = 64, 2 * total // (length - k + 2)
+    while lists * LIST_SEEDS < expected:
         lists *= 2
     single = docs.filter(size >= length).join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    known = shared_seeds(single, lists, length, k).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    known = store(known, "seeds")
-    width = known.agg(F.coalesce(F.sum(8 * F.size("seeds")), F.lit(0)).alias("b")).first()["b"]
-    asked = F.broadcast(known) if width <= BROADCAST_BYTES else known
-    found = store(candidates(docs.filter(size >= length).join(asked, "doc_id").select("doc_id", "text", "seeds"), length, k, lists), "around")
+    shared = store(shared_seeds(single, lists, max(HOT, expected // 1_000_000), length, k), "shared")
+    hot = np.sort(shared.filter(F.col("doc_id").isNull()).select("seed").toArrow().column(0).to_numpy())
+    known = shared.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    found = candidates(docs.filter(size >= length).join(known, "doc_id").select("doc_id", "text", "seeds"), hot, length, k, lists)
     every = spans(found, length).unionAll(copies.select("doc_id", F.lit(0).alias("start"), "size"))
-    return store(every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "spans")
+    return merged_spans(every)
 
 
 def _with_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """`docs` (doc_id, text and more) with the column _spans, null where nothing is removed."""
+    """`docs` (doc_id, text and more) and a last column of spans, null where nothing is removed."""
     found = repeated_spans(docs.select("doc_id", "text"), length, k)
     n = found.agg(F.coalesce(F.sum(16 + 8 * F.size("spans")), F.lit(0)).alias("b")).first()["b"]
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    return docs.join(F.broadcast(found) if n <= BROADCAST_BYTES else found, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, got = fresh(docs, "_doc", "_spans")
+    found = found.select(F.col("doc_id").alias(doc), F.col("spans").alias(got))
+    return docs.join(F.broadcast(found) if n <= BROADCAST_BYTES else found, docs["doc_id"] == found[doc], "left").drop(doc)
 
 
 def cut(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
@@ -357,7 +466,6 @@ def cut(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
     if not spans.is_valid or not len(spans):
         return text, 0, 0
     start, size = (spans.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-    _, start, size = _merge(np.zeros(len(start), np.int64), start, size)
     edge = [0, *np.stack([start, start + size], 1).ravel().tolist(), len(text)]
     return b"".join(text[i:j] for i, j in zip(edge[::2], edge[1::2])), int(size.sum()), len(start)
 
