@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphmill.llm.shared import BROADCAST_ROWS, small, store
+from glyphmill.llm.shared import BROADCAST_ROWS, fresh, small, store
 
 #: Words of a window, rarest words of a window whose postings are intersected.
 WINDOW, RAREST = 10, 2
@@ -79,27 +79,30 @@ def _starts(c: Column, text_words: Column) -> Column:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Every row of `docs` (doc_id, text and more) with _n_words and _found: array of struct(item_id, start, w).
+    """Every row of `docs` (doc_id, text and more) with two more columns at the end: the number of its
+    words, and what was found as an array of struct(item_id, start, w).
 
     `start` is the document word at which an occurring window begins, `w` its words. Items without
     words never match, null texts have no words. Documents that share an id, or have none, are each
     judged on their own text.
     """
     items = item_table(items, window)
-    rare = anchors(items, term_counts(docs, items), rarest)
-    cand = store(candidates(docs, rare), "candidates").join(small(items), "item_key")
-    lists = store(cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias("_cand")), "aligned")
-    lists = lists.withColumnRenamed("doc_id", "_doc")
-    out = docs.join(small(lists, BROADCAST_ROWS // 10), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    out = out.withColumn("_w", words(F.col("text")))
-    ranges = F.flatten(F.transform("_cand", lambda c: F.transform(_starts(c, F.col("_w")), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
+    plain = docs.select("doc_id", "text")
+    rare = anchors(items, term_counts(plain, items), rarest)
+    doc, cand, w, n, found = fresh(docs, "_doc", "_cand", "_w", "_n_words", "_found")
+    pairs = store(candidates(plain, rare), "candidates").join(small(items), "item_key")
+    lists = store(pairs.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias(cand)), "aligned")
+    out = docs.join(small(lists, BROADCAST_ROWS // 10), docs["doc_id"].eqNullSafe(lists[doc]), "left").drop(doc)
+    out = out.withColumn(w, words(F.col("text")))
+    ranges = F.flatten(F.transform(cand, lambda c: F.transform(_starts(c, F.col(w)), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
     empty = F.array().cast("array<struct<item_id:string,start:int,w:int>>")
-    return out.withColumns({"_n_words": F.size("_w").cast("long"), "_found": F.when(F.col("_cand").isNull(), empty).otherwise(ranges)}).drop("_w", "_cand")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(w).cast("long").alias(n), F.when(F.col(cand).isNull(), empty).otherwise(ranges).alias(found))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs. All columns stay."""
-    return phrase_matches(docs, items, window).filter(F.size("_found") == 0).drop("_n_words", "_found")
+    out = phrase_matches(docs, items, window)
+    return out.filter(F.size(out.columns[-1]) == 0).drop(*out.columns[-2:])
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms: int = 3) -> DataFrame:

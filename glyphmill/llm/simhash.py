@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.components import connected_components
-from glyphmill.llm.shared import small, store
+from glyphmill.llm.shared import fresh, small, store
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Longer lists are split into blocks of about this size, and the pairs of blocks into tasks.
@@ -160,5 +160,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows that repeat a kept id all stay: ids are what the operator tells apart.
     """
     found = near_duplicates(docs, key, text, bits)
-    gone = store(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = store(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(small(gone), docs[key].cast("long") == gone[name], "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import store
+from glyphmill.llm.shared import fresh, store
 
 #: One-sided normal quantile of the posterior bound, and the bad-page rate that the bound has to pass.
 Z, THRESHOLD = 1.0, 0.5
@@ -101,12 +101,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str
     execution) unless Spark has measured it to be small enough to broadcast.
     """
     made = ("host", "path", "rule", "verdict")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made]
+    fit, low = fresh(pages, "_rule", "_bad")
     base = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    base = base.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules))
-    labels = base.select("host", (F.col("_rule.verdict") == "block").alias("bad"))
+    base = base.withColumn(fit, rule_column(F.col("host"), F.col("path"), rules))
+    labels = base.select("host", (F.col(f"{fit}.verdict") == "block").alias("bad"))
     known = reputation(labels)
-    known = store(known.select("host", (F.col("mean") - z * F.col("sd") > threshold).alias("_bad")), "reputation")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_bad"), "block").otherwise("allow"))
-    out = base.join(known, "host", "left").withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict)
+    known = store(known.select("host", (F.col("mean") - z * F.col("sd") > threshold).alias(low)), "reputation")
+    verdict = F.coalesce(F.col(f"{fit}.verdict"), F.when(F.col(low), "block").otherwise("allow"))
+    out = base.join(known, "host", "left").withColumn("rule", F.col(f"{fit}.rule")).withColumn("verdict", verdict)
     return out.select(*kept, *made)
