@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import store
 
-#: Rows of a block of candidates, of a round's queries, of a query group and of a leaf; radius of a node over its children's.
-BLOCK, QUERIES, GROUP, LEAF, BASE = 4096, 8192, 64, 64, 1.5
+#: Rows of a block of candidates, of a round's queries and of a leaf; radius of a node over its children's.
+BLOCK, QUERIES, LEAF, BASE = 4096, 8192, 64, 1.5
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -29,14 +29,14 @@ class Node:
     center: np.ndarray
     norm: float
     radius: float
-    rows: np.ndarray  # of the whole subtree, in a leaf; else empty
+    rows: np.ndarray  # of the whole subtree
     children: list[Node] = field(default_factory=list)
 
 
 def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF, base: float = BASE) -> Node:
     """Cover tree of the rows of `x`: children's centers are points, chosen farthest first until they
-    cover the node at its radius over `base`. A node ends as a leaf when it is small, holds one point
-    repeatedly, or has no structure at that scale (nearly every point would be a child)."""
+    cover the node at its radius over `base`. Where nearly every point would be a child there is no
+    structure at that scale: the first few centers then get the points nearest to them as leaves."""
     rows = np.arange(len(x)) if rows is None else rows
     points = x[rows]
     norms = np.einsum("ij,ij->i", points, points)
@@ -45,69 +45,73 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF,
         return np.sqrt(np.maximum(norms + norms[i] - 2 * (points @ points[i]), 0))
 
     near, owner = away(0), np.zeros(len(rows), np.int64)
-    node = Node(points[0], float(np.sqrt(norms[0])), float(near.max()) if len(rows) else 0.0, rows)
-    centers, most = [0], max(8, len(rows) // 8)
-    if len(rows) <= leaf or node.radius == 0:
+    node = Node(points[0], float(np.sqrt(norms[0])), float(near.max()), rows)
+    if len(rows) <= leaf:
         return node
-    while near.max() > node.radius / base:
-        if len(centers) == most:
-            return node
+    centers, most, few = [0], max(8, len(rows) // 8), -(-len(rows) // leaf)
+    nearest = owner, near  # what the first few centers would have
+    while near.max() > node.radius / base and len(centers) < most:
         i = int(near.argmax())
         d = away(i)
         closer = d < near
-        near[closer], owner[closer] = d[closer], len(centers)
+        near, owner = np.where(closer, d, near), np.where(closer, len(centers), owner)
         centers.append(i)
+        if len(centers) <= few:
+            nearest = owner, near
+    if near.max() > node.radius / base or node.radius == 0:
+        owner, near = nearest
+        order = np.lexsort((near, owner))
+        ends = np.flatnonzero(np.r_[owner[order][1:] != owner[order][:-1], True]) + 1
+        for first, end in zip(np.r_[0, ends[:-1]], ends):
+            for at in range(first, end, leaf):
+                part, c = order[at : min(at + leaf, end)], order[first]
+                node.children.append(Node(points[c], float(np.sqrt(norms[c])), float(away(c)[part].max()), rows[part]))
+        return node
     for k, c in enumerate(centers):
         mine = np.flatnonzero(owner == k)
         mine = np.concatenate([[c], mine[mine != c]])  # a child's center is its first row
         node.children.append(cover_tree(x, rows[mine], leaf, base))
-    node.rows = rows[:0]
     return node
 
 
-def groups(node: Node, x: np.ndarray, most: int = GROUP) -> list[Node]:
-    """Query groups: the leaves of a tree, cut to `most` rows each (a part keeps its leaf's center and radius)."""
-    if node.children:
-        return [g for c in node.children for g in groups(c, x, most)]
-    return [Node(node.center, node.norm, node.radius, node.rows[i : i + most]) for i in range(0, len(node.rows), most)]
+def bound(q: Node, r: Node) -> float:
+    """No product of a point below `q` with one below `r` is larger."""
+    top = q.center @ r.center + q.norm * r.radius + r.norm * q.radius + q.radius * r.radius
+    return top + 1e-6 * (1 + abs(top))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, trees: tuple[Node, Node] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k best among the rows of `x`, own id left out.
 
+    Pairs of nodes are taken best bound first; the wider node of a pair is opened, pairs below the
+    worst kth score of the query node's rows are dropped, pairs of leaves are multiplied out.
     `floor`: a score that each query is known to reach k times elsewhere; nothing below it is returned.
     Ties go to the smaller id. All values are integers in float64, so products are exact below 2**53.
     """
-    root, out = cover_tree(x), []
-    for group in groups(cover_tree(queries), queries):
-        rows = group.rows
-        q, own = queries[rows], query_ids[rows]
-        best_s, best_i = np.full((len(rows), k), -np.inf), np.full((len(rows), k), np.iinfo(np.int64).max)
-        kth = floor[rows].copy()
-
-        def bound(node: Node) -> float:
-            top = group.center @ node.center + group.norm * node.radius + node.norm * group.radius + group.radius * node.radius
-            return top + 1e-6 * (1 + abs(top))
-
-        stack = [(bound(root), root)]
-        while stack:
-            top, node = stack.pop()
-            if top < kth.min():
-                continue
-            if node.children:
-                stack += sorted(((bound(c), c) for c in node.children), key=lambda b: b[0])
-                continue
-            s = q @ x[node.rows].T
-            s[own[:, None] == ids[node.rows][None, :]] = -np.inf
-            for i in np.flatnonzero((s >= kth[:, None]).any(1)):
-                take = np.flatnonzero((s[i] >= kth[i]) & (s[i] > -np.inf))
-                all_s, all_i = np.concatenate([best_s[i], s[i, take]]), np.concatenate([best_i[i], ids[node.rows[take]]])
+    best_s, best_i = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    kth = floor.copy()
+    top_q, top_r = trees or (cover_tree(queries), cover_tree(x))
+    stack = [(bound(top_q, top_r), top_q, top_r)]
+    while stack:
+        top, q, r = stack.pop()
+        if top < kth[q.rows].min():
+            continue
+        if q.children and (q.radius >= r.radius or not r.children):
+            stack += sorted(((bound(c, r), c, r) for c in q.children), key=lambda b: b[0])
+        elif r.children:
+            stack += sorted(((bound(q, c), q, c) for c in r.children), key=lambda b: b[0])
+        else:
+            s = queries[q.rows] @ x[r.rows].T
+            s[query_ids[q.rows][:, None] == ids[r.rows][None, :]] = -np.inf
+            for i in np.flatnonzero((s >= kth[q.rows][:, None]).any(1)):
+                row = q.rows[i]
+                take = np.flatnonzero((s[i] >= kth[row]) & (s[i] > -np.inf))
+                all_s, all_i = np.concatenate([best_s[row], s[i, take]]), np.concatenate([best_i[row], ids[r.rows[take]]])
                 first = np.lexsort((all_i, -all_s))[:k]
-                best_s[i], best_i[i] = all_s[first], all_i[first]
-                kth[i] = max(kth[i], best_s[i, -1])
-        got = best_s > -np.inf
-        out.append((np.repeat(own, got.sum(1)), best_i[got], best_s[got].astype(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+                best_s[row], best_i[row] = all_s[first], all_i[first]
+                kth[row] = max(kth[row], best_s[row, -1])
+    got = best_s > -np.inf
+    return np.repeat(query_ids, got.sum(1)), best_i[got], best_s[got].astype(np.int64)
 
 
 def usable(vector: Column) -> Column:
@@ -167,11 +171,12 @@ def _round(rows: DataFrame, asked: DataFrame, k: int, scale: float, block: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor = sent.value
+        tree = cover_tree(q)
 
         def search(part: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(part).combine_chunks()
             x, own = _scaled(t.column(1).combine_chunks(), scale), t.column(0).to_numpy()
-            return pa.record_batch([pa.array(c) for c in dual_search(q, ids, floor, x, own, k)], ["query_id", "vec_id", "score"])
+            return pa.record_batch([pa.array(c) for c in dual_search(q, ids, floor, x, own, k, (tree, cover_tree(x)))], ["query_id", "vec_id", "score"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:

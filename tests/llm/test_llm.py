@@ -64,8 +64,8 @@ def brute_top_k(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block, per_round, leaf", [(4096, 8192, 64), (50, 3, 4)])
-def test_top_k(spark, monkeypatch, block, per_round, leaf):
+@pytest.mark.parametrize("block, per_round", [(4096, 8192), (50, 3)])
+def test_top_k(spark, block, per_round):
     r = np.random.default_rng(1)
     centers = r.normal(size=(6, 8))
     rows = [(i, (centers[i % 6] + 0.1 * r.normal(size=8)).tolist()) for i in range(400)]
@@ -78,11 +78,27 @@ def test_top_k(spark, monkeypatch, block, per_round, leaf):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_dual_search_prunes(monkeypatch):
+    r = np.random.default_rng(4)
+    centers = np.floor(200 * r.normal(size=(20, 16)))
+    x = np.concatenate([np.floor(c + 5 * r.normal(size=(100, 16))) for c in centers])
+    q, seen = np.floor(x[::10] + 1), []
+    trees = topk.cover_tree(q, leaf=4), topk.cover_tree(x, leaf=16)
+    real = topk.bound
+    monkeypatch.setattr(topk, "bound", lambda a, b: seen.append(1) or real(a, b))
+    own, ids, score = topk.dual_search(q, -1 - np.arange(len(q)), np.full(len(q), -np.inf), x, np.arange(len(x)), 3, trees)
+    want = {(-1 - i, int(j), int((q[i] @ x[j]))) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), -(x @ q[i])))[:3]}
+    assert set(zip(own.tolist(), ids.tolist(), score.tolist())) == want
+    leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
+    assert len(seen) < 0.5 * leaves(trees[0]) * leaves(trees[1])
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(0).normal(size=(500, 3))
 
     def rows(node):
         inside = np.concatenate([rows(c) for c in node.children]) if node.children else node.rows
+        assert sorted(inside) == sorted(node.rows)
         assert np.sqrt(((x[inside] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-9
         return inside
 
