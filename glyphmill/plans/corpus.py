@@ -56,7 +56,7 @@ _STREETS, _WARDS, _CITIES = ["Alpha Street", "Beta Road", "Gamma Lane", "Delta W
 
 
 def template_addresses(spark, sf_dir):
-    n = table(spark, sf_dir, "customer", "c_custkey").filter("c_custkey < 500")
+    n = table(spark, sf_dir, "customer", "c_custkey")
     key = lambda what: (F.col("c_custkey"), F.lit(what))
     values = {
         "num": C.hash_number(999, *key("num")) + 1, "sub": C.hash_number(50, *key("sub")) + 1, "street": C.choice(_STREETS, *key("street")),
@@ -75,7 +75,7 @@ def _from(values: list[str], what: str) -> str:
 
 TEMPLATE_ADDRESSES = f"""
 SELECT c_custkey, replace(replace(replace(replace(replace({_from(_TEMPLATES, 'template')}, '{{num}}', ({_pick(999, 'num')} + 1)::VARCHAR), '{{sub}}', ({_pick(50, 'sub')} + 1)::VARCHAR), '{{street}}', {_from(_STREETS, 'street')}),
-  '{{ward}}', {_from(_WARDS, 'ward')}), '{{city}}', {_from(_CITIES, 'city')}) AS address FROM customer WHERE c_custkey < 500"""
+  '{{ward}}', {_from(_WARDS, 'ward')}), '{{city}}', {_from(_CITIES, 'city')}) AS address FROM customer"""
 
 
 def cycle_corpus(spark, sf_dir):
@@ -105,14 +105,14 @@ SELECT p_partkey, {_pick(21, 'size', 'p_partkey')} + 28 AS font_size, {_pick(31,
 
 
 def _misspelled(spark, sf_dir):
-    """Customer names with a digit off, and their nation's region, against supplier names."""
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").filter("c_custkey % 10 = 0")
+    """A misspelled nation name for every customer, and the region of the customer's own nation."""
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation")
     bad = F.translate(F.concat(F.lit("NATIOM_"), F.col("c_custkey") % 30), "9", "g")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", bad.alias("entity"), F.col("n_regionkey").alias("region"))
 
 
-_MISSPELLED = "SELECT c_custkey, translate('NATIOM_' || (c_custkey % 30), '9', 'g') AS entity, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0"
+_MISSPELLED = "SELECT c_custkey, translate('NATIOM_' || (c_custkey % 30), '9', 'g') AS entity, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
 def fuzzy_best_match(spark, sf_dir):
@@ -146,14 +146,14 @@ EXACT_NAME_SKIP = "SELECT c_custkey, ('NATION_' || (c_custkey % 40)) IN (SELECT
 
 
 def trailing_province(spark, sf_dir):
-    c = table(spark, sf_dir, "customer", "c_custkey").filter("c_custkey % 7 = 0")
+    c = table(spark, sf_dir, "customer", "c_custkey")
     c = c.select("c_custkey", F.concat(F.lit("12 Street, Ward, NATIOM_"), F.col("c_custkey") % 30).alias("address"))
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("norm"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
     return G.correct_trailing(c, names, "c_custkey", "address").select("c_custkey", "corrected")
 
 
 TRAILING_PROVINCE = """
-WITH m AS (SELECT c_custkey, '12 Street, Ward, NATIOM_' || (c_custkey % 30) AS address, lower('NATIOM_' || (c_custkey % 30)) AS t FROM customer WHERE c_custkey % 7 = 0),
+WITH m AS (SELECT c_custkey, '12 Street, Ward, NATIOM_' || (c_custkey % 30) AS address, lower('NATIOM_' || (c_custkey % 30)) AS t FROM customer),
 b AS (SELECT c_custkey, n_name, row_number() OVER (PARTITION BY c_custkey ORDER BY levenshtein(t, lower(n_name)), n_nationkey) AS r FROM m JOIN nation ON levenshtein(t, lower(n_name))::DOUBLE / greatest(length(t), length(n_name)) <= 0.35)
 SELECT m.c_custkey, CASE WHEN n_name IS NULL THEN address ELSE '12 Street, Ward, ' || n_name END AS corrected FROM m LEFT JOIN b ON m.c_custkey = b.c_custkey AND r = 1"""
 

@@ -9,7 +9,7 @@ from glyphmill.operators import reports as R
 from glyphmill.operators import sampling as S
 from glyphmill.plans.common import table
 
-#: Both sides of a pair are part names or turns of a conversation, folded to ASCII and cut for display length.
+#: Both sides of a pair are part names or whole turns of a conversation, folded to ASCII.
 _FOLD = "[^ -~]"
 
 
@@ -24,9 +24,9 @@ _PAIRS = "SELECT a.p_partkey, a.p_type, a.p_name AS ref, b.p_name AS pred FROM p
 
 
 def _turns(spark, sf_dir):
-    """ref, pred: a user turn and the next assistant turn, 120 characters, folded to ASCII."""
+    """ref, pred: a user turn and the next assistant turn, folded to ASCII."""
     c = table(spark, sf_dir, "conversations")
-    fold = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 120), _FOLD, "?"), "^ +| +$", "")
+    fold = F.regexp_replace(F.regexp_replace("text", _FOLD, "?"), "^ +| +$", "")
     c = c.select("conv_id", "turn", "role", fold.alias("t"))
     nxt = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("pred"))
     return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.col("t").alias("ref"), "pred")
@@ -34,8 +34,8 @@ def _turns(spark, sf_dir):
 
 _TURNS = """
 SELECT u.conv_id, u.turn, u.t AS ref, a.t AS pred FROM
-  (SELECT conv_id, turn, regexp_replace(regexp_replace(substring(text, 1, 120), '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'user') u
-  JOIN (SELECT conv_id, turn - 1 AS turn, regexp_replace(regexp_replace(substring(text, 1, 120), '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)"""
+  (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'user') u
+  JOIN (SELECT conv_id, turn - 1 AS turn, regexp_replace(regexp_replace(text, '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)"""
 _CER = "(CASE WHEN ref = '' THEN CASE WHEN pred = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, pred)::DOUBLE / length(ref) END)"
 
 
@@ -59,10 +59,15 @@ CER_PER_PAIR = f"SELECT conv_id, turn, levenshtein(ref, pred)::INT AS edits, rou
 
 
 def wer_per_pair(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(M.wer(F.col("ref"), F.col("pred")), 9).alias("wer"))
+    return _pairs(spark, sf_dir).select("p_partkey", F.round(M.wer(F.col("ref"), F.col("pred")), 9).alias("wer"))
+
+
+WER_PER_PAIR = f"SELECT p_partkey, round({_WER}, 9) AS wer FROM ({_PAIRS})"
 
 
-WER_PER_PAIR = f"SELECT conv_id, turn, round({_WER}, 9) AS wer FROM ({_TURNS})"
+def wer_per_turn(spark, sf_dir):
+    """Over long texts, whose words are more than SQL's byte-wise edits can tell apart."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(M.wer(F.col("ref"), F.col("pred")), 9).alias("wer"))
 
 
 def cer_micro_macro_by_group(spark, sf_dir):
@@ -124,6 +129,14 @@ def category_maps(spark, sf_dir):
     return R.category_map(x, "p_type", "category").select("p_type", F.to_json("categories").alias("categories"))
 
 
+CATEGORY_MAPS = f"""
+WITH x AS (SELECT *, {_CER} AS cer FROM ({_PAIRS})),
+c AS (SELECT p_type, CASE WHEN cer = 0 THEN 'PERFECT' WHEN length(pred) < 0.3 * greatest(length(ref), 1) THEN 'TRUNCATION' WHEN length(pred) > 2.0 * greatest(length(ref), 1) AND length(ref) > 3 THEN 'INSERTION'
+  WHEN cer > 0.3 THEN 'SUBSTITUTION' ELSE 'MINOR_ERROR' END AS category FROM x),
+n AS (SELECT p_type, category, count(*) AS n FROM c GROUP BY ALL)
+SELECT p_type, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS categories FROM n GROUP BY p_type"""
+
+
 def topk_worst(spark, sf_dir):
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     return S.top_k(o, 50, F.col("o_totalprice").desc(), F.col("o_orderkey")).select("rank", "o_orderkey", "o_totalprice")
@@ -219,23 +232,24 @@ SELECT '| rank | o_orderkey |' || chr(10) || '|---|---|' || chr(10) || string_ag
 
 def outlier_groups(spark, sf_dir):
     """Per group the collected outliers, worst first."""
-    li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").filter("l_quantity < 2 AND l_orderkey % 50 = 0")
+    li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").filter("l_quantity < 2")
     rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
     return li.groupBy("l_returnflag").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["l_orderkey"].cast("string"), r["l_linenumber"].cast("string"))), ";").alias("listing"))
 
 
 OUTLIER_GROUPS = """
-SELECT l_returnflag, string_agg(l_orderkey || ':' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber) AS listing FROM lineitem WHERE l_quantity < 2 AND l_orderkey % 50 = 0 GROUP BY l_returnflag"""
+SELECT l_returnflag, string_agg(l_orderkey || ':' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber) AS listing FROM lineitem WHERE l_quantity < 2 GROUP BY l_returnflag"""
 
 QUERIES = {
     "cer_per_pair": (cer_per_pair, CER_PER_PAIR),
     "wer_per_pair": (wer_per_pair, WER_PER_PAIR),
+    "wer_per_turn": (wer_per_turn, None),
     "cer_micro_macro_by_group": (cer_micro_macro_by_group, CER_MICRO_MACRO),
     "error_categories": (error_categories, f"SELECT conv_id, turn, category FROM ({_CATEGORY})"),
     "error_categories_full": (error_categories_full, None),
     "category_crosstab": (category_crosstab, CATEGORY_CROSSTAB),
     "cer_histogram": (cer_histogram, CER_HISTOGRAM),
-    "category_maps": (category_maps, None),
+    "category_maps": (category_maps, CATEGORY_MAPS),
     "topk_worst": (topk_worst, TOPK_WORST),
     "topk_per_group": (topk_per_group, TOPK_PER_GROUP),
     "quantile_picks": (quantile_picks, QUANTILE_PICKS),
