@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 _RUN = uuid.uuid4().hex
 _ROOTS: dict[str, SparkSession] = {}
+_OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -20,8 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if "folder" not in _OWN:
+            _OWN["folder"] = tempfile.mkdtemp(prefix="glyphmill-")
+        base = _OWN["folder"]
     root = f"{base.rstrip('/')}/glyphmill-{_RUN}"
     _ROOTS[root] = spark
     return root
