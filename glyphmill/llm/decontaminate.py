@@ -89,14 +89,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     items = item_table(items, window)
     plain = docs.select("doc_id", "text")
     rare = anchors(items, term_counts(plain, items), rarest)
-    doc, cand, w, n, found = fresh(docs, "_doc", "_cand", "_w", "_n_words", "_found")
+    doc, cand, n, found = fresh(docs, "_doc", "_cand", "_n_words", "_found")
     pairs = store(candidates(plain, rare), "candidates").join(small(items), "item_key")
     lists = store(pairs.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias(cand)), "aligned")
     out = docs.join(small(lists, BROADCAST_ROWS // 10), docs["doc_id"].eqNullSafe(lists[doc]), "left").drop(doc)
-    out = out.withColumn(w, words(F.col("text")))
-    ranges = F.flatten(F.transform(cand, lambda c: F.transform(_starts(c, F.col(w)), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
+
+    def ranges(w: Column) -> Column:
+        return F.flatten(F.transform(cand, lambda c: F.transform(_starts(c, w), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
+
+    text_words = words(F.col("text"))
+    once = F.element_at(F.transform(F.array(text_words), ranges), 1)  # the words as a variable: a filter on the result would else split texts once per word
     empty = F.array().cast("array<struct<item_id:string,start:int,w:int>>")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(w).cast("long").alias(n), F.when(F.col(cand).isNull(), empty).otherwise(ranges).alias(found))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(text_words).cast("long").alias(n), F.when(F.col(cand).isNull(), empty).otherwise(once).alias(found))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
