@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import held_out
+from glyphmill.llm.shared import held_out, map_batches
 
 #: Expected training rows and landmarks of each language at most; ridge; presence bits of each n-gram length.
 TRAIN_ROWS, LANDMARKS, RIDGE = 400, 96, 1e-4
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
                 bits.append(np.packbits(row).tobytes())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
 
-    got = sorted(sample.mapInArrow(run, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["bits"]))
+    got = sorted(map_batches(sample, run, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["bits"]))
     packed = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1)
     return solve(packed, [r["lang"] for r in got], landmarks, ridge)
 
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
             yield pa.record_batch([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return map_batches(rows, run, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -139,4 +139,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
         for b in batches:
             yield b.filter(pa.array(np.array([x != UNKNOWN for x in _predict(model, b.column(place))[0]], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import store
+from glyphmill.llm.shared import map_batches, store
 
 CAPACITY = 2048
 #: Pieces of one length are numbered in so many buckets apart, so that no task holds a whole length.
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return map_batches(rows, run, PIECES)
 
 
 @dataclass
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
             yield pa.record_batch([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = rank_within(cut, "length", ["doc_id", "piece", "ids_crc32"])
-    return ranked.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return map_batches(ranked, run, f"{PIECES}, sequence_id long, offset long")

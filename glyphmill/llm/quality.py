@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import held_out, store
+from glyphmill.llm.shared import held_out, map_batches, store
 
 #: Expected labelled rows that are learned from, at most.
 TRAIN_ROWS = 20_000
@@ -114,7 +114,7 @@ def statistics_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "held_out", "x"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
-    return store(rows.mapInArrow(run, "doc_id long, held_out boolean, x binary"), "statistics")
+    return store(map_batches(rows, run, "doc_id long, held_out boolean, x binary"), "statistics")
 
 
 def fit(table: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Forest:
@@ -143,7 +143,7 @@ def score(table: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Dat
             s = forest.score(x)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return table.select("doc_id", "held_out", "x").mapInArrow(run, SCHEMA)
+    return map_batches(table.select("doc_id", "held_out", "x"), run, SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

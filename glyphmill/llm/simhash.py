@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.components import connected_components
-from glyphmill.llm.shared import fresh, small, store
+from glyphmill.llm.shared import fresh, map_batches, small, store
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Longer lists are split into blocks of about this size, and the pairs of blocks into tasks.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return store(rows.mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+    return store(map_batches(rows, run, "doc_id long, fp long"), "fingerprints")
 
 
 def linked(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -132,7 +132,7 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
         if len(held):
             yield search(held)
 
-    return index.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return map_batches(index.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.bwt import collection_suffixes
-from glyphmill.llm.shared import fresh, small, store
+from glyphmill.llm.shared import fresh, map_batches, release, small, store
 
 #: Length of a repeat and of a seed, both in bytes.
 LENGTH, SEED = 50, 16
 #: Seeds that a packed list is meant to hold, texts' seeds of one packing, surroundings sorted together.
 LIST_SEEDS, PACKED, SORTED = 1_500_000, 500_000, 4_000
-#: Surroundings that are settled in one go.
-PART = 20_000
+#: Surroundings that are settled in one go, and that are packed in one go.
+PART, FLUSHED = 10_000, 30_000
 #: Seeds of more documents than this (or than a millionth of all) hand on each of their strings by itself.
 HOT = 32_000
 #: Tables of spans or seeds of more bytes than this are never broadcast.
@@ -133,6 +133,7 @@ def shared_seeds(docs: DataFrame, lists: int, hot: int, length: int, k: int) ->
                 if size >= PACKED:
                     yield flush()
                     held, size = [], 0
+                    release()
         if held:
             yield flush()
 
@@ -165,8 +166,8 @@ def shared_seeds(docs: DataFrame, lists: int, hot: int, length: int, k: int) ->
         if parts:
             yield from shared()
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "list long, n int, seeds binary, docs binary, many binary")
-    return packed.repartition("list").sortWithinPartitions("list").mapInArrow(compare, "doc_id long, seed long")
+    packed = map_batches(docs.select("doc_id", "text"), pack, "list long, n int, seeds binary, docs binary, many binary")
+    return map_batches(packed.repartition("list").sortWithinPartitions("list"), compare, "doc_id long, seed long")
 
 
 def _matrix(text: np.ndarray, start: np.ndarray, size: np.ndarray, widest: int) -> np.ndarray:
@@ -248,13 +249,14 @@ def candidates(docs: DataFrame, hot: np.ndarray, length: int, k: int, lists: int
                 if mine.any():
                     held.append((doc, seed[mine], first[mine], last[mine], text))
                     n += int(mine.sum())
-                if n >= 50_000:
+                if n >= FLUSHED:
                     yield flush()
                     held, n = [], 0
+                    release()
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, n int, settled boolean, packed binary")
+    return map_batches(docs, run, "bucket long, n int, settled boolean, packed binary")
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -410,12 +412,13 @@ def spans(found: DataFrame, length: int) -> DataFrame:
                 if held and row["bucket"] != current:
                     yield from search()
                     held = []
+                    release()
                 current = row["bucket"]
                 held.append(rows)
         if held:
             yield from search()
 
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, start int, size int")
+    return map_batches(found.repartition("bucket").sortWithinPartitions("bucket"), run, "doc_id long, start int, size int")
 
 
 def merged_spans(every: DataFrame) -> DataFrame:
@@ -432,7 +435,7 @@ def merged_spans(every: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     lists = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # bounded by the document
-    return store(lists.mapInArrow(run, "doc_id long, spans array<struct<start:int,size:int>>"), "spans")
+    return store(map_batches(lists, run, "doc_id long, spans array<struct<start:int,size:int>>"), "spans")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
@@ -496,7 +499,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFra
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, k)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
@@ -515,5 +518,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> Data
             cols = [pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(names))]
             yield pa.record_batch(cols, names).filter(pa.compute.invert(gone))
 
-    out = _with_spans(docs, length, k).mapInArrow(run, docs.schema)
+    out = map_batches(_with_spans(docs, length, k), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import map_batches
+
 #: Chunks that one generation of a worker's memory holds, and the longest that it keeps.
 MEMORY, LONGEST_KEPT = 400_000, 64
 #: Pre-token pattern of the vocabulary (a fixed value of its format).
@@ -122,4 +124,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
             yield pa.record_batch([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_batches(rows, run, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import store
+from glyphmill.llm.shared import map_batches, store
 
 #: Rows of a block of candidates, of a round's queries and of a leaf; radius of a node over its children's.
 BLOCK, QUERIES, LEAF, BASE = 4096, 8192, 64, 1.5
@@ -188,4 +188,4 @@ def _round(rows: DataFrame, asked: DataFrame, k: int, scale: float, block: int)
         if held and sum(h.num_rows for h in held):
             yield search(held)
 
-    return rows.mapInArrow(run, FOUND)
+    return map_batches(rows, run, FOUND)
