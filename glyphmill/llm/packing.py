@@ -20,14 +20,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import map_batches, store
+from glyphmill.llm.token_count import byte_alphabet
 
 CAPACITY = 2048
 #: Pieces of one length are numbered in so many buckets apart, so that no task holds a whole length.
 RANK_BUCKETS = 64
 #: Chunks that one generation of a worker's memory holds, and the longest that it keeps.
-MEMORY, LONGEST_KEPT = 400_000, 64
-#: Pre-tokens of the vocabulary's format (a fixed value), for lower-cased printable ASCII without white space.
-ASCII_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+MEMORY, LONGEST_KEPT = 250_000, 64
+#: Pre-tokens of the vocabulary's format (a fixed value), for lower-cased printable Latin-1 without white space.
+LATIN_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
+#: A lone mark between a word and white space is a pre-token of its own, so it may as well be a chunk.
+WORD_END = r"(?<=[a-z0-9ß-öø-ÿ])[.,](?=\s)"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,9 +39,12 @@ class Encoder(dict):
 
     Gives what the library's encode (no added special tokens) gives. The vocabulary drops white space
     and never looks across it, so a text's ids are those of its chunks between white space, and the
-    merges run only for chunks that are not remembered: printable ASCII ones are cut here, others go
-    through the library's encode. Two generations of memory keep what comes up again. Special strings are cut out of the raw text
-    first; texts with U+001C to U+001F, which Python alone takes for white space, go to it whole.
+    merges run only for what is not remembered: printable chunks of Latin-1 characters are cut here and
+    merged by pre-token, others go through the library's encode. Two generations of memory keep what comes
+    up again. Texts of Latin-1 characters, whose lower case is beyond doubt, are lowered whole, and marks
+    behind words are parted from them, which leaves fewer chunks to know. Special
+    strings are cut out of the raw text first; texts with U+001C to U+001F, which Python alone takes for
+    white space, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -49,15 +55,15 @@ class Encoder(dict):
         self.tok.no_padding()
         self.special = {t.content: np.uint32(i).tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self.pieces, self.merge, self.old = re.compile(ASCII_PRE_TOKEN).findall, self.tok.model.tokenize, {}
+        self.pieces, self.old = re.compile(LATIN_PRE_TOKEN).findall, {}
+        self.part, self.merged = re.compile(WORD_END).sub, Merged(self.tok.model.tokenize)
 
     def __missing__(self, chunk: str) -> bytes:
         if (ids := self.old.get(chunk)) is None:
-            if chunk.isascii() and chunk.isprintable():
-                found = [t.id for p in self.pieces(chunk.lower()) for t in self.merge(p)]
+            if chunk.isprintable() and (chunk.isascii() or _is_latin(chunk)):
+                ids = b"".join([self.merged[p] for p in self.pieces(chunk.lower())])
             else:
-                found = self.tok.encode(chunk, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+                ids = _packed(self.tok.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST_KEPT:
             if len(self) > MEMORY:
                 self.old = dict(self)
@@ -70,9 +76,39 @@ class Encoder(dict):
             return b"".join(self.special.get(p) or self.encode(p) for p in self.cut(text))
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text.isascii() or _is_latin(text):
+            text = self.part(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.split()))
 
 
+class Merged(dict):
+    """Pre-token -> ids; a memory of merges that starts again when full."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.letter = merge, [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = _packed([t.id for t in self.merge(piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()]))])
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) > MEMORY // 2:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and `end_id`, cut only where longer than a sequence.
 

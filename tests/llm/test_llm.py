@@ -338,7 +338,8 @@ ODD = ["", " ", "A\u001cb", "İI ΑΣ Σ", "e\u0301 ộ", "<|startoftext|>a<|end
 
 def test_encoder_equals_library():
     tok, enc = Tokenizer.from_file(CLIP), packing.Encoder(CLIP)
-    for text in [*ODD, *(t for _, t in EDGE if t)]:
+    chars = [f"a{chr(c)}b {chr(c)}{chr(c)} {chr(c)}1 '{chr(c)}s A{chr(c)}" for c in [*range(0x250), *range(0x300, 0x3100, 11)]]
+    for text in [*ODD, *chars, *(t for _, t in EDGE if t)]:
         assert enc.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
