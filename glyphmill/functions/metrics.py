@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import has_hallucination, trim_spaces
+from glyphmill.functions.text import SPACES, has_hallucination, trim_spaces
 
 
 def edits(ref: Column, pred: Column) -> Column:
@@ -21,7 +21,7 @@ def cer(ref: Column, pred: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
 def token_letters(words: Column, alphabet: Column) -> Column:

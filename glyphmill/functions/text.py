@@ -19,10 +19,12 @@ SCRIPTS = [
     ("CJK", 0x4E00, 0x9FFF), ("CJK", 0x3400, 0x4DBF), ("Khmer", 0x1780, 0x17FF), ("Thai", 0x0E00, 0x0E7F), ("Cyrillic", 0x0400, 0x04FF),
     ("Japanese", 0x3040, 0x30FF), ("Arabic", 0x0600, 0x06FF), ("IPA", 0x0250, 0x02AF), ("Fullwidth", 0xFF00, 0xFFEF),
 ]
+#: White space of any kind, as the body of a class (Unicode's, and U+001C to U+001F), and all of it but U+0020.
+ODD_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = rf" {ODD_SPACES}"
 #: Repetition patterns (fixed values): character runs, word runs, punctuation runs, short runs at the end.
-CHAR_RUN, WORD_RUN = r"(?U)(.)\1{3,}", r"(?U)\b(\S+)(?:\s+\1){2,}\b"
-MARK_RUN, END_RUN = r"(?U)([^\w\s]+)(?:\s+\1){2,}", r"(?U)(\s+\S{1,4})\1{2,}\s*$"
-SPACE = r"(?U)\s+"
+CHAR_RUN, WORD_RUN = r"(?Ud)(.)\1{3,}", rf"(?U)\b([^{SPACES}]+)(?:[{SPACES}]+\1){{2,}}\b"
+MARK_RUN, END_RUN = rf"(?U)([^\w{SPACES}]+)(?:[{SPACES}]+\1){{2,}}", rf"([{SPACES}]+[^{SPACES}]{{1,4}})\1{{2,}}[{SPACES}]*$"
 
 
 @F.pandas_udf(StringType())
@@ -37,12 +39,12 @@ def nfc(text: Column) -> Column:
 
 def trim_spaces(text: Column) -> Column:
     """Strip white space of any kind from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]++$", "")
 
 
 def collapse_spaces(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
+    """Runs of white space as one space, none at the ends. Only runs that are not one space already match."""
+    return F.trim(F.regexp_replace(text, f"[{ODD_SPACES}][{SPACES}]*+| [{SPACES}]++", " "))
 
 
 def normalize_label(text: Column) -> Column:
@@ -85,7 +87,7 @@ def sanitize(text: Column) -> Column:
     out = F.regexp_replace(out, WORD_RUN, "$1 $1")
     out = F.regexp_replace(out, MARK_RUN, "$1 $1")
     out = F.regexp_replace(out, END_RUN, "")
-    out = trim_spaces(F.regexp_replace(out, r"(?U)\s{2,}", " "))
+    out = trim_spaces(F.regexp_replace(out, f"[{SPACES}]{{2,}}", " "))
     return F.when(trim_spaces(text) == "", text).otherwise(out)
 
 

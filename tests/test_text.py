@@ -9,7 +9,7 @@ from glyphmill.functions import metrics as M
 from glyphmill.functions import text as T
 from glyphmill.functions.corrector import choose_candidate, post_process
 
-ODD = ["", "  ", "a  b", " x\t\ny ", "ộ", "ộ", "ĐĐĐĐĐ", "12 12 12 12 end", "a - - - -", "quân……………… sang", "text 12 12 12 12", "a\u0085b", "no no no no!", "aaaa bbbb", "漢字", "ก", "Привет", "ﬃ"]
+ODD = ["", "  ", "a  b", " x\t\ny ", "ộ", "ộ", "ĐĐĐĐĐ", "12 12 12 12 end", "a - - - -", "quân……………… sang", "text 12 12 12 12", "a\u0085b", "no no no no!", "aaaa bbbb", "a\x1cb \x1f c", "\u3000x\u2028\u00a0y ", "漢字", "ก", "Привет", "ﬃ"]
 
 
 def column(spark, values, fn):
