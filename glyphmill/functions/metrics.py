@@ -21,7 +21,7 @@ def cer(ref: Column, pred: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
+    return F.array_remove(F.split(text, rf"(?U)[{SPACES}]+"), "")
 
 
 def token_letters(words: Column, alphabet: Column) -> Column:

@@ -19,19 +19,22 @@ SCRIPTS = [
     ("CJK", 0x4E00, 0x9FFF), ("CJK", 0x3400, 0x4DBF), ("Khmer", 0x1780, 0x17FF), ("Thai", 0x0E00, 0x0E7F), ("Cyrillic", 0x0400, 0x04FF),
     ("Japanese", 0x3040, 0x30FF), ("Arabic", 0x0600, 0x06FF), ("IPA", 0x0250, 0x02AF), ("Fullwidth", 0xFF00, 0xFFEF),
 ]
-#: White space of any kind, as the body of a class (Unicode's, and U+001C to U+001F), and all of it but U+0020.
-ODD_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACES = rf" {ODD_SPACES}"
+#: White space of any kind, as the body of a class under (?U): Unicode's, and U+001C to U+001F. (Listing
+#: Unicode's by code point instead makes patterns several times slower.)
+SPACES = r"\s\x1c-\x1f"
 #: Repetition patterns (fixed values): character runs, word runs, punctuation runs, short runs at the end.
 CHAR_RUN, WORD_RUN = r"(?Ud)(.)\1{3,}", rf"(?U)\b([^{SPACES}]+)(?:[{SPACES}]+\1){{2,}}\b"
-MARK_RUN, END_RUN = rf"(?U)([^\w{SPACES}]+)(?:[{SPACES}]+\1){{2,}}", rf"([{SPACES}]+[^{SPACES}]{{1,4}})\1{{2,}}[{SPACES}]*$"
+MARK_RUN, END_RUN = rf"(?U)([^\w{SPACES}]+)(?:[{SPACES}]+\1){{2,}}", rf"(?U)([{SPACES}]+[^{SPACES}]{{1,4}})\1{{2,}}[{SPACES}]*$"
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
+def _to_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Marked so that a filter on a normalised label is not pushed below it, which would normalise twice.
+_nfc = F.pandas_udf(_to_nfc, StringType()).asNondeterministic()
+
+
 def nfc(text: Column) -> Column:
     """NFC. Only texts with characters from U+0300 on, which alone can change, are sent to Python."""
     return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x{02FF}]"), text)), text)
@@ -39,12 +42,12 @@ def nfc(text: Column) -> Column:
 
 def trim_spaces(text: Column) -> Column:
     """Strip white space of any kind from both ends."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]++$", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACES}]+|[{SPACES}]++$", "")
 
 
 def collapse_spaces(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends. Only runs that are not one space already match."""
-    return F.trim(F.regexp_replace(text, f"[{ODD_SPACES}][{SPACES}]*+| [{SPACES}]++", " "))
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, rf"(?U)[{SPACES}]+", " "))
 
 
 def normalize_label(text: Column) -> Column:
@@ -53,7 +56,11 @@ def normalize_label(text: Column) -> Column:
 
 
 def char_class(ranges: list[tuple[int, int]]) -> str:
-    """Body of a regular-expression class of code-point ranges."""
+    """Body of a regular-expression class of code-point ranges; ranges that touch are one."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        merged = [*merged[:-1], (merged[-1][0], max(merged[-1][1], b))] if merged and a <= merged[-1][1] + 1 else [*merged, (a, b)]
+    ranges = merged
     return "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in ranges)
 
 
@@ -63,7 +70,12 @@ def foreign_chars(text: Column, ranges: list[tuple[int, int]] | None = None) ->
 
 
 def is_allowed(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
-    return ~text.rlike(f"[^{char_class(ranges or ALLOWED_RANGES)}]")
+    """Whether all characters are in the ranges. Latin-1 runs are matched by a class of their own, which is the fast kind."""
+    ranges = ranges or ALLOWED_RANGES
+    low = [(a, min(b, 0xFF)) for a, b in ranges if a <= 0xFF]
+    high = [(max(a, 0x100), b) for a, b in ranges if b > 0xFF]
+    runs = "|".join(f"[{char_class(part)}]++" for part in (low, high) if part)
+    return text.rlike(rf"\A(?:{runs})*+\z")
 
 
 def script_family(char: Column) -> Column:
@@ -87,7 +99,7 @@ def sanitize(text: Column) -> Column:
     out = F.regexp_replace(out, WORD_RUN, "$1 $1")
     out = F.regexp_replace(out, MARK_RUN, "$1 $1")
     out = F.regexp_replace(out, END_RUN, "")
-    out = trim_spaces(F.regexp_replace(out, f"[{SPACES}]{{2,}}", " "))
+    out = trim_spaces(F.regexp_replace(out, rf"(?U)[{SPACES}]{{2,}}", " "))
     return F.when(trim_spaces(text) == "", text).otherwise(out)
 
 

@@ -34,7 +34,7 @@ def raw_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, part_no, sentence: lines that are no headings, templates or tables, cut behind . ! ?, references and spaces cleaned."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "_line")).withColumn("_line", trim_spaces(F.col("_line")))
     lines = lines.filter((F.col("_line") != "") & ~F.col("_line").rlike(r"^(==|\{\{|\|)"))
-    parts = lines.select(key, "line_no", F.posexplode(F.split("_line", f"(?<=[.!?])[{SPACES}]+")).alias("part_no", "_part"))
+    parts = lines.select(key, "line_no", F.posexplode(F.split("_line", rf"(?U)(?<=[.!?])[{SPACES}]+")).alias("part_no", "_part"))
     clean = collapse_spaces(F.regexp_replace("_part", r"\[[0-9]+\]", ""))
     return parts.select(key, "line_no", "part_no", clean.alias("sentence"))
 
@@ -51,7 +51,7 @@ def extract_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, part_no, sub_no, sentence: good sentences; overlong ones as the good parts between commas."""
     raw = raw_sentences(docs, key, text)
     long = F.length("sentence") > LONGEST
-    pieces = F.when(long, F.split("sentence", f",[{SPACES}]+")).otherwise(F.array("sentence"))
+    pieces = F.when(long, F.split("sentence", rf"(?U),[{SPACES}]+")).otherwise(F.array("sentence"))
     out = raw.select(key, "line_no", "part_no", long.alias("_long"), F.posexplode(pieces).alias("sub_no", "sentence"))
     out = out.withColumn("sentence", trim_spaces(F.col("sentence")))
     part = F.length("sentence").between(SHORTEST, LONGEST) & (non_ascii(F.col("sentence")) >= 2)

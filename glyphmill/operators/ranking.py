@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def hash_order(*keys: Column, seed: str = "42") -> Column:
@@ -22,9 +23,14 @@ def bucketed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], buc
     """`df` with the 1-based rank of each row within `by` (and the size of the group).
 
     `bucket` has to be monotone in `order`: rows of a lower bucket come before those of a higher one.
+    Rows are dealt once, by group and bucket; counting and numbering read the same exchange. The count
+    looks at every column for that: a narrower one would be another exchange over another scan. So
+    `df` should hold only the columns that are needed afterwards.
     """
-    df = df.withColumn("_bucket", bucket)
-    sizes = df.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    seen = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    df = df.withColumn("_bucket", bucket).repartition(*by, "_bucket")
+    every = F.max(F.xxhash64(*seen)) * 0
+    sizes = df.groupBy(*by, "_bucket").agg((F.count(F.lit(1)) + every).alias("_size"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     if total:

@@ -80,7 +80,7 @@ SELECT c_custkey, replace(replace(replace(replace(replace({_from(_TEMPLATES, 'te
 
 def cycle_corpus(spark, sf_dir):
     """Task i renders corpus line i modulo the number of lines."""
-    items = bucketed_rank(table(spark, sf_dir, "benchmark"), [], [F.col("item_id")], F.floor(F.col("item_id") / 1024), rank="rn", total="n")
+    items = bucketed_rank(table(spark, sf_dir, "benchmark", "item_id"), [], [F.col("item_id")], F.floor(F.col("item_id") / 1024), rank="rn", total="n")
     n = items.agg(F.max("n")).scalar()
     tasks = table(spark, sf_dir, "part", "p_partkey").withColumn("rn", F.pmod("p_partkey", n) + 1)
     return tasks.join(items.select("rn", "item_id"), "rn").select("p_partkey", "item_id")

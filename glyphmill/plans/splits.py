@@ -59,7 +59,7 @@ SPLIT_LEAKAGE = "SELECT count(DISTINCT o_custkey) AS groups, 0::BIGINT AS leakin
 
 
 def split_by_source(spark, sf_dir):
-    docs = split_rows(table(spark, sf_dir, "documents", "doc_id", "source", "lang"), "doc_id", ["source"])
+    docs = split_rows(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id", ["source"])
     return docs.groupBy("source").pivot("final_split", ["train", "val", "test"]).count().fillna(0)
 
 
@@ -75,10 +75,11 @@ def split_dispatch(spark, sf_dir):
     o = o.withColumn("pool", pool)
     of = lambda p: o.filter(F.col("pool") == p)
     fixed = of("train_pool").withColumn("final_split", determined_split(F.col("pool"), F.col("o_custkey").cast("string")))
-    parts = [fixed, split_rows(of("unassigned"), "o_orderkey"), split_groups(of("group_pool"), "o_custkey"), split_rows(of("synthetic_pool"), "o_orderkey", holdout=0.1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = lambda p: of(p).select("pool", "o_orderkey")
+    parts = [split_rows(rows("unassigned"), "o_orderkey"), split_groups(of("group_pool"), "o_custkey"), split_rows(rows("synthetic_pool"), "o_orderkey", holdout=0.1)]
+    out = fixed.select("pool", "o_orderkey", "final_split")
+    for p in parts:
+        out = out.unionByName(p.select("pool", "o_orderkey", "final_split"))
     return out.groupBy("pool", "final_split").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("key_sum"))
 
 
