@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -55,6 +55,17 @@ def normalize_label(text: Column) -> Column:
     return F.nullif(nfc(collapse_spaces(text)), F.lit(""))
 
 
+def with_label(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """`df` with its text replaced by the normalised label.
+
+    Each step is exploded from an array of one: a generated column is computed once, where filters on a
+    projected one are pushed below the projection and compute it once per condition.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
+    df = df.select(*kept, F.explode(F.array(collapse_spaces(F.col(text)))).alias("_collapsed"))
+    return df.select(*kept, F.explode(F.array(F.nullif(nfc(F.col("_collapsed")), F.lit("")))).alias(label))
+
+
 def char_class(ranges: list[tuple[int, int]]) -> str:
     """Body of a regular-expression class of code-point ranges; ranges that touch are one."""
     merged: list[tuple[int, int]] = []

@@ -18,10 +18,6 @@ BREAKS = [
 ]
 
 
-def non_ascii(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-
-
 def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
@@ -31,19 +27,27 @@ def occurrences(text: Column, char: str) -> Column:
 
 
 def raw_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, part_no, sentence: lines that are no headings, templates or tables, cut behind . ! ?, references and spaces cleaned."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "_line")).withColumn("_line", trim_spaces(F.col("_line")))
-    lines = lines.filter((F.col("_line") != "") & ~F.col("_line").rlike(r"^(==|\{\{|\|)"))
-    parts = lines.select(key, "line_no", F.posexplode(F.split("_line", rf"(?U)(?<=[.!?])[{SPACES}]+")).alias("part_no", "_part"))
-    clean = collapse_spaces(F.regexp_replace("_part", r"\[[0-9]+\]", ""))
-    return parts.select(key, "line_no", "part_no", clean.alias("sentence"))
+    """key, line_no, part_no, sentence: lines that are no headings, templates or tables, cut behind . ! ?, references and spaces cleaned.
+
+    Lines and parts are cleaned before they are exploded: a filter on a column that is computed
+    afterwards would be pushed below it and compute it once per condition.
+    """
+    cleaned = F.transform(F.split(text, "\n"), trim_spaces)
+    lines = docs.select(key, F.posexplode(cleaned).alias("line_no", "_line"))
+    lines = lines.filter((F.col("_line") != "") & ~F.col("_line").rlike(r"^(?:==|\{\{|\|)"))
+    parts = F.transform(F.split("_line", rf"(?U)(?<=[.!?])[{SPACES}]+"), lambda p: collapse_spaces(F.regexp_replace(p, r"\[[0-9]+\]", "")))
+    return lines.select(key, "line_no", F.posexplode(parts).alias("part_no", "sentence"))
+
+
+def has_non_ascii(text: Column, least: int = 2) -> Column:
+    return text.rlike(rf"(?s)(?:[^\x00-\x7F][\x00-\x7F]*+){{{least}}}")
 
 
 def good_sentence(text: Column) -> Column:
-    """Length, at least 2 non-ASCII characters, 30 % letters, at most 3 of either parenthesis."""
+    """Length, at least 2 non-ASCII characters, at most 3 of either parenthesis, 30 % letters; cheap tests first."""
     return (
-        F.length(text).between(SHORTEST, LONGEST) & (non_ascii(text) >= 2) & (letters(text) >= F.length(text) * 0.3)
-        & (occurrences(text, "(") <= 3) & (occurrences(text, ")") <= 3)
+        F.length(text).between(SHORTEST, LONGEST) & has_non_ascii(text) & (occurrences(text, "(") <= 3) & (occurrences(text, ")") <= 3)
+        & (letters(text) >= F.length(text) * 0.3)
     )
 
 
@@ -51,10 +55,9 @@ def extract_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, part_no, sub_no, sentence: good sentences; overlong ones as the good parts between commas."""
     raw = raw_sentences(docs, key, text)
     long = F.length("sentence") > LONGEST
-    pieces = F.when(long, F.split("sentence", rf"(?U),[{SPACES}]+")).otherwise(F.array("sentence"))
+    pieces = F.when(long, F.transform(F.split("sentence", rf"(?U),[{SPACES}]+"), trim_spaces)).otherwise(F.array("sentence"))
     out = raw.select(key, "line_no", "part_no", long.alias("_long"), F.posexplode(pieces).alias("sub_no", "sentence"))
-    out = out.withColumn("sentence", trim_spaces(F.col("sentence")))
-    part = F.length("sentence").between(SHORTEST, LONGEST) & (non_ascii(F.col("sentence")) >= 2)
+    part = F.length("sentence").between(SHORTEST, LONGEST) & has_non_ascii(F.col("sentence"))
     return out.filter(F.when(F.col("_long"), part).otherwise(good_sentence(F.col("sentence")))).drop("_long")
 
 

@@ -14,7 +14,7 @@ FRENCH = [(0x09, 0x0A), (0x20, 0x7E), (0xE9, 0xE9)]
 
 
 def _labels(spark, sf_dir, *more):
-    return table(spark, sf_dir, "documents", "doc_id", "text", *more).withColumn("label", T.normalize_label(F.col("text"))).drop("text")
+    return T.with_label(table(spark, sf_dir, "documents", "doc_id", "text", *more))
 
 
 def corpus_split_summary(spark, sf_dir):
