@@ -47,7 +47,7 @@ class Encoder(dict):
     white space, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -56,7 +56,7 @@ class Encoder(dict):
         self.special = {t.content: np.uint32(i).tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.pieces, self.old = re.compile(LATIN_PRE_TOKEN).findall, {}
-        self.part, self.merged = re.compile(WORD_END).sub, Merged(self.tok.model.tokenize)
+        self.part, self.memory, self.merged = re.compile(WORD_END).sub, memory, Merged(self.tok.model.tokenize, memory // 2)
 
     def __missing__(self, chunk: str) -> bytes:
         if (ids := self.old.get(chunk)) is None:
@@ -65,7 +65,7 @@ class Encoder(dict):
             else:
                 ids = _packed(self.tok.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) > MEMORY:
+            if len(self) > self.memory:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -84,14 +84,14 @@ class Encoder(dict):
 class Merged(dict):
     """Pre-token -> ids; a memory of merges that starts again when full."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, memory: int):
         super().__init__()
-        self.merge, self.letter = merge, [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+        self.merge, self.memory, self.letter = merge, memory, [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
 
     def __missing__(self, piece: str) -> bytes:
         ids = _packed([t.id for t in self.merge(piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()]))])
         if len(piece) <= LONGEST_KEPT:
-            if len(self) > MEMORY // 2:
+            if len(self) > self.memory:
                 self.clear()
             self[piece] = ids
         return ids
@@ -109,14 +109,14 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and `end_id`, cut only where longer than a sequence.
 
     Null text counts as empty: its one piece holds the end id alone. Texts stay where they were read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.uint32(end_id).tobytes()
+        encoder, end = Encoder(path, memory), np.uint32(end_id).tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, x in zip(b.column(0).to_pylist(), b.column(1)):
@@ -193,14 +193,15 @@ def rank_within(df: DataFrame, group: str, order: list[str], buckets: int = RANK
     return out.withColumn("_rank", F.col("_from") + F.col("_r")).drop("_b", "_g", "_gb", "_from", "_r", "_n")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece in its sequence.
 
-    The driver sees the histogram of lengths (at most `capacity` rows). Repeated rows are packed as
+    `memory`: chunks in a generation of a worker's memory; results do not depend on it. The driver
+    sees the histogram of lengths (at most `capacity` rows). Repeated rows are packed as
     often as they occur; an empty table gives no rows. Texts are read once and never shuffled.
     """
     spark = docs.sparkSession
-    cut = store(pieces(docs, path, capacity, end_id, key, text), "pieces")
+    cut = store(pieces(docs, path, capacity, end_id, key, text, memory), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_best_fit(counts, capacity)
     sent = spark.sparkContext.broadcast((plan.length, plan.rank, plan.sequence, plan.offset, plan.sequences))
