@@ -14,7 +14,7 @@ from compare import connect, difference
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm import bwt, decontaminate, language, packing, quality, queries, sharding, simhash, suffix_dedup, token_count, topk, url_filter
+from glyphmill.llm import bwt, decontaminate, language, near_copies, packing, quality, queries, sharding, simhash, suffix_dedup, token_count, topk, url_filter
 from glyphmill.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, seeds long, _spans int"
@@ -179,6 +179,61 @@ def test_blocks_cover_all_triples():
     assert len(simhash.blocks()) == 14 and all(any(not set(b) & set(t) for b in simhash.blocks()) for t in itertools.combinations(range(8), 3))
 
 
+def brute_near_copies(rows):
+    """First row's number of each row's group: five-word shingle sets with a Jaccard similarity of 4/5 or more, transitively."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()})
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    first = {}
+    for i in order:
+        first.setdefault(group[i], i)
+    return [first[g] for g in group]
+
+
+def planted(n, seed):
+    """Texts of 60 to 400 words, each with copies of which 0 to 12 words are changed."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        base = words(r.randint(60, 400), 1000 + i).split()
+        rows.append(" ".join(base))
+        for _ in range(4):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randint(0, 12)):
+                w[at] = "changed"
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("longest", [4096, 3])
+def test_planted_near_copies(spark, empty, monkeypatch, longest):
+    import corpus_pipeline
+
+    for f, size in ((near_copies.links, longest), (near_copies.verified, longest * 244)):
+        monkeypatch.setattr(f, "__defaults__", (size,))
+    hot = words(200, 77).split()
+    rows = planted(40, 8) + [(500 + i, " ".join(["other" if at == 7 * i % 190 else w for at, w in enumerate(hot)])) for i in range(40)]
+    rows += [(600, "one two"), (601, "One  TWO"), (602, "one"), (603, None), (604, " "), (605, "")]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
+    assert kept == {rows[i][0] for i in brute_near_copies(rows)}
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_sketches_are_as_similar_as_sets():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        x = r.integers(0, 1 << 63, 1100, np.uint64)
+        a, b = near_copies.sketch(x[:1000]), near_copies.sketch(x[111:])  # similarity 0.81
+        assert (a == b).sum() >= near_copies.SHARED and (near_copies.sketch(x[:1000], 64) == a).all()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
