@@ -226,6 +226,18 @@ def test_planted_near_copies(spark, empty, monkeypatch, longest):
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b = words(100, 1), words(100, 2)
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, b), (None, b), (3, words(80, 3)), (3, words(80, 3)), (None, words(70, 4)), (None, words(70, 4)), (None, None), (None, None), (4, words(60, 5))]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
+    assert kept.columns == documents(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (3, words(80, 3)), (None, words(70, 4)), (None, None), (4, words(60, 5))], key=repr)
+    docs = spark.createDataFrame([(None, a, "y"), (None, a, "x"), (None, a, None)], "doc_id long, text string, source string")
+    assert [tuple(r) for r in near_copies.drop_near_copies(docs).collect()] == [(None, a, None)]
+
+
 def test_sketches_are_as_similar_as_sets():
     r = np.random.default_rng(4)
     for _ in range(20):
