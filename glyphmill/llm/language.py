@@ -100,11 +100,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
     return solve(packed, [r["lang"] for r in got], landmarks, ridge)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and re.search(r"[^\W\d_]", text) is not None
+
+
 def _predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    letter = re.compile(r"[^\W\d_]").search
     langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
     for at in range(0, len(column), BATCH):
-        texts = [(at + i, t) for i, x in enumerate(column.slice(at, BATCH)) if (t := x.as_py()) and letter(t)]
+        texts = [(at + i, t) for i, x in enumerate(column.slice(at, BATCH)) if has_letter(t := x.as_py())]
         if texts and model.langs:
             found, best = model.predict([t for _, t in texts])
             for (i, _), name, s in zip(texts, found, best):
@@ -131,12 +134,17 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text gets a language; those that would be `und` go. All columns stay."""
+    """The rows of `docs` whose text can get a language; null, empty and letterless texts go. All columns stay.
+
+    Where nothing was learned there is no language to name, and every text with a letter stays.
+    """
     sent, place = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights)), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*sent.value)
         for b in batches:
-            yield b.filter(pa.array(np.array([x != UNKNOWN for x in _predict(model, b.column(place))[0]], bool)))
+            column = b.column(place)
+            keep = [x != UNKNOWN for x in _predict(model, column)[0]] if model.langs else [has_letter(x.as_py()) for x in column]
+            yield b.filter(pa.array(np.array(keep, bool)))
 
     return map_batches(docs, run, docs.schema)

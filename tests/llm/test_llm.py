@@ -515,6 +515,13 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"} and language.identify(empty, nothing).count() == 0
 
 
+def test_documents_stay_where_no_language_was_learned(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, [(1, words(20, 1)), (2, "12 !"), (3, None), (4, "é"), (None, "abc")])
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 4, None}
+
+
 def test_kernel_is_what_the_matrix_product_scores():
     texts = ["abc abd", "xyz", "abx", "zzz y"]
     bits = np.zeros((4, sum(language.BITS)), bool)
