@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from glyphmill.llm.shared import held_out, map_batches
 
-#: Expected training rows and landmarks of each language at most; ridge; presence bits of each n-gram length.
+#: Training rows and landmarks of each language at most; ridge; presence bits of each n-gram length.
 TRAIN_ROWS, LANDMARKS, RIDGE = 400, 96, 1e-4
 BITS = (256, 1 << 12, 1 << 14)
 BATCH = 128
@@ -75,16 +76,18 @@ def solve(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Learn from rows (doc_id, text, lang) that have text, a language and an id that is not held out.
 
-    Each language gives about `train_rows` rows at most (bounded sample: hash of the id below the
-    language's share). Only their packed presence bits reach the driver.
+    Each language gives `train_rows` rows at most (bounded sample: hash of id and text below the
+    language's share, the least of those if they are more). Only their packed presence bits reach the driver.
     """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((sum(BITS), 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_rows / n))])
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(u < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.select("doc_id", "lang", "text", u.alias("u")).filter(F.col("u") < F.element_at(share, F.col("lang")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id", "text"))
+    sample = sample.withColumn("place", place).filter(F.col("place") <= train_rows).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

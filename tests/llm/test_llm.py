@@ -515,6 +515,14 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"} and language.identify(empty, nothing).count() == 0
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "solve", lambda rows, langs, *_: seen.append((len(rows), len(np.unique(rows, axis=0)), sorted(set(langs)))))
+    rows = [(None if i % 3 else i, words(8, i), "aa") for i in range(3000)] + [(7, "twice", "bb")] * 300
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=50)
+    assert seen[0][0] <= 100 and seen[0][1] >= 30 and "aa" in seen[0][2]
+
+
 def test_documents_stay_where_no_language_was_learned(spark):
     import corpus_pipeline
 
