@@ -159,12 +159,28 @@ SELECT m.c_custkey, CASE WHEN n_name IS NULL THEN address ELSE '12 Street, Ward,
 
 
 def address_correction(spark, sf_dir):
-    """The whole rewriting, over a gazetteer of bounded size that is made of the dimension names."""
+    """The whole rewriting, over a gazetteer of bounded size that is made of the dimension names: regions,
+    nations, and the supplier with the smallest key of each nation as its ward.
+
+    A third of the addresses names a district alone; the others misspell a ward, a district and a province.
+    """
     regions = [(r["r_name"], r["r_regionkey"]) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
     of = {k: n for n, k in regions}
-    nations = [(r["n_name"], of[r["n_regionkey"]]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    correct = G.address_corrector([n for n, _ in regions], nations, [])
-    c = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("Quận NATIOM_"), F.col("c_custkey") % 30, F.lit(", REGION")).alias("address"))
+    nations = [(r["n_name"], of[r["n_regionkey"]], r["n_nationkey"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("name"))
+    ward = {r["s_nationkey"]: r["name"] for r in suppliers.collect()}
+    wards = [(ward[k], of_) for _, of_, k in nations if k in ward]
+    correct = G.address_corrector([n for n, _ in regions], [(n, of_) for n, of_, _ in nations], wards)
+    c = table(spark, sf_dir, "customer", "c_custkey")
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("c_custkey") / 3) % len(names) + 1).cast("int"))
+    district = F.concat(F.lit("NATIOM_"), F.col("c_custkey") % 30)
+    small = F.regexp_replace(pick([n for n, _ in wards] or ["none"]), "pp", "p")
+    large = F.translate(pick([n for n, _ in regions]), "IO", "LQ")
+    kind = F.col("c_custkey") % 3
+    address = F.when(kind == 0, F.concat(F.lit("Quận "), district, F.lit(", REGION")))
+    address = address.when(kind == 1, F.concat(F.lit("Phường "), small, F.lit(", Huyện "), district, F.lit(", Tỉnh "), large))
+    address = address.otherwise(F.concat(F.lit("12 Street, Xã "), small, F.lit(", Thị xã "), district, F.lit(", Thành phố "), large))
+    c = c.select("c_custkey", address.alias("address"))
     return c.select("c_custkey", correct("address").alias("corrected"), G.is_address_like(F.col("address")).alias("address_like"))
 
 

@@ -60,6 +60,47 @@ def test_addresses(spark, text, want):
     assert spark.createDataFrame([(text,), (None,)], "t string").select(correct("t")).collect()[0][0] == want
 
 
+def test_address_query_reaches_all_levels(spark, sf):
+    from glyphmill.plans import corpus
+
+    read = {t: [r.asDict() for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()] for t in ("region", "nation", "supplier", "customer")}
+    provinces = [r["r_name"] for r in sorted(read["region"], key=lambda r: r["r_regionkey"])]
+    of = {r["r_regionkey"]: r["r_name"] for r in read["region"]}
+    nations = sorted(read["nation"], key=lambda r: r["n_nationkey"])
+    districts, wards = [(r["n_name"], of[r["n_regionkey"]]) for r in nations], []
+    for n in nations:
+        wards += [(s["s_name"], of[n["n_regionkey"]]) for s in sorted(read["supplier"], key=lambda s: s["s_suppkey"]) if s["s_nationkey"] == n["n_nationkey"]][:1]
+
+    def edits(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i, j in ((i, j) for i in range(1, len(a) + 1) for j in range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return d[len(a), len(b)]
+
+    def closest(name, pool, ratio=0.35):
+        near = [(d, i) for i, n in enumerate(pool) if (d := edits(name.lower(), n.lower())) <= ratio * max(len(name), len(n))]
+        return pool[min(near)[1]] if near else name
+
+    def inside(level, province):
+        return [n for n, p in level if p == province] or [n for n, _ in level]
+
+    memo = {}
+
+    def want(key):
+        district, ward, large = f"NATIOM_{key % 30}", wards[key // 3 % len(wards)][0].replace("pp", "p"), provinces[key // 3 % len(provinces)].replace("I", "L").replace("O", "Q")
+        if (spec := (key % 3, district, ward, large)) not in memo:
+            province = closest(large, provinces, 0.3) if key % 3 else None
+            d = closest(district, inside(districts, province))
+            full = closest(ward, inside(wards, province)), d, closest(large, provinces)
+            memo[spec] = [f"Quận {d}, REGION", "Phường {}, Huyện {}, Tỉnh {}".format(*full), "12 Street, Xã {}, Thị xã {}, Thành phố {}".format(*full)][key % 3]
+        return memo[spec]
+
+    got = {r["c_custkey"]: r["corrected"] for r in corpus.address_correction(spark, sf).collect()}
+    assert got == {r["c_custkey"]: want(r["c_custkey"]) for r in read["customer"]}
+    assert all(any(f"{word} {n}" in t for t in got.values()) for word, names in (("Phường", wards), ("Xã", wards), ("Huyện", districts)) for n in [names[0][0]])
+    assert any("Tỉnh AFRICA" in t for t in got.values()) and any("Thành phố AFRICA" in t for t in got.values())
+
+
 def test_trailing_province(spark):
     names = spark.createDataFrame([("hà nội", "Hà Nội", 0), ("đà nẵng", "Đà Nẵng", 1)], "norm string, name string, ord int")
     df = spark.createDataFrame([(0, "a, Đà Vưỡng"), (1, "a, Đà Nẵn"), (2, "a"), (3, "a, Hà Nội"), (4, "a, TP Hà Nộ"), (5, None)], "k int, t string")
