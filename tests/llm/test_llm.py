@@ -278,30 +278,47 @@ def brute_repeats(rows, length=50):
 
 def test_collection_suffixes():
     r = random.Random(3)
-    for _ in range(50):
-        texts = [bytes(r.choices(b"abc\x00\xff", k=r.randint(0, 14))) for _ in range(r.randint(1, 9))]
-        symbols = np.zeros((len(texts), max(map(len, texts))), np.uint8)
-        for row, t in zip(symbols, texts):
-            row[: len(t)] = np.frombuffer(t, np.uint8)
-        string, offset, lcp, before = bwt.collection_suffixes(symbols, np.array([len(t) for t in texts]), 5)
-        found = [texts[i][o:] for i, o in zip(string, offset)]
-        assert found == sorted(t[o:] for t in texts for o in range(len(t) + 1))
-        assert list(before) == [texts[i][o - 1] + 1 if o else 0 for i, o in zip(string, offset)]
-        for k in range(1, len(found)):
-            n = next((n for n, (a, b) in enumerate(zip(found[k - 1], found[k])) if a != b), min(len(found[k - 1]), len(found[k])))
-            assert lcp[k] == min(n, 5)
-
-
-@pytest.mark.parametrize("hot, packed", [(32_000, 1_000_000), (1, 200)])
-def test_suffix_dedup(spark, edge, empty, monkeypatch, hot, packed):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "PACKED", packed)
+    for most, leave in itertools.product((1, 2, 5, 12, 36), (False, True)):
+        for _ in range(20):
+            texts = [bytes(r.choices(b"ab\x00\xf4" if most > 2 else b"abc\x00", k=r.randint(most, most + 9))) for _ in range(r.randint(1, 9))]
+            texts += texts[: r.randint(0, 3)]
+            symbols = np.zeros((len(texts), max(map(len, texts))), np.uint8)
+            for row, t in zip(symbols, texts):
+                row[: len(t)] = np.frombuffer(t, np.uint8)
+            string, offset, run = bwt.collection_suffixes(symbols, np.array([len(t) for t in texts]), most, leave)
+            found = [texts[i][o : o + most] for i, o in zip(string, offset)]
+            every = sorted(t[o : o + most] for t in texts for o in range(len(t) - most + 1))
+            assert found == sorted(found) and (found == every if not leave else not set(x for x in every if every.count(x) > 1) - set(found))
+            assert all((run[i] == run[i - 1]) == (found[i] == found[i - 1]) for i in range(1, len(found)))
+            assert not leave or all(found.count(x) == every.count(x) for x in found)
+
+
+@pytest.mark.parametrize("hot, packed, lot", [(32_000, 1_000_000, 30_000), (1, 200, 30_000), (32_000, 200, 100)])
+def test_suffix_dedup(spark, edge, empty, monkeypatch, hot, packed, lot):
+    for name, value in (("HOT", hot), ("PACKED", packed), ("LOT", lot), ("SORTED", lot // 10), ("SLICE", 70)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = [r for r in EDGE if r[0] != 10] + [(20 + i, words(30, i) + P[:200] + words(10, 50 + i)) for i in range(12)] + [(40 + i, "x" * i + "lorem ipsum dolor sit amet " * 4) for i in range(4)]
+    rows += [(5, P[:90]), (6, "short"), (7, words(300, 4)), (44, words(9, 1) + P[10:90]), (44, P[10:90]), (44, P[10:90]), (45, words(40, 2) * 3)]  # different texts of an id
     got = sorted((tuple(r) for r in suffix_dedup.deduplicate(documents(spark, rows)).collect()), key=repr)
     assert got == brute_repeats(rows)
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+def test_lots_settle_hot_lines_within_bounds():
+    """A line that all documents have: what a lot hands on is bounded, and its arrays are small."""
+    import tracemalloc
+
+    line = words(40, 1)
+    tracemalloc.start()
+    texts = [np.frombuffer((words(3, i) + line)[:84].encode(), np.uint8) for i in range(8000)]
+    matrix, size = np.stack(texts), np.full(8000, 84)
+    row, offset = suffix_dedup.repeats(matrix, size, np.arange(8000), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = brute_repeats([(i, t.tobytes().decode()) for i, t in enumerate(texts)])
+    assert sum(x[2] > 0 for x in want) == len(set(row.tolist())) and peak < 60e6
+
+
 def test_removed_texts(spark):
     rows = [(1, "é" * 60), (2, "ab" + "é" * 60 + "cd"), (3, "é" * 60), (4, None), (5, ""), (None, "é" * 60)]
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect()}
