@@ -1,11 +1,12 @@
 """Benchmark decontamination over a distributed positional inverted index. DataFrame functions only.
 
 Every benchmark window needs all its words at fixed distances, so a document can only hold it where the
-window's rarest words line up. The corpus is read for the counts of benchmark words, then for postings
-(document, word, position) of each window's rarest words; subtracting a word's place in the item from
+window's rarest words line up. The corpus is read for the counts of benchmark words, then for the stored
+postings (text, word, position) of each window's rarest words; subtracting a word's place in the item from
 its position gives an alignment, and alignments that enough rare words agree on are verified word by
-word against the whole text. Tables that come from the benchmark are broadcast only after a count has
-shown them to be small; otherwise Spark joins them by shuffle.
+word against the whole text. Windows that an item repeats are looked for once, so that repeated words do not
+multiply alignments. Tables that come from the benchmark are broadcast only after their rows and bytes have
+been counted and found small; otherwise Spark joins them by shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphmill.llm.shared import BROADCAST_ROWS, fresh, small, store
+from glyphmill.llm.shared import drop_stored, fresh, small, store
 
 #: Words of a window, rarest words of a window whose postings are intersected.
 WINDOW, RAREST = 10, 2
@@ -33,16 +34,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
+def text_key(text: Column) -> Column:
+    """What postings know a text by. Texts that share a key share alignments, and are verified each by itself."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def positions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, pos, term of every word; rows without words vanish."""
-    return docs.select("doc_id", F.posexplode(words(F.col(text))).alias("pos", "term"))
+    """key, pos, term of every word; rows without words vanish."""
+    return docs.select(text_key(F.col(text)).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "term"))
 
 
 def item_table(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Stored table of the distinct items that have words: item_key, item_id, words, w (words of a window)."""
+    """Stored table of the segments of distinct items that have words: item_key, item_id, words, w (words of a window).
+
+    A segment is as many words in a row as windows start in that the item did not have before: every
+    window of the item is in just one segment, and only once.
+    """
     out = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
     key = F.sha2(F.to_json(F.struct("item_id", "words")), 256)
-    return store(out.select(key.alias("item_key"), "item_id", "words", F.least(F.lit(window), F.size("words")).alias("w")), "items")
+    out = store(out.select(key.alias("item"), "item_id", "words", F.least(F.lit(window), F.size("words")).alias("w")), "items")
+    starts = out.select("item", "words", "w", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("w"))).alias("s"))
+    first = starts.groupBy("item", F.concat_ws(" ", F.slice("words", F.col("s") + 1, F.col("w"))).alias("phrase")).agg(F.min("s").alias("s"))
+    island = first.select("item", "s", (F.col("s") - F.row_number().over(W.partitionBy("item").orderBy("s"))).alias("island"))  # one benchmark item a group
+    ends = island.groupBy("item", "island").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    cut = F.slice("words", F.col("a") + 1, F.col("b") - F.col("a") + F.col("w"))
+    return store(out.join(ends, "item").select(F.concat_ws("-", "item", "a").alias("item_key"), "item_id", cut.alias("words"), "w"), "segments")
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -64,38 +80,49 @@ def anchors(items: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFr
     return store(out.select("item_key", F.col("x.term").alias("term"), F.col("x.q").alias("q"), "need"), "anchors")
 
 
-def candidates(docs: DataFrame, rare: DataFrame) -> DataFrame:
-    """doc_id, item_key, diag: alignments on which enough rare words of an item agree."""
-    lists = positions(docs).join(small(rare), "term").select("doc_id", "item_key", "need", (F.col("pos") - F.col("q")).alias("diag"))
-    return lists.groupBy("doc_id", "item_key", "diag", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("doc_id", "item_key", "diag")
+def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """Stored table key, term, pos: the index of the corpus for the words of `anchors`."""
+    terms = small(store(rare.select("term").distinct(), "rare-terms"))
+    return store(positions(docs).join(terms, "term").select("key", "term", "pos"), "postings")
 
 
-def _starts(c: Column, text_words: Column) -> Column:
-    """Places in a candidate's item at which a whole window equals the document."""
-    size = F.size(c["words"])
-    same = F.transform(c["words"], lambda x, q: F.coalesce(F.get(text_words, q + c["diag"]) == x, F.lit(False)))
-    runs = F.sequence(F.lit(0), size - c["w"])
+def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
+    """key, item_key, diags: alignments on which enough rare words of an item agree."""
+    lists = index.join(small(rare), "term").select("key", "item_key", "need", (F.col("pos") - F.col("q")).alias("diag"))
+    agreed = lists.groupBy("key", "item_key", "diag", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need")
+    return agreed.groupBy("key", "item_key").agg(F.collect_list("diag").alias("diags"))  # no more than the text's words and the item's
+
+
+def _starts(c: Column, diag: Column, text_words: Column) -> Column:
+    """Places in a candidate's segment at which a whole window equals the document, when aligned at `diag`."""
+    same = F.transform(c["words"], lambda x, q: F.coalesce(F.get(text_words, q + diag) == x, F.lit(False)))
+    runs = F.sequence(F.lit(0), F.size(c["words"]) - c["w"])
     return F.filter(runs, lambda s: F.forall(F.slice(same, s + 1, c["w"]), lambda x: x))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Every row of `docs` (doc_id, text and more) with two more columns at the end: the number of its
+    """Every row of `docs` (text and more) with two more columns at the end: the number of its
     words, and what was found as an array of struct(item_id, start, w).
 
     `start` is the document word at which an occurring window begins, `w` its words. Items without
-    words never match, null texts have no words. Documents that share an id, or have none, are each
-    judged on their own text.
+    words never match, null texts have no words. Rows are judged each on its own text, whatever ids they have.
     """
     items = item_table(items, window)
-    plain = docs.select("doc_id", "text")
+    plain = docs.select("text")
     rare = anchors(items, term_counts(plain, items), rarest)
-    doc, cand, n, found = fresh(docs, "_doc", "_cand", "_n_words", "_found")
-    pairs = store(candidates(plain, rare), "candidates").join(small(items), "item_key")
-    lists = store(pairs.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("item_id", "words", "w", "diag")).alias(cand)), "aligned")
-    out = docs.join(small(lists, BROADCAST_ROWS // 10), docs["doc_id"].eqNullSafe(lists[doc]), "left").drop(doc)
+    key, cand, n, found = fresh(docs, "_key", "_cand", "_n_words", "_found")
+    index = postings(plain, rare)
+    pairs = store(candidates(index, rare), "candidates")
+    drop_stored(index)
+    pairs = pairs.join(small(items), "item_key")
+    lists = store(pairs.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("item_id", "words", "w", "diags")).alias(cand)), "aligned")
+    out = docs.join(small(lists), text_key(docs["text"]) == lists[key], "left").drop(key)
 
     def ranges(w: Column) -> Column:
-        return F.flatten(F.transform(cand, lambda c: F.transform(_starts(c, w), lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["diag"]).alias("start"), c["w"].alias("w")))))
+        def one(c: Column, diag: Column) -> Column:
+            return F.transform(_starts(c, diag, w), lambda s: F.struct(c["item_id"].alias("item_id"), (s + diag).alias("start"), c["w"].alias("w")))
+
+        return F.flatten(F.transform(cand, lambda c: F.flatten(F.transform(c["diags"], lambda diag: one(c, diag)))))
 
     text_words = words(F.col("text"))
     once = F.element_at(F.transform(F.array(text_words), ranges), 1)  # the words as a variable: a filter on the result would else split texts once per word
@@ -116,10 +143,11 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms:
     """
     items = item_table(items, window=1 << 30)
     rare = anchors(items, term_counts(docs, items), terms)
-    lists = positions(docs).join(small(rare), "term").select("doc_id", "item_key", "need", "q", "pos")
-    near = W.partitionBy("doc_id", "item_key").orderBy("pos").rangeBetween(-slop, 0)
+    lists = postings(docs, rare).join(small(rare), "term").select("key", "item_key", "need", "q", "pos")
+    near = W.partitionBy("key", "item_key").orderBy("pos").rangeBetween(-slop, 0)
     hit = lists.withColumn("_near", F.size(F.collect_set("q").over(near))).filter("_near >= need")
-    return hit.join(small(items.select("item_key", "item_id")), "item_key").select("doc_id", "item_id", F.col("pos").alias("end")).distinct()
+    hit = hit.join(small(items.select("item_key", "item_id")), "item_key").select("key", "item_id", F.col("pos").alias("end")).distinct()
+    return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(hit, "key").select("doc_id", "item_id", "end").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:

@@ -8,7 +8,6 @@ regressions are one matrix, so a batch of presence rows is scored by one matrix
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,7 +103,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and re.search(r"[^\W\d_]", text) is not None
+    """Whether a text holds a character of Unicode's letter categories (numerals such as ½ or Ⅷ are none)."""
+    return any(map(str.isalpha, text or ""))
 
 
 def _predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Tables of more rows than this are never broadcast.
-BROADCAST_ROWS = 200_000
+#: Tables of more rows or bytes (as text) than this are never broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _RUN = uuid.uuid4().hex
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for stored tables: inside spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """Folder for stored tables: inside spark.checkpoint.dir. A temporary folder only where that is unset and
+    Spark runs in this one machine, as in tests; on a cluster executors would not share it."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if "folder" not in _OWN:
             _OWN["folder"] = tempfile.mkdtemp(prefix="glyphmill-")
         base = _OWN["folder"]
@@ -43,9 +47,12 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (a stored table) with a broadcast hint if a count shows it to be small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (a stored table) with a broadcast hint if a count of rows and bytes shows it to be small enough."""
+    some = df.limit(rows + 1)
+    bytes_ = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long"))
+    n, b = some.agg(F.count(F.lit(1)), F.coalesce(bytes_, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
 
 
 def drop_stored(df: DataFrame) -> None:

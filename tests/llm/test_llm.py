@@ -404,9 +404,27 @@ def test_contamination(spark, empty):
     kept = decontaminate.drop_contaminated(documents(spark, rows), bench)
     assert sorted(kept.toPandas().doc_id.dropna().astype(int)) == [3, 6, 7, 11] and kept.columns == documents(spark, []).columns
     assert decontaminate.contamination(empty, bench).count() == 0
+    again = documents(spark, [(d, t) for d, t in rows if d in (1, 5)] + [(1, "a " * 11), (1, item)])  # different texts of an id
+    assert sorted((tuple(r) for r in decontaminate.contamination(again, bench).collect()), key=repr) == brute_contamination([(r["doc_id"], r["text"]) for r in again.collect()], items)
     assert decontaminate.contamination(documents(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_repeated_words_and_windows(spark):
+    """Texts of one word, of a period and of two words against items of the same kind."""
+    import time
+
+    r = random.Random(6)
+    items = [(1, "a " * 200), (2, "b c d " * 50), (3, " ".join(r.choices("ef", k=120)) + " g h i j k l m n o p q " + "a " * 30), (4, "b c d " * 5 + "z")]
+    texts = ["a " * 300, "x " + "c d b " * 40 + "y", " ".join(r.choices("ef", k=400)), items[2][1] + "tail", "a " * 9, "b c d " * 5 + "z a", "q " + "a " * 12]
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(x) for x in decontaminate.contamination(documents(spark, rows), bench).collect()) == sorted(brute_contamination(rows, items))
+    began = time.time()
+    long = documents(spark, [(1, "a " * 20_000)])
+    assert [tuple(x)[1:4] for x in decontaminate.contamination(long, bench).collect()] == [(20_000, 20_000, 2)]
+    assert time.time() - began < 40
+
+
 def test_proximity(spark):
     docs = documents(spark, [(1, "red x x blue x green"), (2, "green blue red"), (3, "red " + "x " * 40 + "blue green"), (4, "red blue")])
     bench = spark.createDataFrame([(1, "red blue green")], "item_id long, text string")
@@ -526,6 +544,10 @@ def test_language(spark, empty):
     held = [i for i in want if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i]["held_out"] for i in held) and sum(got[i]["lang_pred"] == want[i] for i in held) / len(held) > 0.98
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003]["lang_pred"] == "aa" and all(0 <= g["score"] <= 1 for g in got.values())
+    odd = {2000: "½ ²", 2001: "Ⅷ ①", 2002: "٣ १ ੩", 2003: "½ é", 2004: "字"}
+    odd_docs = spark.createDataFrame([(i, t, None, "s", "p") for i, t in odd.items()], docs.schema)
+    assert {r["doc_id"] for r in language.identify(odd_docs, model).collect() if r["lang_pred"] == "und"} == {2000, 2001, 2002}
+    assert {r["doc_id"] for r in language.keep_identified(odd_docs, model).collect()} == {2003, 2004}
     kept = language.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     nothing = language.fit(docs.limit(0))
