@@ -40,7 +40,7 @@ def statistics(text: str) -> list[float]:
     m, k = max(len(words), 1), max(len(lines), 1)
     tally, line_tally = Counter(words), Counter(lines)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    triples = Counter(zip(words, words[1:], words[2:])) if len(words) < 4000 else Counter(map(hash, zip(words, words[1:], words[2:])))
+    triples = set(zip(words, words[1:], words[2:]))
     return [
         float(len(raw)), float(len(words)), (count[0x41:0x5B].sum() + count[0x61:0x7B].sum()) / n, count[0x30:0x3A].sum() / n, count[[9, 10, 13, 32]].sum() / n,
         count[0x41:0x5B].sum() / n, stops / n, marks / n, (marks - stops) / n, count[0x80:].sum() / n, float(-(p * np.log2(p)).sum()), lengths.sum() / m,

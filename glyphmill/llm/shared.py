@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 
 #: Tables of more rows or bytes (as text) than this are never broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes after which Spark ends a batch for a Python worker, unless the application's configuration names them: bounds batches of very long texts.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _RUN = uuid.uuid4().hex
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: dict[str, str] = {}
@@ -89,7 +92,9 @@ def release() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow whose Python workers, which Spark keeps for later tasks, give their memory back after each task."""
+    """mapInArrow whose Python workers, which Spark keeps for later tasks, give their memory back after each task, with batches bounded by bytes."""
+    if not df.sparkSession.sparkContext.getConf().contains(_BATCH_KEY):
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

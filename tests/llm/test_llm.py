@@ -346,6 +346,43 @@ def test_quality_held_out(spark):
     assert quality.classify(documents(spark, rows), lab.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_statistics_by_hand():
+    text = "One two, two two!\none two, two two!\n\nÉ 12 #x (end)"
+    got = dict(zip(quality.FEATURES, quality.statistics(text)))
+    words_, n = text.split(), len(text.encode())
+    triples = [tuple(words_[i : i + 3]) for i in range(len(words_) - 2)]
+    want = {
+        "bytes": n, "words": 12, "letters": sum(c.isascii() and c.isalpha() for c in text) / n, "digits": 2 / n, "spaces": sum(c in " \n" for c in text) / n, "upper": 1 / n, "stops": 4 / n,
+        "marks": 7 / n, "other_marks": 3 / n, "non_ascii": 2 / n, "entropy": -sum(text.encode().count(b) / n * np.log2(text.encode().count(b) / n) for b in set(text.encode())),
+        "word_length": sum(map(len, words_)) / 12, "distinct_words": len(set(words_)) / 12, "top_word": max(map(words_.count, words_)) / 12, "repeats": 0.0, "long_words": 0.0, "short_words": 3 / 12, "odd_ends": 1 / 12,
+        "lines": 3, "line_length": sum(map(len, text.split("\n"))) / 3, "distinct_lines": 1.0, "top_line": 1 / 3, "repeated_trigrams": 1 - len(set(triples)) / len(triples),
+    }
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items()), {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) > 1e-12}
+    assert quality.statistics("") == [0.0] * len(quality.FEATURES)
+
+
+def test_first_split_is_the_best_of_all():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 12, (200, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (r.random(200) < 0.1)).astype(float)
+    forest = quality.grow(x, y, trees=1, depth=1, least=5)
+    p = (y.sum() + 0.5) / 201
+    g, h, best = p - y, np.full(200, p * (1 - p)), (0.0, None, None)
+    for j in range(3):
+        for cut in np.unique(x[:, j]):
+            left = x[:, j] <= cut
+            if min(left.sum(), 200 - left.sum()) >= 5:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.SMOOTH) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.SMOOTH)
+                best = max(best, (gain, j, cut), key=lambda b: b[0])
+    left = x[:, best[1]] <= best[2]
+    assert forest.feature[0, 0] == best[1] and ((x[:, best[1]] <= forest.threshold[0, 0]) == left).all()
+    assert np.allclose(forest.value[0], [-quality.RATE * g[s].sum() / (h[s].sum() + quality.SMOOTH) for s in (left, ~left)])
+
+
+def test_quality_of_empty_tables(spark, empty):
+    assert quality.classify(empty, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
+
+
 def test_forest_walk_equals_nodes():
     x = np.random.default_rng(2).normal(size=(300, 3))
     forest = quality.grow(x, (x[:, 0] > 0.3).astype(float), trees=5, least=5)
@@ -523,6 +560,18 @@ def test_shards(spark, edge, empty):
     assert sharding.shard_documents(empty, 3).count() == 0
 
 
+def test_shards_by_recomputed_winner(spark):
+    def winner(doc, shards):
+        best = []
+        for i in range(shards):
+            h = xxhash.xxh64_intdigest(int(i).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(doc).encode(), 42))
+            best.append(h - (1 << 64) if h >> 63 else h)
+        return max(range(shards), key=lambda i: (best[i], -i))
+
+    got = sharding.shard_documents(documents(spark, [(i, f"t{i}") for i in range(300)]), 40).collect()
+    assert all((r["shard"], r["grown_shard"]) == (winner(r["doc_id"], 40), winner(r["doc_id"], 41)) for r in got) and {r["shard"] for r in got} == set(range(40))
+
+
 def test_weighted_shards(spark):
     df = spark.range(20_000).select("id", sharding.rendezvous(F.col("id"), [1.0, 3.0, 0.0]).alias("s"))
     n = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
@@ -611,7 +660,8 @@ def test_pipeline(spark, sf):
         if name == "language":
             assert set(before) - set(after) == {d for d, t in before.items() if not any(c.isalpha() for c in t or "")}
         elif name == "near_duplicates":
-            assert set(after) == {c for d, _, c in brute_components(list(before.items()))}
+            rows = list(before.items())  # similarity 4/5 on five-word shingles, not the query's SimHash rule
+            assert set(after) == {rows[i][0] for i in brute_near_copies(rows)}
         elif name == "repeated_passages":
             cuts = {d: (n, r) for d, n, r, _, _ in brute_repeats(list(before.items()))}
             assert all(len(t.encode()) <= cuts[d][0] - cuts[d][1] and cuts[d][0] - cuts[d][1] - len(t.encode()) <= 6 * 50 for d, t in after.items() if cuts[d][1])
@@ -622,3 +672,29 @@ def test_pipeline(spark, sf):
         assert set(after) <= set(before)
     packed = stages[names[-1]](spark, state, sf).toPandas()
     assert set(packed.doc_id) == set(after)
+
+
+def test_pipeline_runs_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    def run(rows):
+        folder = str(tmp_path / str(len(rows)))
+        docs = spark.createDataFrame([(i, t, None, "s", None, 1, "p") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, sequence_id int, _spans string")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, words(30, 500)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return corpus_pipeline.run(spark, folder).toPandas()
+
+    assert len(run([])) == 0
+    clean, passage = words(300, 1), words(80, 2)
+    rows = [(1, clean), (1, clean), (2, clean + " end"), (3, None), (4, ""), (5, "½ ²"), (6, "x " + words(30, 500)), (7, passage + " " + words(200, 3)), (8, words(200, 4) + " " + passage)]
+    rows += [(None, words(90, 5)), (None, words(90, 5)), (9, words(30_000, 6)), (10, words(50, 7)), (10, words(70, 8))]  # repeated rows, no id, a very long text, an id of two texts
+    packed = run(rows)
+    whole = packed.groupby("doc_id", dropna=False).length.sum()
+    assert {None if np.isnan(d) else int(d) for d in whole.index} == {1, 7, 8, 9, 10, None}
+    tok = Tokenizer.from_file(CLIP)
+    ids = lambda t: len(tok.encode(t, add_special_tokens=False).ids) + 1
+    assert whole[1] == ids(clean) and whole[9] == ids(words(30_000, 6)) and whole[10] == ids(words(50, 7)) + ids(words(70, 8)) and ids(words(200, 4)) <= whole[8] < ids(rows[8][1]) - 100
+    assert packed[packed.doc_id.isna()].length.sum() == ids(words(90, 5))
+    for _, part in packed.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 2048
