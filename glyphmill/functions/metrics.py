@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import SPACES, has_hallucination, trim_spaces
+from glyphmill.functions.text import SPACES, bound, has_hallucination, trim_spaces
 
 
 def edits(ref: Column, pred: Column) -> Column:
@@ -24,16 +24,39 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, rf"(?U)[{SPACES}]+"), "")
 
 
-def token_letters(words: Column, alphabet: Column) -> Column:
-    """One private character per word: its place in `alphabet`, from U+4E00 on."""
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(alphabet, w)), 4, "0")), "UTF-16BE")), "")
+#: Code points below surrogates and above, and the first that is used for words.
+_SURROGATES, _SKIPPED, _FIRST, _LAST = 0xD800, 0x800, 0x20, 0x10FFFF
+
+
+def word_index(words: Column) -> Column:
+    """Distinct words dealt by hash into about as many lists as each then holds words."""
+    lists = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(words))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), lists - 1), lambda i: F.filter(words, lambda w: F.pmod(F.xxhash64(w), lists) == i))
+
+
+def word_letter(word: Column, index: Column) -> Column:
+    """The word's own character: its list and its place there, numbered together."""
+    lists = F.size(index).cast("long")
+    at = F.pmod(F.xxhash64(word), lists).cast("int")
+    code = F.lit(_FIRST) + (F.array_position(F.get(index, at), word) - 1) * lists + at
+    code = F.when(code < _SURROGATES, code).otherwise(code + _SKIPPED)
+    code = F.when(code <= _LAST, code).otherwise(F.raise_error(F.lit("more distinct words in a pair of texts than there are characters")).cast("long"))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def token_letters(words: Column, index: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: word_letter(w, index)), "")
 
 
 def word_edits(ref: Column, pred: Column) -> Column:
-    """Word edits, as character edits over a private alphabet (texts of up to 20,000 distinct words)."""
-    r, p = tokens(ref), tokens(pred)
-    alphabet = F.array_union(r, p)
-    return F.levenshtein(token_letters(r, alphabet), token_letters(p, alphabet))
+    """Word edits, as character edits over a private alphabet (up to some hundred thousand distinct words in a pair, then an error)."""
+    both = F.struct(tokens(ref).alias("r"), tokens(pred).alias("p"))
+
+    def edits_of(x: Column) -> Column:
+        index = bound(F.array_union(x["r"], x["p"]), word_index)
+        return bound(index, lambda i: F.levenshtein(token_letters(x["r"], i), token_letters(x["p"], i)))
+
+    return F.when(ref.isNotNull() & pred.isNotNull(), bound(both, edits_of))
 
 
 def wer(ref: Column, pred: Column) -> Column:

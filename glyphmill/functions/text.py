@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,11 @@ CHAR_RUN, WORD_RUN = r"(?Ud)(.)\1{3,}", rf"(?U)\b([^{SPACES}]+)(?:[{SPACES}]+\1)
 MARK_RUN, END_RUN = rf"(?U)([^\w{SPACES}]+)(?:[{SPACES}]+\1){{2,}}", rf"(?U)([{SPACES}]+[^{SPACES}]{{1,4}})\1{{2,}}[{SPACES}]*$"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once: inside a lambda it would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _to_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import SPACES, collapse_spaces, nfc, trim_spaces
+from glyphmill.functions.text import SPACES, bound, collapse_spaces, nfc, trim_spaces
 
 SHORTEST, LONGEST = 8, 200
 #: Break points of long sentences, strongest first (fixed values).
@@ -61,41 +60,36 @@ def extract_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.filter(F.when(F.col("_long"), part).otherwise(good_sentence(F.col("sentence")))).drop("_long")
 
 
-def split_sentence(text: str, longest: int) -> list[str]:
-    """Segments of at most `longest` characters at the strongest break points whose packing fits, else at words."""
-    import re
+def joined_parts(parts: Column, joiner: str, longest: int) -> Column:
+    """Neighbouring parts joined from the left for as long as they fit; what stays shorter than SHORTEST goes."""
 
-    if len(text) <= longest:
-        return [text]
+    def step(done: Column, part: Column) -> Column:
+        fits = (done["last"] != "") & (F.length(done["last"]) + len(joiner) + F.length(part) <= longest)
+        before = F.when(fits, done["before"]).otherwise(F.array_append(done["before"], done["last"]))
+        return F.struct(before.alias("before"), F.when(fits, F.concat_ws(joiner, done["last"], part)).otherwise(part).alias("last"))
 
-    def packed(parts: list[str], joiner: str) -> list[str]:
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if held and len(held) + len(joiner) + len(p) <= longest:
-                held += joiner + p
-            else:
-                out.append(held)
-                held = p
-        return [s for s in [*out, held] if len(s) >= SHORTEST]
-
-    for pattern in BREAKS:
-        first, *rest = re.split(pattern, text)
-        if rest:
-            found = packed([first.strip(), *(p for p in map(str.strip, rest) if p)], ", ")
-            if found and max(map(len, found)) <= longest:
-                return found
-    words = text.split()
-    return (packed(words, " ") if words else []) or [text[:longest]]
+    start = F.struct(F.array().cast("array<string>").alias("before"), F.get(parts, 0).alias("last"))
+    every = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), start, step, lambda done: F.array_append(done["before"], done["last"]))
+    return F.filter(every, lambda s: F.length(s) >= SHORTEST)
 
 
 def pack_segments(text: Column, longest: int) -> Column:
-    """Array of segments of each sentence (Arrow batches; the packing is a fold over parts)."""
+    """Array of segments of each sentence, `longest` characters at most: the text itself if it is that short, else
+    parts between the strongest break points that leave only parts that fit, joined by commas; else words.
+
+    Empty parts go, but for one before a break point at the very start, after which the next part begins
+    a segment of its own. A text without any segment of SHORTEST characters gives its first characters.
+    """
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_sentence(t, longest), na_action="ignore")
+    def between(pattern: str) -> Column:
+        pieces = F.transform(F.split(text, f"(?U){pattern}"), trim_spaces)
+        parts = F.filter(pieces, lambda p, i: (i == 0) | (p != ""))
+        fit = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda s: F.length(s) <= longest), found)
+        return F.when(text.rlike(f"(?U){pattern}"), bound(parts, lambda p: bound(joined_parts(p, ", ", longest), fit)))
 
-    return run(text)
+    words = bound(F.array_remove(F.split(text, rf"(?U)[{SPACES}]+"), ""), lambda w: joined_parts(w, " ", longest))
+    by_words = bound(words, lambda found: F.when(F.size(found) > 0, found))
+    return F.when(F.length(text) <= longest, F.array(text)).when(text.isNotNull(), F.coalesce(*map(between, BREAKS), by_words, F.array(F.substring(text, 1, longest))))
 
 
 def clean_corpus(sentences: DataFrame, text: str, order: str, longest: int, shortest: int = 5) -> DataFrame:

@@ -40,11 +40,13 @@ def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, na
     """key, best, dist: for each entity the name with the fewest edits among those within
     edits <= ratio * longer length; ties go to the smaller ordinal. Entities that are names stay out.
 
-    With `scope` (a column of both sides) names are matched within it. Lengths bound the edits, so
-    names meet entities only where the lengths allow it: the join key is (scope, length), with each
-    entity listed under the lengths it can reach; Levenshtein then stops at the bound.
+    With `scope` (a column of both sides) names are matched within it. Each distinct entity of a scope
+    is matched once. Lengths bound the edits, so names meet entities only where the lengths allow it:
+    the join key is (scope, length), with each entity listed under the lengths it can reach;
+    Levenshtein then stops at the bound.
     """
-    e = entities.join(names.select(F.col(name).alias("_known")).distinct(), F.col(entity) == F.col("_known"), "left_anti")
+    own = [entity] if scope is None else [entity, scope]
+    e = entities.select(*own).distinct().join(names.select(F.col(name).alias("_known")).distinct(), F.col(entity) == F.col("_known"), "left_anti")
     e = e.filter(F.length(entity) >= SHORTEST)
     low, high = F.ceil(F.length(entity) * (1 - ratio)), F.floor(F.length(entity) / (1 - ratio))
     e = e.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(1), low), high)))
@@ -54,7 +56,8 @@ def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, na
     longer = F.greatest(F.length(entity), F.length("_name"))
     dist = F.levenshtein(F.col(entity), F.col("_name"))
     pairs = pairs.withColumn("_dist", dist).filter(F.col("_dist") / longer <= ratio)
-    best = pairs.groupBy(key).agg(F.min_by(F.struct("_name", "_dist"), F.struct("_dist", "_ord")).alias("b"))
+    best = pairs.groupBy(*own).agg(F.min(F.struct("_dist", "_ord", "_name")).alias("b"))
+    best = entities.select(key, *own).join(best, own).groupBy(key).agg(F.min("b").alias("b"))  # a key may be repeated
     return best.select(key, F.col("b._name").alias("best"), F.col("b._dist").alias("dist"))
 
 

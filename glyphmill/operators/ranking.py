@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import BinaryType, MapType
 
 
 def hash_order(*keys: Column, seed: str = "42") -> Column:
@@ -27,7 +27,8 @@ def bucketed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], buc
     looks at every column for that: a narrower one would be another exchange over another scan. So
     `df` should hold only the columns that are needed afterwards.
     """
-    seen = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    fields = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    seen = [F.octet_length(c) if isinstance(t, BinaryType) else c for c, t in fields]
     df = df.withColumn("_bucket", bucket).repartition(*by, "_bucket")
     every = F.max(F.xxhash64(*seen)) * 0
     sizes = df.groupBy(*by, "_bucket").agg((F.count(F.lit(1)) + every).alias("_size"))
@@ -44,7 +45,23 @@ def bucketed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], buc
     return out.drop("_bucket", "_before", "_in", *[f"_j{i}" for i in range(len(keys))])
 
 
-def shuffled_rank(df: DataFrame, by: Sequence[str], key: str, seed: str = "42", rank: str = "rn", total: str | None = "n") -> DataFrame:
-    """Ranks in seeded hash order; buckets are the first two digits of the hash."""
+def range_bucket(df: DataFrame, column: str, buckets: int = 256, sample: int = 20) -> Column:
+    """Bucket of a value, monotone in it, null first: the number of bounds up to it.
+
+    Bounds are quantiles of the `sample` x `buckets` distinct values with the smallest hashes, which is all that
+    reaches the driver. Only values that are equal have to share a bucket.
+    """
+    values = df.select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
+    some = sorted(r["v"] for r in values.orderBy(F.xxhash64("v")).limit(sample * buckets).collect())
+    bounds = sorted(set(some[sample::sample]))
+    if not bounds:
+        return F.when(F.col(column).isNull(), -1).otherwise(0)
+    kind = df.schema[column].dataType
+    listed = F.array(*[F.lit(b).cast(kind) for b in bounds])
+    return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(listed, lambda b: b <= F.col(column))))
+
+
+def shuffled_rank(df: DataFrame, by: Sequence[str], key: str, seed: str = "42", rank: str = "rn", total: str | None = "n", digits: int = 3) -> DataFrame:
+    """Ranks in seeded hash order; buckets are the first `digits` hex digits of the hash."""
     df = df.withColumn("_h", hash_order(F.col(key), seed=seed))
-    return bucketed_rank(df, by, [F.col("_h"), F.col(key)], F.substring("_h", 1, 2), rank, total).drop("_h")
+    return bucketed_rank(df, by, [F.col("_h"), F.col(key)], F.substring("_h", 1, digits), rank, total).drop("_h")

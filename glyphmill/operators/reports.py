@@ -51,3 +51,20 @@ def markdown_table(df: DataFrame, columns: Sequence[str], order: str) -> DataFra
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
     return df.agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["l"]), "\n")).alias("report"))
+
+
+def places(value: Column | str, digits: int) -> Column:
+    """A number as text with so many places."""
+    return F.format_string(f"%.{digits}f", (F.col(value) if isinstance(value, str) else value).cast("double"))
+
+
+def percent(value: Column) -> Column:
+    """A share as text of a percentage with one place."""
+    return F.concat(places(value * 100, 1), F.lit("%"))
+
+
+def timing_line(steps: Sequence[tuple[str, Column]]) -> Column:
+    """One line of the steps' seconds and their total."""
+    parts = [F.concat(F.lit(f"{name}: "), places(seconds, 2), F.lit("s")) for name, seconds in steps]
+    total = F.concat(F.lit("**Total: "), places(sum((seconds for _, seconds in steps), F.lit(0.0)), 2), F.lit("s**"))
+    return F.concat_ws(" │ ", *parts, total)

@@ -70,3 +70,8 @@ def change_points(df: DataFrame, value: str, by: Sequence[str], order: Sequence[
     """Rows whose value differs from the row before (the first row is none)."""
     w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn("previous", F.lag(value).over(w)).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+
+
+def any_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of which at least one of the columns has a value."""
+    return df.filter(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())

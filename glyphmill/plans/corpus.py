@@ -32,11 +32,12 @@ def sentence_quality(spark, sf_dir):
 
 
 _GOOD = "length(s) BETWEEN 8 AND 200 AND length(regexp_replace(s, '[\\x00-\\x7F]', '', 'g')) >= 2"
-SENTENCE_QUALITY = rf"""
-WITH r AS ({_RAW}), p AS (
+_SENTENCES = rf"""r AS ({_RAW}), p AS (
   SELECT doc_id, sentence AS s FROM r WHERE length(sentence) <= 200 AND length(regexp_replace(sentence, '[^\p{{L}}]', '', 'g')) >= length(sentence) * 0.3
     AND length(sentence) - length(replace(sentence, '(', '')) <= 3 AND length(sentence) - length(replace(sentence, ')', '')) <= 3
-  UNION ALL SELECT doc_id, regexp_replace(x, '^ +| +$', '', 'g') FROM (SELECT doc_id, unnest(string_split(regexp_replace(sentence, ', +', chr(1), 'g'), chr(1))) AS x FROM r WHERE length(sentence) > 200))
+  UNION ALL SELECT doc_id, regexp_replace(x, '^ +| +$', '', 'g') FROM (SELECT doc_id, unnest(string_split(regexp_replace(sentence, ', +', chr(1), 'g'), chr(1))) AS x FROM r WHERE length(sentence) > 200))"""
+SENTENCE_QUALITY = rf"""
+WITH {_SENTENCES}
 SELECT doc_id, count(*) AS good, sum(length(s))::BIGINT AS chars, min(md5(s)) AS least_digest FROM p WHERE {_GOOD} GROUP BY doc_id"""
 
 
@@ -46,11 +47,39 @@ def pack_segments(spark, sf_dir):
     return seg.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"), F.max(F.length("segment")).alias("longest"))
 
 
+def _segments(t: str, longest: int) -> str:
+    """SQL of the list of segments of a text whose white space is single spaces."""
+
+    def joined(parts: str, joiner: str) -> str:
+        fits = f"acc[-1] <> '' AND length(acc[-1]) + {len(joiner)} + length(x[1]) <= {longest}"
+        fold = f"list_reduce(list_transform({parts}, lambda p: [p]), lambda acc, x: CASE WHEN {fits} THEN list_concat(acc[:-2], [acc[-1] || '{joiner}' || x[1]]) ELSE list_concat(acc, x) END)"
+        return f"list_filter({fold}, lambda s: length(s) >= {C.SHORTEST})"
+
+    def between(pattern: str) -> str:
+        pieces = f"list_transform(regexp_split_to_array({t}, '{pattern}'), lambda p: trim(p))"
+        found = joined(f"list_concat(({pieces})[:1], list_filter(({pieces})[2:], lambda p: p <> ''))", ", ")
+        return f"CASE WHEN regexp_matches({t}, '{pattern}') THEN list_filter([{found}], lambda f: len(f) > 0 AND list_max(list_transform(f, lambda s: length(s))) <= {longest})[1] END"
+
+    words = joined(f"string_split({t}, ' ')", " ")
+    return f"CASE WHEN length({t}) <= {longest} THEN [{t}] ELSE coalesce({', '.join(map(between, C.BREAKS))}, list_filter([{words}], lambda f: len(f) > 0)[1], [substring({t}, 1, {longest})]) END"
+
+
+PACK_SEGMENTS = f"""
+WITH s AS (SELECT doc_id, unnest({_segments('sentence', 60)}) AS segment FROM ({_RAW}) WHERE length(sentence) >= 8)
+SELECT doc_id, count(*) AS segments, max(length(segment))::INT AS longest FROM s GROUP BY doc_id"""
+
+
 def clean_corpus(spark, sf_dir):
     s = C.extract_sentences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return C.clean_corpus(s.select("sentence", "doc_id"), "sentence", "doc_id", 100).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
 
 
+CLEAN_CORPUS = rf"""
+WITH {_SENTENCES}, g AS (SELECT nfc_normalize(s) AS s, min(doc_id) AS doc_id FROM p WHERE {_GOOD} GROUP BY 1),
+c AS (SELECT doc_id, trim(unnest({_segments('s', 100)})) AS segment FROM g WHERE length(s) >= 5),
+f AS (SELECT segment, min(doc_id) AS doc_id FROM c WHERE length(segment) BETWEEN 5 AND 100 GROUP BY segment)
+SELECT doc_id, count(*) AS sentences FROM f GROUP BY doc_id"""
+
 _TEMPLATES = ["{num} {street}, {ward}", "{street} {num}/{sub}, {ward}, {city}", "{ward}, {city}"]
 _STREETS, _WARDS, _CITIES = ["Alpha Street", "Beta Road", "Gamma Lane", "Delta Way"], ["Ward 1", "Ward 2", "Ward 3"], ["North City", "South City"]
 
@@ -210,6 +239,13 @@ def pseudo_line_labels(spark, sf_dir):
     return S.pseudo_lines(p, ["batch_no"], "p_partkey", "p_name", 0.5, 2, 4)
 
 
+PSEUDO_LINES = """
+WITH RECURSIVE r AS (
+  SELECT p_partkey // 64 AS batch_no, p_name, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY md5(p_partkey || '42'), p_partkey::VARCHAR) AS i,
+    CASE WHEN ('0x' || substring(md5(p_partkey || 'alone42'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < 0.5 THEN 1 ELSE 2 + trunc(('0x' || substring(md5(p_partkey || 'count42'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 3)::BIGINT END AS n FROM part),
+l AS (SELECT batch_no, 0 AS line_no, i, n FROM r WHERE i = 1 UNION ALL SELECT r.batch_no, line_no + 1, r.i, r.n FROM l JOIN r ON r.batch_no = l.batch_no AND r.i = l.i + l.n)
+SELECT l.batch_no, line_no, count(*)::INT AS words, string_agg(p_name, ' ' ORDER BY r.i) AS label FROM l JOIN r ON r.batch_no = l.batch_no AND r.i >= l.i AND r.i < l.i + l.n GROUP BY ALL"""
+
 PHASES = [("1A", 0, 5), ("1B", 5, 15), ("1C", 15, 20)]
 
 
@@ -288,8 +324,8 @@ SELECT p_partkey, regexp_replace(replace(replace(['Ġthe', 'Ġcat', 's', 'Ċ', '
 QUERIES = {
     "sentence_extract": (sentence_extract, SENTENCE_EXTRACT),
     "sentence_quality": (sentence_quality, SENTENCE_QUALITY),
-    "pack_segments": (pack_segments, None),
-    "clean_corpus": (clean_corpus, None),
+    "pack_segments": (pack_segments, PACK_SEGMENTS),
+    "clean_corpus": (clean_corpus, CLEAN_CORPUS),
     "template_addresses": (template_addresses, TEMPLATE_ADDRESSES),
     "cycle_corpus": (cycle_corpus, CYCLE_CORPUS),
     "render_params": (render_params, RENDER_PARAMS),
@@ -300,7 +336,7 @@ QUERIES = {
     "address_correction": (address_correction, None),
     "mixed_batches": (mixed_batches, MIXED_BATCHES),
     "replay_buffer": (replay_buffer, REPLAY_BUFFER),
-    "pseudo_line_labels": (pseudo_line_labels, None),
+    "pseudo_line_labels": (pseudo_line_labels, PSEUDO_LINES),
     "curriculum_phase": (curriculum_phase, CURRICULUM_PHASE),
     "lr_schedule": (lr_schedule, LR_SCHEDULE),
     "layer_rates": (layer_rates, LAYER_RATES),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions import metrics as M
+from glyphmill.functions.text import trim_spaces
 from glyphmill.operators import reports as R
 from glyphmill.operators import sampling as S
-from glyphmill.plans.common import table
+from glyphmill.plans.common import SPACES, hallucinated, table
 
-#: Both sides of a pair are part names or whole turns of a conversation, folded to ASCII.
-_FOLD = "[^ -~]"
+#: Both sides of a pair are part names or whole turns of a conversation.
 
 
 def _pairs(spark, sf_dir):
@@ -24,19 +24,17 @@ _PAIRS = "SELECT a.p_partkey, a.p_type, a.p_name AS ref, b.p_name AS pred FROM p
 
 
 def _turns(spark, sf_dir):
-    """ref, pred: a user turn and the next assistant turn, folded to ASCII."""
-    c = table(spark, sf_dir, "conversations")
-    fold = F.regexp_replace(F.regexp_replace("text", _FOLD, "?"), "^ +| +$", "")
-    c = c.select("conv_id", "turn", "role", fold.alias("t"))
+    """ref, pred: a user turn and the next assistant turn, stripped."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", trim_spaces(F.col("text")).alias("t"))
     nxt = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("pred"))
     return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.col("t").alias("ref"), "pred")
 
 
-_TURNS = """
+_STRIPPED = f"regexp_replace(regexp_replace(text, '^{SPACES}', ''), '{SPACES}$', '')"
+_TURNS = f"""
 SELECT u.conv_id, u.turn, u.t AS ref, a.t AS pred FROM
-  (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'user') u
-  JOIN (SELECT conv_id, turn - 1 AS turn, regexp_replace(regexp_replace(text, '[^ -~]', '?', 'g'), '^ +| +$', '', 'g') AS t FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)"""
-_CER = "(CASE WHEN ref = '' THEN CASE WHEN pred = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, pred)::DOUBLE / length(ref) END)"
+  (SELECT conv_id, turn, {_STRIPPED} AS t FROM conversations WHERE role = 'user') u
+  JOIN (SELECT conv_id, turn - 1 AS turn, {_STRIPPED} AS t FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)"""
 
 
 def _words(x: str) -> str:
@@ -44,9 +42,17 @@ def _words(x: str) -> str:
 
 
 def _letters(x: str) -> str:
-    return f"array_to_string(list_transform({_words(x)}, lambda w: chr((list_position(list_sort(list_distinct(list_concat({_words('ref')}, {_words('pred')}))), w) + 1)::INT)), '')"
+    """Each word as a character of one byte, which is what these edits count (up to 127 kinds in a pair)."""
+    return f"array_to_string(list_transform({_words(x)}, lambda w: chr(list_position(list_distinct(list_concat({_words('ref')}, {_words('pred')})), w)::INT)), '')"
 
 
+def _bytes(x: str) -> str:
+    """Each character of a pair as one of one byte, likewise."""
+    return f"translate({x}, array_to_string(list_distinct(string_split(ref || pred, '')), ''), array_to_string(list_transform(range(1, 128), lambda i: chr(i::INT)), ''))"
+
+
+_EDITS = f"(CASE WHEN ref = '' OR pred = '' THEN length(ref) + length(pred) ELSE levenshtein({_bytes('ref')}, {_bytes('pred')}) END)"
+_CER = f"(CASE WHEN ref = '' THEN CASE WHEN pred = '' THEN 0.0 ELSE 1.0 END ELSE {_EDITS}::DOUBLE / length(ref) END)"
 _WER = f"(CASE WHEN len({_words('ref')}) = 0 THEN CASE WHEN len({_words('pred')}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({_letters('ref')}, {_letters('pred')})::DOUBLE / len({_words('ref')}) END)"
 
 
@@ -55,7 +61,7 @@ def cer_per_pair(spark, sf_dir):
     return t.select("conv_id", "turn", M.edits(F.col("ref"), F.col("pred")).alias("edits"), F.round(M.cer(F.col("ref"), F.col("pred")), 9).alias("cer"))
 
 
-CER_PER_PAIR = f"SELECT conv_id, turn, levenshtein(ref, pred)::INT AS edits, round({_CER}, 9) AS cer FROM ({_TURNS})"
+CER_PER_PAIR = f"SELECT conv_id, turn, {_EDITS}::INT AS edits, round({_CER}, 9) AS cer FROM ({_TURNS})"
 
 
 def wer_per_pair(spark, sf_dir):
@@ -66,10 +72,24 @@ WER_PER_PAIR = f"SELECT p_partkey, round({_WER}, 9) AS wer FROM ({_PAIRS})"
 
 
 def wer_per_turn(spark, sf_dir):
-    """Over long texts, whose words are more than SQL's byte-wise edits can tell apart."""
+    """Over whole turns of any number of distinct words."""
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(M.wer(F.col("ref"), F.col("pred")), 9).alias("wer"))
 
 
+#: Row by row of the matrix of edits; the least way along a row is a running minimum.
+WER_PER_TURN = rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '{SPACES}'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array(pred, '{SPACES}'), lambda w: w <> '') AS p FROM ({_TURNS})),
+cells AS (SELECT conv_id, turn, unnest(range(0, len(p) + 1)) AS j FROM t),
+m AS (
+  SELECT conv_id, turn, 0::BIGINT AS i, j, j AS d FROM cells
+  UNION ALL
+  SELECT conv_id, turn, i + 1, j, j + min(step - j) OVER (PARTITION BY conv_id, turn ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM (
+    SELECT m.conv_id, m.turn, i, j, least(d + 1, coalesce(lag(d) OVER (PARTITION BY m.conv_id, m.turn ORDER BY j) + CASE WHEN r[i + 1] = p[j] THEN 0 ELSE 1 END, d + 1)) AS step
+    FROM m JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn AND i < len(r)))
+SELECT t.conv_id, t.turn, round(CASE WHEN len(r) = 0 THEN CASE WHEN len(p) = 0 THEN 0.0 ELSE 1.0 END ELSE d::DOUBLE / len(r) END, 9) AS wer
+FROM t JOIN m ON m.conv_id = t.conv_id AND m.turn = t.turn AND i = len(r) AND j = len(p)"""
+
+
 def cer_micro_macro_by_group(spark, sf_dir):
     r, p = F.col("ref"), F.col("pred")
     x = _pairs(spark, sf_dir).select(
@@ -101,11 +121,48 @@ def error_categories(spark, sf_dir):
 
 
 def error_categories_full(spark, sf_dir):
-    """With the repetition patterns, which need back-references."""
+    """With the repetition patterns."""
     x = _turns(spark, sf_dir).withColumn("cer", M.cer(F.col("ref"), F.col("pred")))
     return x.select("conv_id", "turn", M.error_category(F.col("ref"), F.col("pred"), F.col("cer")).alias("category"))
 
 
+ERROR_CATEGORIES_FULL = f"""
+WITH c AS (SELECT *, conv_id * 1000000 + turn AS k FROM ({_CATEGORY})), h AS ({hallucinated('k', 'pred', 'c')})
+SELECT conv_id, turn, CASE WHEN category <> 'PERFECT' AND hallucinated THEN 'HALLUCINATION_LOOP' ELSE category END AS category FROM c JOIN h USING (k)"""
+
+
+def category_ranks(spark, sf_dir):
+    """Categories by frequency, most common first, ties in order of name."""
+    n = _categories(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("rows"))
+    return S.top_k(n, 10, F.col("rows").desc(), F.col("category"))
+
+
+CATEGORY_RANKS = f"""
+SELECT category, "rows", row_number() OVER (ORDER BY "rows" DESC, category)::INT AS rank FROM (SELECT category, count(*) AS "rows" FROM ({_CATEGORY}) GROUP BY category)"""
+
+
+def sample_preview(spark, sf_dir):
+    """Pairs as a report shows them: the first 120 characters of each text, rates with four places."""
+    x = _turns(spark, sf_dir).withColumn("cer", M.cer(F.col("ref"), F.col("pred")))
+    line = F.concat_ws("", F.lit("GT: "), F.substring("ref", 1, 120), F.lit(" RAW: "), F.substring("pred", 1, 120), F.lit(" CER: "), R.places("cer", 4))
+    return x.select("conv_id", "turn", line.alias("preview"))
+
+
+SAMPLE_PREVIEW = f"""
+SELECT conv_id, turn, 'GT: ' || substring(ref, 1, 120) || ' RAW: ' || substring(pred, 1, 120) || ' CER: ' || printf('%.4f', cer) AS preview FROM (SELECT *, {_CER} AS cer FROM ({_TURNS}))"""
+
+
+def timing_line(spark, sf_dir):
+    """One line of seconds per step and their total, for each order."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_tax").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity") / 4).alias("a"), F.count(F.lit(1)).alias("b"))
+    return li.select("l_orderkey", R.timing_line([("detection", F.col("a")), ("recognition", F.col("b"))]).alias("timing"))
+
+
+TIMING_LINE = """
+SELECT l_orderkey, 'detection: ' || printf('%.2f', a) || 's │ recognition: ' || printf('%.2f', b::DOUBLE) || 's │ **Total: ' || printf('%.2f', a + b) || 's**' AS timing
+FROM (SELECT l_orderkey, sum(l_quantity / 4) AS a, count(*) AS b FROM lineitem GROUP BY l_orderkey)"""
+
+
 def category_crosstab(spark, sf_dir):
     x = _categories(spark, sf_dir).withColumn("domain", F.when(F.col("turn") < 2, "first").otherwise("later"))
     return x.groupBy("category").pivot("domain", ["first", "later"]).count().fillna(0)
@@ -243,10 +300,13 @@ SELECT l_returnflag, string_agg(l_orderkey || ':' || l_linenumber, ';' ORDER BY
 QUERIES = {
     "cer_per_pair": (cer_per_pair, CER_PER_PAIR),
     "wer_per_pair": (wer_per_pair, WER_PER_PAIR),
-    "wer_per_turn": (wer_per_turn, None),
+    "wer_per_turn": (wer_per_turn, WER_PER_TURN),
     "cer_micro_macro_by_group": (cer_micro_macro_by_group, CER_MICRO_MACRO),
     "error_categories": (error_categories, f"SELECT conv_id, turn, category FROM ({_CATEGORY})"),
-    "error_categories_full": (error_categories_full, None),
+    "error_categories_full": (error_categories_full, ERROR_CATEGORIES_FULL),
+    "category_ranks": (category_ranks, CATEGORY_RANKS),
+    "sample_preview": (sample_preview, SAMPLE_PREVIEW),
+    "timing_line": (timing_line, TIMING_LINE),
     "category_crosstab": (category_crosstab, CATEGORY_CROSSTAB),
     "cer_histogram": (cer_histogram, CER_HISTOGRAM),
     "category_maps": (category_maps, CATEGORY_MAPS),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.operators.sequence import first_seen, last_write
 from glyphmill.operators.split import split_rows
-from glyphmill.plans.common import LABEL, SPACES, table
+from glyphmill.plans.common import LABEL, SPACES, hallucinated, table
 
 ASCII = [(0x09, 0x0A), (0x20, 0x7E)]
 FRENCH = [(0x09, 0x0A), (0x20, 0x7E), (0xE9, 0xE9)]
@@ -164,6 +164,9 @@ def hallucination_flags(spark, sf_dir):
     return docs.select("doc_id", T.has_hallucination(F.col("text")).alias("hallucinated"))
 
 
+HALLUCINATION_FLAGS = hallucinated("doc_id", "text", "documents")
+
+
 def collapse_spaces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.md5(T.collapse_spaces(F.col("text"))).alias("digest"))
@@ -217,7 +220,7 @@ QUERIES = {
     "anti_unlabelled": (anti_unlabelled, ANTI_UNLABELLED),
     "outer_labels": (outer_labels, OUTER_LABELS),
     "sanitize_text": (sanitize_text, None),
-    "hallucination_flags": (hallucination_flags, None),
+    "hallucination_flags": (hallucination_flags, HALLUCINATION_FLAGS),
     "collapse_spaces": (collapse_spaces, COLLAPSE_SPACES),
     "safe_labels": (safe_labels, SAFE_LABELS),
     "document_names": (document_names, DOCUMENT_NAMES),

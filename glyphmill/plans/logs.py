@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import layout as L
 from glyphmill.operators import sequence as S
 from glyphmill.plans.common import table
+from glyphmill.sources import readers as R
 
 
 def _events(spark, sf_dir):
@@ -137,6 +138,66 @@ def parse_props(spark, sf_dir):
 PARSE_PROPS = "SELECT event_id, (props->>'$.k')::INT AS epoch, 0.5::DOUBLE AS loss, floor(epoch_us(ts) / 1000000)::BIGINT AS seconds FROM events"
 
 
+def _log_lines(spark, sf_dir):
+    """Twenty logs made of the events: phases, epoch lines of three stages in their spellings, evaluations."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    i, text = F.col("event_id"), lambda c: c.cast("string")
+    stamp = F.when(i % 5 == 0, "").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 INFO ")))
+    loss, epoch = F.concat(text(F.floor("value")), F.lit("."), text(i % 100)), text(i % 40)
+    rate = F.concat(F.lit("CER=0."), text(i % 89), F.lit(" x WER=0."), text(i % 97))
+    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("start Phase"), F.element_at(F.array(*map(F.lit, "-_ ")), (i % 3 + 1).cast("int")), F.lit("1"), F.element_at(F.array(*map(F.lit, "aBc")), (i % 3 + 1).cast("int"))))
+    line = line.when(F.col("event_type") == "view", F.concat(stamp, F.lit("[Stage1] Epoch "), epoch, F.lit(" done | avg_loss="), loss, F.lit(" | time="), text(i % 997), F.lit("s")))
+    line = line.when(F.col("event_type") == "click", F.concat(stamp, F.lit("[stage2a] epoch "), epoch, F.when(i % 2 == 0, " | avg_loss=").otherwise(" | avg_CE="), loss))
+    line = line.when(F.col("event_type") == "purchase", F.concat(stamp, F.lit("[Stage2b] Epoch "), epoch, F.lit("|avg_CE="), loss, F.lit(" | avg_EWC=0.0000"), F.when(i % 3 == 0, F.concat(F.lit(" printed "), rate)).otherwise("")))
+    line = line.otherwise(F.concat(F.when(i % 3 == 0, "printed: ").when(i % 3 == 1, "HW ").otherwise("printed CER=0.5 handwritten: "), rate))
+    return e.select(F.concat(F.lit("log"), text(F.col("user_id") % 20)).alias("path"), i.alias("line_no"), line.alias("value"))
+
+
+_LOG_LINES = """
+SELECT 'log' || (user_id % 20) AS path, event_id AS line_no, CASE event_type
+  WHEN 'signup' THEN 'start Phase' || substring('-_ ', (event_id % 3 + 1)::INT, 1) || '1' || substring('aBc', (event_id % 3 + 1)::INT, 1)
+  WHEN 'view' THEN stamp || '[Stage1] Epoch ' || epoch || ' done | avg_loss=' || loss || ' | time=' || (event_id % 997) || 's'
+  WHEN 'click' THEN stamp || '[stage2a] epoch ' || epoch || CASE WHEN event_id % 2 = 0 THEN ' | avg_loss=' ELSE ' | avg_CE=' END || loss
+  WHEN 'purchase' THEN stamp || '[Stage2b] Epoch ' || epoch || '|avg_CE=' || loss || ' | avg_EWC=0.0000' || CASE WHEN event_id % 3 = 0 THEN ' printed ' || rate ELSE '' END
+  ELSE CASE event_id % 3 WHEN 0 THEN 'printed: ' WHEN 1 THEN 'HW ' ELSE 'printed CER=0.5 handwritten: ' END || rate END AS value
+FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ',123 INFO ' END AS stamp, floor("value")::BIGINT || '.' || (event_id % 100) AS loss, event_id % 40 AS epoch,
+  'CER=0.' || (event_id % 89) || ' x WER=0.' || (event_id % 97) AS rate FROM events)"""
+
+
+def training_log(spark, sf_dir):
+    out = R.parse_log(_log_lines(spark, sf_dir))
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _extract(pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract(value, '{pattern}', {group}), '')"
+
+
+TRAINING_LOG = rf"""
+WITH l AS ({_LOG_LINES}),
+p AS (SELECT path, line_no, lower({_extract(R.PHASE, 1)}) AS mark,
+  CASE WHEN regexp_matches(value, '{R.STAGE_2B}') THEN 'stage2b' WHEN regexp_matches(value, '{R.STAGE_2A}') THEN 'stage2a' WHEN regexp_matches(value, '{R.STAGE_1}') THEN 'stage1' END AS stage,
+  coalesce({_extract(R.STAGE_2B, 1)}, {_extract(R.STAGE_2A, 1)}, {_extract(R.STAGE_1, 1)})::INT AS epoch, coalesce({_extract(R.STAGE_2B, 2)}, {_extract(R.STAGE_2A, 2)}, {_extract(R.STAGE_1, 2)})::DOUBLE AS loss,
+  {_extract(R.STAGE_1, 3)}::INT AS runtime, {_extract(R.STAMP, 1)} AS stamp,
+  {_extract(R.PRINTED, 1)}::DOUBLE AS pc, {_extract(R.PRINTED, 2)}::DOUBLE AS pw, {_extract(R.HANDWRITTEN, 1)}::DOUBLE AS hc, {_extract(R.HANDWRITTEN, 2)}::DOUBLE AS hw FROM l),
+f AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS filled, count(stage) OVER w AS run FROM p WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT path, run, max(stage) AS stage, max(CASE stage WHEN 'stage1' THEN filled WHEN 'stage2a' THEN '2a' WHEN 'stage2b' THEN '2b' END) AS phase, max(epoch) AS epoch, max(loss) AS loss, max(runtime) AS runtime,
+  max(CASE WHEN stage <> 'stage1' THEN stamp END) AS ts, min(line_no) AS line_no, arg_max(pc, line_no) FILTER (pc IS NOT NULL) AS pc, arg_max(pw, line_no) FILTER (pw IS NOT NULL) AS pw,
+  arg_max(hc, line_no) FILTER (hc IS NOT NULL) AS hc, arg_max(hw, line_no) FILTER (hw IS NOT NULL) AS hw FROM f WHERE run > 0 GROUP BY path, run),
+n AS (SELECT *, max(run) OVER k AS newest, min(line_no) OVER k AS first_line, min(CASE WHEN ts IS NOT NULL THEN run END) OVER k AS stamped, arg_max(ts, CASE WHEN ts IS NOT NULL THEN run END) OVER k AS last_ts
+  FROM r WINDOW k AS (PARTITION BY path, stage, phase, epoch))
+SELECT path, stage, phase, epoch, loss, runtime, last_ts AS ts, pc AS printed_cer, pw AS printed_wer, hc AS hw_cer, hw AS hw_wer, coalesce(stage = 'stage2a' AND newest > stamped, false) AS restarted, first_line FROM n WHERE run = newest"""
+
+
+def metric_rows(spark, sf_dir):
+    """Epochs with any metric at all."""
+    out = R.parse_log(_log_lines(spark, sf_dir)).withColumn("loss", F.when(F.col("epoch") % 4 != 0, F.col("loss")))
+    return S.any_present(out, ["loss", "printed_cer", "hw_cer"]).groupBy("stage").agg(F.count(F.lit(1)).alias("rows"))
+
+
+METRIC_ROWS = f"SELECT stage, count(*) AS \"rows\" FROM ({TRAINING_LOG}) WHERE epoch % 4 <> 0 OR printed_cer IS NOT NULL OR hw_cer IS NOT NULL GROUP BY stage"
+
+
 def _boxes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount").filter("l_discount >= 0.03")
     y1 = (F.col("l_linenumber") * 9 + F.col("l_partkey") % 13).cast("int")
@@ -219,11 +280,20 @@ SELECT l_orderkey, round(CASE WHEN abs(a) < 0.5 THEN 0.0 ELSE a END, 6) AS angle
 
 
 def page_text(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role").withColumnRenamed("turn", "line_no")
-    return L.page_text(c, ["conv_id"], "role")
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumnRenamed("turn", "line_no")
+    return L.page_text(c, ["conv_id"], "text")
+
+
+PAGE_TEXT = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS page_text FROM conversations GROUP BY conv_id"
+
+
+def confident_boxes(spark, sf_dir):
+    """Boxes of a confidence of 0.5 or more."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_discount").withColumn("conf", F.col("l_discount") * 10)
+    return L.confident(li, 0.5).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("boxes"))
 
 
-PAGE_TEXT = "SELECT conv_id, string_agg(role, chr(10) ORDER BY turn) AS page_text FROM conversations GROUP BY conv_id"
+CONFIDENT_BOXES = "SELECT l_orderkey, count(*) AS boxes FROM lineitem WHERE l_discount * 10 >= 0.5 GROUP BY l_orderkey"
 
 QUERIES = {
     "log_forward_fill": (log_forward_fill, LOG_FORWARD_FILL),
@@ -238,6 +308,9 @@ QUERIES = {
     "best_marker": (best_marker, BEST_MARKER),
     "phase_spans": (phase_spans, PHASE_SPANS),
     "parse_props": (parse_props, PARSE_PROPS),
+    "training_log": (training_log, TRAINING_LOG),
+    "metric_rows": (metric_rows, METRIC_ROWS),
+    "confident_boxes": (confident_boxes, CONFIDENT_BOXES),
     "line_clusters": (line_clusters, LINE_CLUSTERS),
     "reading_order": (reading_order, READING_ORDER),
     "bbox_merge": (bbox_merge, BBOX_MERGE),

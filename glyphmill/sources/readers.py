@@ -26,6 +26,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, a scan, dealt anew where fewer of its splits hold rows than there are cores (a file of one row group
+    is one task, however large). Tables of many splits, which are all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("split")).distinct().count()
+    return df if busy >= cores else df.repartition(2 * cores)
+
+
 def read_manifest(spark: SparkSession, path: str, more: Sequence[str] = ()) -> DataFrame:
     """Manifest CSV (all strings, doubled quotes, line breaks in fields); a missing file is an empty table."""
     schema = ", ".join(f"{c} string" for c in [*MANIFEST, *more])
@@ -106,26 +117,65 @@ def read_samples(spark: SparkSession, path: str, index: int | None = None) -> Da
     return df if index is None else df.filter(F.col("idx") == index)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Epoch table of a training log: stage, phase, epoch, loss, ts, restarted, evaluation columns.
+#: Patterns of training logs (fixed values): phase, epoch lines of the three stages, time stamp, evaluations.
+PHASE = r"(?i)phase[_\-\s]*(1[a-c])"
+STAGE_1 = r"(?i)\[Stage1\]\s*Epoch\s*(\d+)\s*done\s*\|\s*avg_loss=([0-9.]+)\s*\|\s*time=(\d+)s"
+STAGE_2A = r"(?i)\[Stage2a\]\s*Epoch\s*(\d+)\s*\|\s*avg_(?:loss|CE)=([0-9.]+)"
+STAGE_2B = r"(?i)\[Stage2b\]\s*Epoch\s*(\d+)\s*\|\s*avg_CE=([0-9.]+)"
+STAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
+PRINTED = r"(?i)printed.*?CER=([0-9.]+).*?WER=([0-9.]+)"
+HANDWRITTEN = r"(?i)(?:handwritten|hw).*?CER=([0-9.]+).*?WER=([0-9.]+)"
+
+
+def parse_log(lines: DataFrame) -> DataFrame:
+    """Epoch table of training logs given as path, line_no, value: path, stage, phase, epoch, loss, runtime, ts,
+    printed_cer, printed_wer, hw_cer, hw_wer, restarted, first_line.
 
-    One ordered pass: phases are filled forward, evaluations go to the epoch line before them, a
-    repeated epoch counts once with its last values and is marked as restarted.
+    One ordered pass over each log. Phases are filled forward and count for the first stage; an
+    evaluation goes to the epoch line before it, or to the one on its own line. An epoch that is run
+    again starts over: its last run counts, evaluations of earlier ones are dropped. restarted: an epoch of stage 2a
+    that was run again after a run with a time stamp; ts is the last stamp of any of its runs.
+    A line belongs to one stage, the last that fits; numbers that are none are null.
     """
-    lines = numbered_lines(spark, path)
-    number = lambda p, kind: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).cast(kind)
+    part = lambda p, i: F.nullif(F.regexp_extract("value", p, i), F.lit(""))
+    number = lambda p, i, kind: part(p, i).try_cast(kind)
+    pick = lambda i, kind: F.coalesce(number(STAGE_2B, i, kind), number(STAGE_2A, i, kind), number(STAGE_1, i, kind))
+    fits = lambda p: F.col("value").rlike(p)
+    stage = F.when(fits(STAGE_2B), "stage2b").when(fits(STAGE_2A), "stage2a").when(fits(STAGE_1), "stage1")
+    both = lambda p: F.when(fits(p), F.struct(number(p, 1, "double").alias("cer"), number(p, 2, "double").alias("wer")))
     rows = lines.select(
-        "path", "line_no", F.lower(F.nullif(F.regexp_extract("value", r"Phase (1[A-C])", 1), F.lit(""))).alias("phase_mark"),
-        F.lower(F.nullif(F.regexp_extract("value", r"\[(Stage\w+)\] Epoch \d+", 1), F.lit(""))).alias("stage"), number(r"\] Epoch (\d+)", "int").alias("epoch"),
-        number(r"avg_loss=([0-9.]+)", "double").alias("loss"), F.try_to_timestamp(F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        number(r"printed.*?CER=([0-9.]+)", "double").alias("printed_cer"), number(r"(?:handwritten|hw).*?CER=([0-9.]+)", "double").alias("hw_cer"),
+        "path", "line_no", F.lower(part(PHASE, 1)).alias("mark"), stage.alias("stage"), pick(1, "int").alias("epoch"), pick(2, "double").alias("loss"),
+        F.when(stage == "stage1", number(STAGE_1, 3, "int")).alias("runtime"), F.when(stage != "stage1", F.try_to_timestamp(part(STAMP, 1), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("ts"),
+        both(PRINTED).alias("printed"), both(HANDWRITTEN).alias("hw"),
     )
-    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("phase", F.last("phase_mark", True).over(w)).withColumn("at", F.last(F.when(F.col("epoch").isNotNull(), F.struct("stage", "phase", "epoch")), True).over(w))
-    key = ["path", "at.stage", "at.epoch", F.when(F.col("at.stage") == "stage1", F.col("at.phase")).otherwise(F.regexp_replace("at.stage", "stage", "")).alias("phase")]
+    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)  # a log is one task by nature
+    rows = rows.withColumn("mark", F.last("mark", True).over(w)).withColumn("run", F.count("stage").over(w)).filter("run > 0")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    out = rows.filter("at IS NOT NULL").groupBy(*[F.col(k).alias(k.split(".")[-1]) if isinstance(k, str) else k for k in key])
-    return out.agg(*[last(c) for c in ("loss", "ts", "printed_cer", "hw_cer")], (F.count("epoch") > 1).alias("restarted"), F.min("line_no").alias("first_line"))
+    phase = F.when(F.col("stage") == "stage1", F.col("mark")).when(F.col("stage").isNotNull(), F.substring("stage", 6, 2))
+    runs = rows.withColumn("phase", phase).groupBy("path", "run").agg(
+        *[F.first(c, True).alias(c) for c in ("stage", "phase", "epoch", "loss", "runtime", "ts")], last("printed"), last("hw"), F.min("line_no").alias("line_no")
+    )
+    of_run = lambda c: F.max_by(c, "run")
+    stamped = F.min(F.when(F.col("ts").isNotNull(), F.col("run")))
+    return runs.groupBy("path", "stage", "phase", "epoch").agg(
+        of_run("loss").alias("loss"), of_run("runtime").alias("runtime"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("run"))).alias("ts"),
+        *[of_run(f"{kind}.{rate}").alias(f"{kind}_{rate}") for kind in ("printed", "hw") for rate in ("cer", "wer")],
+        F.coalesce((F.col("stage") == "stage2a") & (F.max("run") > stamped), F.lit(False)).alias("restarted"), F.min("line_no").alias("first_line"),
+    )
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """`parse_log` of text files."""
+    return parse_log(numbered_lines(spark, path))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, value of the numbers in metrics files, each one JSON object; nested names are joined by dots."""
+    number = "map<string,string>"
+    level = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", number)).alias("name", "value"))
+    deep = level.filter("value LIKE '{%'").select("path", "name", F.explode(F.from_json("value", number)).alias("inner", "value"))
+    deep = deep.select("path", F.concat_ws(".", "name", "inner").alias("name"), "value")
+    return level.filter("value NOT LIKE '{%'").unionAll(deep).select("path", "name", F.col("value").try_cast("double").alias("value")).filter("value IS NOT NULL")
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ranking import bucketed_rank
+from glyphmill.operators.ranking import bucketed_rank, range_bucket
 from glyphmill.sources.readers import MANIFEST
 
 
@@ -22,8 +22,7 @@ def export_samples(df: DataFrame, path: str, key: str = "filename", buckets: int
     """
     by = ["level", "data_type", "split"]
     good = df.filter(F.col("image").isNotNull())
-    bucket = F.ascii(F.col(key)) * 256 + F.ascii(F.substring(F.col(key), 2, 1))  # in key order for one-byte characters
-    ranked = bucketed_rank(good, by, [F.col(key)], F.when(F.col(key).rlike(r"^[\x00-\x7F]{2}"), bucket).otherwise(F.lit(1 << 20)), rank="idx")
+    ranked = bucketed_rank(good, by, [F.col(key)], range_bucket(good, key, buckets), rank="idx")
     ranked.select("idx", "image", "label", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 

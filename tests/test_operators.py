@@ -114,13 +114,18 @@ def test_fuzzy_ties_go_to_the_first_name(spark):
     assert [tuple(r) for r in G.fuzzy_match(df, names, "k", "e", "name").collect()] == [(0, "abce", 1)]
 
 
-def test_split_sentence():
+def test_pack_segments(spark):
     long = "một hai ba bốn năm, sáu bảy tám chín mười; mười một mười hai và mười ba mười bốn"
-    found = C.split_sentence(long, 40)
-    assert found and all(8 <= len(s) <= 40 for s in found)
-    assert C.split_sentence("short", 40) == ["short"]
-    assert C.split_sentence("x" * 100, 40) == ["x" * 100]
-    assert all(len(s) <= 10 for s in C.split_sentence("abc " * 30, 10))
+    cases = [
+        (long, 60, ["một hai ba bốn năm", "sáu bảy tám chín mười; mười một mười hai và mười ba mười bốn"]),
+        (long, 59, ["một hai ba bốn năm, sáu bảy tám chín mười", "mười một mười hai và mười ba mười bốn"]),  # behind a semicolon: nothing stronger fits
+        (long, 40, ["một hai ba bốn năm, sáu bảy tám chín", "mười; mười một mười hai và mười ba mười"]),  # words; a rest of three characters goes
+        ("aaaaaaaa, bbbb, cccccccc, d", 14, ["aaaaaaaa, bbbb", "cccccccc, d"]), (", aaaaaaaa, bbbbbbbb", 10, ["aaaaaaaa", "bbbbbbbb"]),
+        ("short", 40, ["short"]), ("x" * 100, 40, ["x" * 100]), ("a b c d e f g h", 10, ["a b c d e"]), ("abc " * 30, 10, ["abc abc ab"]), ("", 10, [""]), (None, 10, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = df.select("i", *[C.pack_segments(F.col("t"), n).alias(str(n)) for n in sorted({n for _, n, _ in cases})]).collect()
+    assert [r[str(cases[r["i"]][1])] for r in got] == [cases[r["i"]][2] for r in got]
 
 
 def test_pseudo_lines_use_every_sample_once(spark):

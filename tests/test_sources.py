@@ -80,14 +80,30 @@ def test_vocabulary_and_lines(spark, tmp_path):
 
 def test_log(spark, tmp_path):
     (tmp_path / "log.txt").write_text("\n".join([
-        "2025-01-01 10:00:00,1 INFO Phase 1A starts", "2025-01-01 11:00:00,1 [Stage1] Epoch 0 | avg_loss=2.5", "x printed: CER=0.5 hw: CER=0.7",
-        "2025-01-01 12:00:00,1 [Stage2a] Epoch 0 | avg_loss=1.5", "2025-01-01 13:00:00,1 [Stage2a] Epoch 0 | avg_loss=1.25", "x printed: CER=0.1",
+        "x printed CER=0.9 WER=0.9 before any epoch", "2025-01-01 10:00:00,1 INFO phase_1B starts", "2025-01-01 11:00:00,1 [Stage1] Epoch 0 done | avg_loss=2.5 | time=60s",
+        "x printed: CER=0.5 WER=0.6 hw: CER=0.7 WER=0.8", "[Stage1] Epoch 1 | avg_loss=9", "2025-01-01 12:00:00,1 [Stage2a] Epoch 0 | avg_loss=1.5", "printed CER=0.3 WER=0.4 ",
+        "2025-01-01 13:00:00,1 [STAGE2A]Epoch 0|avg_CE=1.25", "handwritten CER=0.1 WER=0.2", "printed CER=0.1", "[Stage2b] Epoch 3 | avg_CE=0.5945 | avg_EWC=0.0", "[Stage2b] Epoch 3 | avg_CE=0.5 | avg_EWC=0.0",
     ]))
-    got = {(r["stage"], r["phase"], r["epoch"]): r for r in R.read_log(spark, str(tmp_path / "log.txt")).collect()}
-    assert set(got) == {("stage1", "1a", 0), ("stage2a", "2a", 0)}
-    a, b = got[("stage1", "1a", 0)], got[("stage2a", "2a", 0)]
-    assert (a["loss"], a["printed_cer"], a["hw_cer"], a["restarted"]) == (2.5, 0.5, 0.7, False)
-    assert (b["loss"], b["printed_cer"], b["hw_cer"], b["restarted"], b["ts"].hour) == (1.25, 0.1, None, True, 13)
+    rows = {(r["stage"], r["phase"], r["epoch"]): r for r in R.read_log(spark, str(tmp_path / "log.txt")).collect()}
+    names = ("loss", "runtime", "printed_cer", "printed_wer", "hw_cer", "hw_wer", "restarted")
+    assert {k: tuple(r[n] for n in names) for k, r in rows.items()} == {
+        ("stage1", "1b", 0): (2.5, 60, 0.5, 0.6, 0.7, 0.8, False),
+        ("stage2a", "2a", 0): (1.25, None, None, None, 0.1, 0.2, True),  # run again: evaluations of the first run are dropped
+        ("stage2b", "2b", 3): (0.5, None, None, None, None, None, False),  # only stage 2a is marked
+    }
+    assert rows[("stage2a", "2a", 0)]["ts"].hour == 13 and rows[("stage1", "1b", 0)]["ts"] is None
+
+
+def test_metrics_and_small_readers(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"cer": 0.25, "note": "x", "by": {"hw": {"a": 1}, "printed": 2}}')
+    assert {(r["name"], r["value"]) for r in R.read_metrics(spark, str(tmp_path / "m.json")).collect()} == {("cer", 0.25), ("by.printed", 2.0)}
+    assert R.try_table(spark, str(tmp_path / "none")) is None
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert R.try_table(spark, str(tmp_path / "t")).count() == 3
+    files = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1)], "kind string, bytes long")
+    assert {tuple(r) for r in Wr.disk_usage(files, "kind").collect()} == {("a", 11, 2), ("b", 1, 1)}
+    Wr.write_summary(spark.createDataFrame([("ộ", (1, 2.5))], "k string, v struct<n:int,cer:double>"), str(tmp_path / "s"))
+    assert json.loads("".join(p.read_text(encoding="utf-8") for p in (tmp_path / "s").glob("part*"))) == {"k": "ộ", "v": {"n": 1, "cer": 2.5}}
 
 
 def test_streaming_counts_equal_batch(spark, sf, tmp_path):

@@ -22,7 +22,7 @@ def plain_label(t):
     return t or None
 
 
-def plain_sanitize(t):
+def plain_sanitize(t):  # the patterns are fixed values
     if not t.strip():
         return t
     t = re.sub(r"(.)\1{3,}", r"\1\1\1", t)
@@ -96,3 +96,20 @@ def test_candidates(spark):
     assert [r[0] for r in got] == ["hoà", "hoa", "TP", "hoa"]
     post = post_process(spark.createDataFrame([("x  x",)], "raw string"), "raw", correct=F.upper).first()["post"]
     assert post["corrected"] == "X X" and post["model_corrected"] == "X X"
+
+
+def test_words_beyond_one_alphabet(spark):
+    """More distinct words than there are characters below the surrogates, in linear time."""
+    many = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(many, "w5 new w59999"), ("w5 new w59999", many), ("a b c", "a x c"), ("", "a"), ("", ""), (None, "a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r string, p string")
+    got = [x[0] for x in df.orderBy("i").select(M.word_edits(F.col("r"), F.col("p"))).collect()]
+    assert got == [59_998, 59_998, 1, 1, 0, None]
+
+
+def test_desegment_and_formats(spark):
+    from glyphmill.operators import reports as Rp
+
+    assert column(spark, ["a_b c__d", ""], T.desegment) == ["a b c  d", ""]
+    row = spark.range(1).select(Rp.places(F.lit(1.0049), 2), Rp.percent(F.lit(0.1234)), Rp.timing_line([("a", F.lit(1.0)), ("b", F.lit(0.25))])).first()
+    assert tuple(row) == ("1.00", "12.3%", "a: 1.00s │ b: 0.25s │ **Total: 1.25s**")
