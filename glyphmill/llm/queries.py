@@ -17,6 +17,7 @@ from glyphmill.llm.suffix_dedup import deduplicate
 from glyphmill.llm.token_count import count_tokens
 from glyphmill.llm.topk import top_k
 from glyphmill.llm.url_filter import judge_urls
+from glyphmill.sources.readers import spread
 
 #: Rules of the page filter: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -24,7 +25,8 @@ SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
