@@ -59,10 +59,11 @@ def word_edits(ref: Column, pred: Column) -> Column:
     return F.when(ref.isNotNull() & pred.isNotNull(), bound(both, edits_of))
 
 
-def wer(ref: Column, pred: Column) -> Column:
+def wer(ref: Column, pred: Column, edits_: Column | None = None) -> Column:
+    """Word error rate, not held to 1; `edits_`: the word edits, where they are known already."""
     n = F.size(tokens(ref))
     empty = F.when(F.size(tokens(pred)) == 0, 0.0).otherwise(1.0)
-    return F.when(n == 0, empty).otherwise(word_edits(ref, pred) / F.greatest(n, F.lit(1)))
+    return F.when(n == 0, empty).otherwise((word_edits(ref, pred) if edits_ is None else edits_) / F.greatest(n, F.lit(1)))
 
 
 def error_category(ref: Column, pred: Column, rate: Column, hallucinated: Column | None = None) -> Column:

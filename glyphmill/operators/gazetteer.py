@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ PROVINCE_KEYWORDS = ["Thành phố", "Thành Phố", "TP", "Tỉnh"]
 DISTRICT_KEYWORDS = ["Quận", "Huyện", "Thị xã", "Thị Xã", "TX"]
 WARD_KEYWORDS = ["Phường", "Xã", "Thị trấn", "Thị Trấn", "TT"]
 RATIO, PROVINCE_RATIO, SHORTEST = 0.35, 0.3, 2
+#: Marks between the pieces of a text.
+_CUT, _GAP = "\u0001", "\u0002"
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
@@ -36,7 +38,7 @@ def trailing_segment(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(",")), trim_spaces(F.substring_index(text, ",", -1)))
 
 
-def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, name: str, scope: str | None = None, ratio: float = RATIO, ordinal: str = "ord") -> DataFrame:
+def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, name: str, scope: str | None = None, ratio: float = RATIO, ordinal: str = "ord", shortest: int = SHORTEST) -> DataFrame:
     """key, best, dist: for each entity the name with the fewest edits among those within
     edits <= ratio * longer length; ties go to the smaller ordinal. Entities that are names stay out.
 
@@ -47,7 +49,7 @@ def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, na
     """
     own = [entity] if scope is None else [entity, scope]
     e = entities.select(*own).distinct().join(names.select(F.col(name).alias("_known")).distinct(), F.col(entity) == F.col("_known"), "left_anti")
-    e = e.filter(F.length(entity) >= SHORTEST)
+    e = e.filter(F.length(entity) >= shortest)
     low, high = F.ceil(F.length(entity) * (1 - ratio)), F.floor(F.length(entity) / (1 - ratio))
     e = e.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(1), low), high)))
     on = ["_len"] if scope is None else ["_len", scope]
@@ -61,81 +63,68 @@ def fuzzy_match(entities: DataFrame, names: DataFrame, key: str, entity: str, na
     return best.select(key, F.col("b._name").alias("best"), F.col("b._dist").alias("dist"))
 
 
-def correct_addresses(texts: pd.Series, provinces: list[str], districts: list[tuple[str, str]], wards: list[tuple[str, str]]) -> pd.Series:
-    """Rewrite place names in address-like texts; everything else is returned as it is.
+def gazetteer(provinces: DataFrame, districts: DataFrame, wards: DataFrame) -> DataFrame:
+    """scope, name (normalised), ord, original of every name that a keyword can stand before.
 
-    Keywords are looked up as written though the pattern ignores case, so an odd-cased keyword searches
-    provinces and districts; a text's own province narrows districts and wards if it has any.
+    `provinces`: name, ord; the others: name, province, ord. Scopes: P, D and W for the levels, D|province
+    and W|province for the names inside one, X for provinces and then districts.
     """
-    import re
-    import unicodedata
-
-    def norm(t: str) -> str:
-        return unicodedata.normalize("NFC", t.strip()).lower()
-
-    words = sorted([*PROVINCE_KEYWORDS, *DISTRICT_KEYWORDS, *WARD_KEYWORDS], key=len, reverse=True)
-    any_word = "|".join(map(re.escape, words))
-    keyword, boundary = re.compile(rf"(?:^|(?<=[\s,]))({any_word})\s+", re.I), re.compile(rf",|{any_word}")
-    province_names = [(norm(p), p) for p in provinces]
-    every = {n for n, _ in province_names} | {norm(n) for n, _ in [*districts, *wards]}
-
-    def closest(name: str, pool: list[tuple[str, str]], ratio: float) -> str | None:
-        scored = [(d, i) for i, (n, _) in enumerate(pool) if (d := _edits(name, n)) <= ratio * max(len(name), len(n))]
-        return pool[min(scored)[1]][1] if scored else None
-
-    def pool(word: str, province: str | None) -> list[tuple[str, str]]:
-        level = districts if word in DISTRICT_KEYWORDS else wards if word in WARD_KEYWORDS else None
-        if word in PROVINCE_KEYWORDS:
-            return province_names
-        if level is None:
-            return province_names + [(norm(n), n) for n, _ in districts]
-        inside = [(norm(n), n) for n, p in level if province and norm(p) == norm(province)]
-        return inside or [(norm(n), n) for n, _ in level]
-
-    def context(text: str) -> str | None:
-        tail = text.rpartition(",")[2].strip() if "," in text else ""
-        if len(tail) < SHORTEST:
-            return None
-        if m := keyword.match(tail):
-            tail = tail[m.end() :].strip()
-        exact = [p for n, p in province_names if n == norm(tail)]
-        return exact[0] if exact else closest(norm(tail), province_names, PROVINCE_RATIO) if tail else None
-
-    def one(text: str | None) -> str | None:
-        found = list(keyword.finditer(text)) if text else []
-        province = context(text) if found else None
-        for m in reversed(found):
-            rest = text[m.end() :]
-            cut = boundary.search(rest)
-            name = (rest[: cut.start()] if cut else rest).strip()
-            if len(name) < SHORTEST or norm(name) in every:
-                continue
-            best = closest(norm(name), pool(m[1].strip(), province), RATIO)
-            if best:
-                text = text[: m.end()] + best + text[m.end() + len(name) :]
-        return text
-
-    return texts.map(one, na_action="ignore")
-
-
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
-
-
-def address_corrector(provinces: list[str], districts: list[tuple[str, str]], wards: list[tuple[str, str]]):
-    """Arrow-batched function text -> corrected text over a gazetteer of bounded size."""
-
-    @F.pandas_udf("string")
-    def correct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield correct_addresses(texts, provinces, districts, wards)
-
-    return correct
+    norm = normalize_name(F.col("name")).alias("name")
+    level = lambda rows, scope: rows.select(scope.alias("scope"), norm, F.col("ord").cast("long").alias("ord"), F.col("name").alias("original"))
+    inside = lambda letter: F.concat(F.lit(f"{letter}|"), normalize_name(F.col("province")))
+    behind = districts.withColumn("ord", F.col("ord") + (1 << 40))
+    parts = [level(provinces, F.lit("P")), level(districts, F.lit("D")), level(wards, F.lit("W")), level(districts, inside("D")), level(wards, inside("W")), level(provinces, F.lit("X")), level(behind, F.lit("X"))]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def place_names(texts: DataFrame) -> DataFrame:
+    """text, place, mark, rest, entity of every keyword in distinct texts: what stands behind it up to the next
+    keyword, and the name that it begins with, up to a comma or anything that is written like a keyword."""
+    words = [*PROVINCE_KEYWORDS, *DISTRICT_KEYWORDS, *WARD_KEYWORDS]
+    marked = F.regexp_replace("text", keyword_pattern(words).removesuffix(r"\s+") + r"(\s+)", f"{_CUT}$1$2{_GAP}")
+    pieces = texts.select("text", F.posexplode(F.split(marked, _CUT)).alias("place", "piece"))
+    parts = F.split("piece", _GAP)
+    pieces = pieces.select("text", "place", F.when(F.col("place") > 0, parts[0]).alias("mark"), F.when(F.col("place") > 0, parts[1]).otherwise(F.col("piece")).alias("rest"))
+    stop = "|".join([",", *(rf"\Q{k}\E" for k in sorted(words, key=len, reverse=True))])
+    return pieces.withColumn("entity", F.when(F.col("place") > 0, trim_spaces(F.regexp_extract("rest", rf"(?s)^(.*?)(?:{stop}|$)", 1))))
+
+
+def own_provinces(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, province (normalised): the province that a text's last segment names or nearly names."""
+    tail = F.regexp_replace(trailing_segment(F.col("text")), "^" + keyword_pattern([*PROVINCE_KEYWORDS, *DISTRICT_KEYWORDS, *WARD_KEYWORDS]), "")
+    tails = texts.filter(F.length(trailing_segment(F.col("text"))) >= SHORTEST).select("text", normalize_name(tail).alias("tail")).filter("tail <> ''")
+    known = names.filter("scope = 'P'").groupBy("name").agg(F.min("ord").alias("ord"))
+    exact = tails.join(known.select(F.col("name").alias("tail")), "tail", "left_semi").select("text", F.col("tail").alias("province"))
+    near = fuzzy_match(tails, known, "text", "tail", "name", ratio=PROVINCE_RATIO, shortest=1).select("text", F.col("best").alias("province"))
+    return exact.unionAll(near)
+
+
+def correct_addresses(df: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """`df` with `corrected`: each misspelled name behind a keyword replaced by the closest of its level.
+
+    `names`: a `gazetteer`. Keywords are found in any case, but name a level only as they are written in
+    the lists; behind others provinces and districts are searched. Districts and wards are those of the
+    text's own province, if it has one that has any. Names that the gazetteer holds, those shorter than SHORTEST and those without a
+    close name stay, and so do texts without keyword, or with the control characters U+0001 and U+0002.
+    """
+    own = F.col("text")
+    texts = df.select(F.col(text).alias("text")).filter(is_address_like(F.col(text)) & ~F.col(text).rlike(f"[{_CUT}{_GAP}]")).distinct()
+    found = place_names(texts).join(own_provinces(texts, names), "text", "left")
+    word = trim_spaces(F.col("mark"))
+    letter = F.when(word.isin(PROVINCE_KEYWORDS), "P").when(word.isin(DISTRICT_KEYWORDS), "D").when(word.isin(WARD_KEYWORDS), "W").otherwise("X")
+    inner = names.filter("scope LIKE '_|%'").select(F.col("scope").alias("_inner"), F.lit(True).alias("_has")).distinct()
+    found = found.withColumn("scope", letter).join(inner, F.concat_ws("|", "scope", "province") == F.col("_inner"), "left")
+    found = found.withColumn("scope", F.when(F.col("_has") & F.col("scope").isin("D", "W"), F.col("_inner")).otherwise(F.col("scope")))
+    found = found.select("text", "place", "mark", "rest", "entity", "scope", normalize_name(F.col("entity")).alias("norm"))
+    asked = found.filter(F.length("entity") >= SHORTEST).select("scope", "norm", F.concat_ws(_CUT, "scope", "norm").alias("_key")).distinct()
+    best = fuzzy_match(asked, names, "_key", "norm", "name", scope="scope").join(asked, "_key").select("scope", "norm", F.col("best").alias("name"))
+    first = names.groupBy("scope", "name").agg(F.min_by("original", "ord").alias("original"))
+    best = best.join(first, ["scope", "name"]).select("scope", "norm", "original")
+    rest = F.when(F.col("original").isNotNull(), F.concat("original", F.expr("substring(rest, length(entity) + 1)"))).otherwise(F.col("rest"))
+    pieces = found.join(best, ["scope", "norm"], "left").select("text", "place", F.concat(F.coalesce("mark", F.lit("")), rest).alias("piece"))
+    whole = pieces.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))  # bounded by the text
+    whole = whole.select(own.alias("_text"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("corrected"))
+    return df.join(whole, F.col(text) == F.col("_text"), "left").withColumn("corrected", F.coalesce("corrected", F.col(text))).drop("_text")
 
 
 def correct_trailing(df: DataFrame, provinces: DataFrame, key: str, text: str, name: str = "norm", original: str = "name") -> DataFrame:

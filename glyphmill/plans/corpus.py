@@ -188,29 +188,50 @@ SELECT m.c_custkey, CASE WHEN n_name IS NULL THEN address ELSE '12 Street, Ward,
 
 
 def address_correction(spark, sf_dir):
-    """The whole rewriting, over a gazetteer of bounded size that is made of the dimension names: regions,
-    nations, and the supplier with the smallest key of each nation as its ward.
+    """The whole rewriting, over a gazetteer that is made of the dimension names: regions, nations, and the
+    supplier with the smallest key of each nation as its ward.
 
     A third of the addresses names a district alone; the others misspell a ward, a district and a province.
     """
-    regions = [(r["r_name"], r["r_regionkey"]) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
-    of = {k: n for n, k in regions}
-    nations = [(r["n_name"], of[r["n_regionkey"]], r["n_nationkey"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("name"))
-    ward = {r["s_nationkey"]: r["name"] for r in suppliers.collect()}
-    wards = [(ward[k], of_) for _, of_, k in nations if k in ward]
-    correct = G.address_corrector([n for n, _ in regions], [(n, of_) for n, of_, _ in nations], wards)
-    c = table(spark, sf_dir, "customer", "c_custkey")
-    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("c_custkey") / 3) % len(names) + 1).cast("int"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("ord"))
+    nations = table(spark, sf_dir, "nation").join(regions.select(F.col("name").alias("province"), F.col("ord").alias("n_regionkey")), "n_regionkey")
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min_by("s_name", "s_suppkey").alias("name"))
+    wards = nations.join(suppliers, "n_nationkey").select("name", "province", F.col("n_nationkey").alias("ord"))
+    nations = nations.select(F.col("n_name").alias("name"), "province", F.col("n_nationkey").alias("ord"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"])  # some dozens of names
+    large, small = regions.agg(listed).scalar(), wards.agg(listed).scalar()
+    c = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", large.alias("large"), small.alias("small"))
+    pick = lambda names: F.element_at(names, (F.floor(F.col("c_custkey") / 3) % F.size(names) + 1).cast("int"))
     district = F.concat(F.lit("NATIOM_"), F.col("c_custkey") % 30)
-    small = F.regexp_replace(pick([n for n, _ in wards] or ["none"]), "pp", "p")
-    large = F.translate(pick([n for n, _ in regions]), "IO", "LQ")
+    small, large = F.regexp_replace(pick(F.col("small")), "pp", "p"), F.translate(pick(F.col("large")), "IO", "LQ")
     kind = F.col("c_custkey") % 3
     address = F.when(kind == 0, F.concat(F.lit("Quận "), district, F.lit(", REGION")))
     address = address.when(kind == 1, F.concat(F.lit("Phường "), small, F.lit(", Huyện "), district, F.lit(", Tỉnh "), large))
     address = address.otherwise(F.concat(F.lit("12 Street, Xã "), small, F.lit(", Thị xã "), district, F.lit(", Thành phố "), large))
     c = c.select("c_custkey", address.alias("address"))
-    return c.select("c_custkey", correct("address").alias("corrected"), G.is_address_like(F.col("address")).alias("address_like"))
+    out = G.correct_addresses(c, G.gazetteer(regions, nations, wards), "address")
+    return out.select("c_custkey", "corrected", G.is_address_like(F.col("address")).alias("address_like"))
+
+
+def _closest(entity: str, pool: str, ratio: float, scope: str) -> str:
+    """SQL of the closest name of a pool inside `scope` (or of the whole pool), null if none is close."""
+    near = f"levenshtein(lower({entity}), lower(name)) <= {ratio} * greatest(length({entity}), length(name))"
+    return f"(SELECT arg_min(name, levenshtein(lower({entity}), lower(name)) * 1000 + ord) FROM {pool} WHERE {near} AND ({scope}))"
+
+
+ADDRESS_CORRECTION = f"""
+WITH p AS (SELECT r_name AS name, r_regionkey AS ord FROM region),
+d AS (SELECT n_name AS name, r_name AS province, n_nationkey AS ord FROM nation JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT arg_min(s_name, s_suppkey) AS name, any_value(province) AS province, s_nationkey AS ord FROM supplier JOIN d ON d.ord = s_nationkey GROUP BY s_nationkey),
+lists AS (SELECT (SELECT list(name ORDER BY ord) FROM p) AS ps, (SELECT list(name ORDER BY ord) FROM w) AS ws),
+c AS (SELECT c_custkey, c_custkey % 3 AS kind, 'NATIOM_' || (c_custkey % 30) AS district, replace(ws[c_custkey // 3 % len(ws) + 1], 'pp', 'p') AS small, translate(ps[c_custkey // 3 % len(ps) + 1], 'IO', 'LQ') AS large FROM customer, lists),
+k AS (SELECT DISTINCT kind, district, small, large, CASE WHEN kind = 0 THEN 'REGION' ELSE large END AS tail FROM c),
+o AS (SELECT *, coalesce((SELECT min(name) FROM p WHERE lower(name) = lower(tail)), {_closest('tail', 'p', 0.3, 'true')}) AS province FROM k),
+n AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.name = district) THEN district ELSE coalesce({_closest('district', 'd', 0.35, 'd.province = o.province OR o.province IS NULL')}, district) END AS d1,
+  CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.name = small) THEN small ELSE coalesce({_closest('small', 'w', 0.35, 'w.province = o.province OR o.province IS NULL OR NOT EXISTS (SELECT 1 FROM w v WHERE v.province = o.province)')}, small) END AS w1,
+  coalesce((SELECT min(name) FROM p WHERE name = large), {_closest('large', 'p', 0.35, 'true')}, large) AS p1 FROM o)
+SELECT c_custkey, CASE kind WHEN 0 THEN 'Quận ' || d1 || ', REGION' WHEN 1 THEN 'Phường ' || w1 || ', Huyện ' || d1 || ', Tỉnh ' || p1 ELSE '12 Street, Xã ' || w1 || ', Thị xã ' || d1 || ', Thành phố ' || p1 END AS corrected, true AS address_like
+FROM c JOIN n USING (kind, district, small, large)"""
 
 
 def mixed_batches(spark, sf_dir):
@@ -333,7 +354,7 @@ QUERIES = {
     "scoped_fuzzy_match": (scoped_fuzzy_match, SCOPED_FUZZY),
     "exact_name_skip": (exact_name_skip, EXACT_NAME_SKIP),
     "trailing_province": (trailing_province, TRAILING_PROVINCE),
-    "address_correction": (address_correction, None),
+    "address_correction": (address_correction, ADDRESS_CORRECTION),
     "mixed_batches": (mixed_batches, MIXED_BATCHES),
     "replay_buffer": (replay_buffer, REPLAY_BUFFER),
     "pseudo_line_labels": (pseudo_line_labels, PSEUDO_LINES),

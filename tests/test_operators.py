@@ -1,6 +1,5 @@
 import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,14 +49,19 @@ def test_drop_reason_order(spark):
 PROVINCES, DISTRICTS, WARDS = ["Hà Nội", "Đà Nẵng"], [("Ba Đình", "Hà Nội"), ("Hải Châu", "Đà Nẵng"), ("Hải An", "Đà Nẵng")], [("Đồng Mai", "Hà Nội"), ("Nam Dương", "Đà Nẵng")]
 
 
-@pytest.mark.parametrize("text, want", [
+ADDRESSES = [
     ("Quận Ba Đinh, Hà Nội", "Quận Ba Đình, Hà Nội"), ("Phường Đồng Mai, Quận Hải Chau, Đà Nẵn", "Phường Đồng Mai, Quận Hải Châu, Đà Nẵn"),
     ("no keyword here", "no keyword here"), ("", ""), ("quận Ba Đinh", "quận Ba Đình"), ("Tỉnh Da Nẵng", "Tỉnh Đà Nẵng"), ("Quận X", "Quận X"),
-])
-def test_addresses(spark, text, want):
-    assert G.correct_addresses(pd.Series([text]), PROVINCES, DISTRICTS, WARDS)[0] == want
-    correct = G.address_corrector(PROVINCES, DISTRICTS, WARDS)
-    assert spark.createDataFrame([(text,), (None,)], "t string").select(correct("t")).collect()[0][0] == want
+]
+
+
+def test_addresses(spark):
+    rows = lambda names: spark.createDataFrame([(n, p, i) for i, (n, p) in enumerate(names)], "name string, province string, ord int")
+    names = G.gazetteer(rows([(n, None) for n in PROVINCES]), rows(DISTRICTS), rows(WARDS))
+    df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate([*ADDRESSES, *ADDRESSES, (None, None), ("Quận \u0001Ba Đinh", None)])], "i int, t string, place string")
+    got = {r["i"]: r["corrected"] for r in G.correct_addresses(df, names, "t").collect()}
+    assert [got[i] for i in range(len(ADDRESSES))] == [w for _, w in ADDRESSES] == [got[i + len(ADDRESSES)] for i in range(len(ADDRESSES))]
+    assert got[2 * len(ADDRESSES)] is None and got[2 * len(ADDRESSES) + 1] == "Quận \u0001Ba Đinh" and len(got) == 2 * len(ADDRESSES) + 2
 
 
 def test_address_query_reaches_all_levels(spark, sf):
