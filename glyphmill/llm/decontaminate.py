@@ -34,14 +34,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def text_key(text: Column) -> Column:
-    """What postings know a text by. Texts that share a key share alignments, and are verified each by itself."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def row_key(docs: DataFrame, text: str = "text") -> Column:
+    """What postings know a row by: its id and text. Copies with other ids stay apart, whose words would else be
+    counted together; rows that share a key share alignments, and are verified each by itself."""
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs[text], F.lit("")))
 
 
 def positions(docs: DataFrame, text: str = "text") -> DataFrame:
     """key, pos, term of every word; rows without words vanish."""
-    return docs.select(text_key(F.col(text)).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+    return docs.select(row_key(docs, text).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "term"))
 
 
 def item_table(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -101,14 +102,14 @@ def _starts(c: Column, diag: Column, text_words: Column) -> Column:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Every row of `docs` (text and more) with two more columns at the end: the number of its
+    """Every row of `docs` (doc_id, text and more) with two more columns at the end: the number of its
     words, and what was found as an array of struct(item_id, start, w).
 
     `start` is the document word at which an occurring window begins, `w` its words. Items without
     words never match, null texts have no words. Rows are judged each on its own text, whatever ids they have.
     """
     items = item_table(items, window)
-    plain = docs.select("text")
+    plain = docs.select("doc_id", "text")
     rare = anchors(items, term_counts(plain, items), rarest)
     key, cand, n, found = fresh(docs, "_key", "_cand", "_n_words", "_found")
     index = postings(plain, rare)
@@ -116,7 +117,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     drop_stored(index)
     pairs = pairs.join(small(items), "item_key")
     lists = store(pairs.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("item_id", "words", "w", "diags")).alias(cand)), "aligned")
-    out = docs.join(small(lists), text_key(docs["text"]) == lists[key], "left").drop(key)
+    out = docs.join(small(lists), row_key(docs) == lists[key], "left").drop(key)
 
     def ranges(w: Column) -> Column:
         def one(c: Column, diag: Column) -> Column:
@@ -147,7 +148,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms:
     near = W.partitionBy("key", "item_key").orderBy("pos").rangeBetween(-slop, 0)
     hit = lists.withColumn("_near", F.size(F.collect_set("q").over(near))).filter("_near >= need")
     hit = hit.join(small(items.select("item_key", "item_id")), "item_key").select("key", "item_id", F.col("pos").alias("end")).distinct()
-    return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(hit, "key").select("doc_id", "item_id", "end").distinct()
+    return docs.select("doc_id", row_key(docs).alias("key")).join(hit, "key").select("doc_id", "item_id", "end").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
