@@ -11,6 +11,9 @@ from glyphmill.functions.text import is_allowed
 WORD_LIMITS = {"min_width": 10, "min_height": 10, "max_height": 300, "min_aspect": 0.3, "max_aspect": 25.0}
 LINE_LIMITS = {"min_width": 32, "min_height": 16, "max_height": 384, "max_width": 3000, "min_aspect": 1.0}
 
+#: A rendered text is dropped where its image would be wider (fixed value).
+RENDER_LIMITS = {"min_width": 1, "min_height": 1, "max_width": 2400}
+
 
 def aspect(width: Column, height: Column) -> Column:
     return F.when(height > 0, width / height).otherwise(0.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.operators.quality import RENDER_LIMITS, size_reason
+from glyphmill.operators.ranking import bucketed_rank
 from glyphmill.operators.sequence import first_seen, last_write
 from glyphmill.operators.split import split_rows
 from glyphmill.plans.common import LABEL, SPACES, hallucinated, table
@@ -205,7 +207,28 @@ SELECT length(c) <= 1 OR NOT regexp_matches(c, '[\p{L}\p{N}]') OR regexp_matches
   count(*) AS tokens, count(DISTINCT token) AS kinds FROM c GROUP BY 1"""
 
 
+def render_width(spark, sf_dir):
+    """Texts that are too wide to be rendered at their size."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    return p.select("p_partkey", size_reason(F.length("p_name") * F.col("p_size") * 2, F.col("p_size"), RENDER_LIMITS).alias("reason"))
+
+
+RENDER_WIDTH = "SELECT p_partkey, CASE WHEN length(p_name) * p_size * 2 < 1 THEN 'width_small' WHEN p_size < 1 THEN 'height_small' WHEN length(p_name) * p_size * 2 > 2400 THEN 'width_large' END AS reason FROM part"
+
+
+def writer_order(spark, sf_dir):
+    """Places of ids that are text, in the order of their numbers; text that is no number has none."""
+    s = table(spark, sf_dir, "supplier", "s_suppkey").select((F.col("s_suppkey") * 7 % 1000).cast("string").alias("writer"), "s_suppkey")
+    s = s.withColumn("number", F.col("writer").try_cast("long")).filter("number IS NOT NULL")
+    return bucketed_rank(s, [], [F.col("number"), F.col("s_suppkey")], F.floor(F.col("number") / 64), rank="place").select("s_suppkey", "writer", "place")
+
+
+WRITER_ORDER = "SELECT s_suppkey, (s_suppkey * 7 % 1000)::VARCHAR AS writer, row_number() OVER (ORDER BY s_suppkey * 7 % 1000, s_suppkey) AS place FROM supplier"
+
+
 QUERIES = {
+    "render_width": (render_width, RENDER_WIDTH),
+    "writer_order": (writer_order, WRITER_ORDER),
     "corpus_split_summary": (corpus_split_summary, CORPUS_SPLIT_SUMMARY),
     "normalize_label": (normalize_label, NORMALIZE_LABEL),
     "label_lengths": (label_lengths, LABEL_LENGTHS),
