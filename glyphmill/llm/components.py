@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import drop_stored, store
+from glyphmill.llm.shared import drop_stored, forget, store
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -35,4 +35,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = _state(edges)
         if state == before:
             break
+    forget(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

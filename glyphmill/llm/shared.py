@@ -16,9 +16,11 @@ from pyspark.sql.types import StructType
 
 #: Tables of more rows or bytes (as text) than this are never broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-#: Bytes after which Spark ends a batch for a Python worker, unless the application's configuration names them: bounds batches of very long texts.
-BATCH_BYTES = 8 << 20
-_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bounds of what a task holds of long texts at once, unless the application's configuration names them: bytes
+#: of a batch for a Python worker, rows of a batch that a Parquet reader decodes.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Stored tables: bytes that a writer keeps before it writes them out, rows between looks at a page's size.
+_WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "10"}
 _RUN = uuid.uuid4().hex
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: dict[str, str] = {}
@@ -44,12 +46,27 @@ def shared_root(spark: SparkSession) -> str:
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives a lost executor."""
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    bound(df.sparkSession)
+    df.write.options(**_WRITER).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def bound(spark: SparkSession) -> None:
+    """Set BOUNDS in the session."""
+    named = spark.sparkContext.getConf()
+    for key, value in BOUNDS.items():
+        if not named.contains(key):
+            spark.conf.set(key, value)
+
+
+def forget(spark: SparkSession) -> None:
+    """Have the driver collect its plans that are out of use, so that executors free what was broadcast and shuffled for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """`df` (a stored table) with a broadcast hint if a count of rows and bytes shows it to be small enough."""
     some = df.limit(rows + 1)
@@ -93,8 +110,7 @@ def release() -> None:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose Python workers, which Spark keeps for later tasks, give their memory back after each task, with batches bounded by bytes."""
-    if not df.sparkSession.sparkContext.getConf().contains(_BATCH_KEY):
-        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    bound(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
