@@ -80,21 +80,42 @@ def bound(q: Node, r: Node) -> float:
     return top + 1e-6 * (1 + abs(top))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, trees: tuple[Node, Node] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best among the rows of `x`, own id left out.
+class Best:
+    """The k best rows (score, id) of each query so far, and the score that a row needs to be among them.
+
+    `floor`: a score that each query is known to reach k times elsewhere; nothing below it is kept. Ties go to
+    the smaller id.
+    """
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.score, self.id = np.full((len(floor), k), -np.inf), np.full((len(floor), k), np.iinfo(np.int64).max)
+        self.kth = floor.copy()
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        take = np.flatnonzero((scores >= self.kth[query]) & (scores > -np.inf))
+        s, i = np.concatenate([self.score[query], scores[take]]), np.concatenate([self.id[query], ids[take]])
+        first = np.lexsort((i, -s))[: self.score.shape[1]]
+        self.score[query], self.id[query] = s[first], i[first]
+        self.kth[query] = max(self.kth[query], self.score[query, -1])
+
+    def rows(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of all that is kept."""
+        got = self.score > -np.inf
+        return np.repeat(query_ids, got.sum(1)), self.id[got], self.score[got].astype(np.int64)
+
+
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, best: Best, x: np.ndarray, ids: np.ndarray, trees: tuple[Node, Node] | None = None) -> None:
+    """Add to `best` what it lacks of the rows of `x`; rows with a query's own id are left out.
 
     Pairs of nodes are taken best bound first; the wider node of a pair is opened, pairs below the
-    worst kth score of the query node's rows are dropped, pairs of leaves are multiplied out.
-    `floor`: a score that each query is known to reach k times elsewhere; nothing below it is returned.
-    Ties go to the smaller id. All values are integers in float64, so products are exact below 2**53.
+    worst kth score of the query node's rows are dropped, pairs of leaves are multiplied out. Scores kept
+    from earlier blocks prune like those found here. All values are integers in float64, so products are exact below 2**53.
     """
-    best_s, best_i = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
-    kth = floor.copy()
     top_q, top_r = trees or (cover_tree(queries), cover_tree(x))
     stack = [(bound(top_q, top_r), top_q, top_r)]
     while stack:
         top, q, r = stack.pop()
-        if top < kth[q.rows].min():
+        if top < best.kth[q.rows].min():
             continue
         if q.children and (q.radius >= r.radius or not r.children):
             stack += sorted(((bound(c, r), c, r) for c in q.children), key=lambda b: b[0])
@@ -103,15 +124,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x
         else:
             s = queries[q.rows] @ x[r.rows].T
             s[query_ids[q.rows][:, None] == ids[r.rows][None, :]] = -np.inf
-            for i in np.flatnonzero((s >= kth[q.rows][:, None]).any(1)):
-                row = q.rows[i]
-                take = np.flatnonzero((s[i] >= kth[row]) & (s[i] > -np.inf))
-                all_s, all_i = np.concatenate([best_s[row], s[i, take]]), np.concatenate([best_i[row], ids[r.rows[take]]])
-                first = np.lexsort((all_i, -all_s))[:k]
-                best_s[row], best_i[row] = all_s[first], all_i[first]
-                kth[row] = max(kth[row], best_s[row, -1])
-    got = best_s > -np.inf
-    return np.repeat(query_ids, got.sum(1)), best_i[got], best_s[got].astype(np.int64)
+            for i in np.flatnonzero((s >= best.kth[q.rows][:, None]).any(1)):
+                best.add(q.rows[i], s[i], ids[r.rows])
 
 
 def usable(vector: Column) -> Column:
@@ -155,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
 
 def _round(rows: DataFrame, asked: DataFrame, k: int, scale: float, block: int) -> DataFrame:
-    """The k best of every block of candidates for one round of queries."""
+    """The k best of every task's candidates for one round of queries: blocks of a task share what was found."""
     got = asked.select("vec_id", "v").toArrow()
     ids = got.column(0).to_numpy()
     q = _scaled(got.column(1).combine_chunks(), scale)
@@ -171,21 +185,22 @@ def _round(rows: DataFrame, asked: DataFrame, k: int, scale: float, block: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor = sent.value
-        tree = cover_tree(q)
+        tree, best = cover_tree(q), Best(floor, k)
 
-        def search(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def search(part: list[pa.RecordBatch]) -> None:
             t = pa.Table.from_batches(part).combine_chunks()
             x, own = _scaled(t.column(1).combine_chunks(), scale), t.column(0).to_numpy()
-            return pa.record_batch([pa.array(c) for c in dual_search(q, ids, floor, x, own, k, (tree, cover_tree(x)))], ["query_id", "vec_id", "score"])
+            dual_search(q, ids, best, x, own, (tree, cover_tree(x)))
 
         held: list[pa.RecordBatch] = []
         for b in batches:
             for at in range(0, b.num_rows, block):
                 held.append(b.slice(at, block))
                 if sum(h.num_rows for h in held) >= block:
-                    yield search(held)
+                    search(held)
                     held = []
         if held and sum(h.num_rows for h in held):
-            yield search(held)
+            search(held)
+        yield pa.record_batch([pa.array(c) for c in best.rows(ids)], ["query_id", "vec_id", "score"])
 
     return map_batches(rows, run, FOUND)
