@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import map_batches, store
+from glyphmill.llm.shared import BROADCAST_ROWS, map_batches, store
 from glyphmill.llm.token_count import byte_alphabet
 
 CAPACITY = 2048
-#: Pieces of one length are numbered in so many buckets apart, so that no task holds a whole length.
-RANK_BUCKETS = 64
+#: Pieces of one length are numbered in so many buckets apart at least, and in more where buckets would get
+#: more than so many pieces, so that no task holds a whole length.
+RANK_BUCKETS, BUCKET_PIECES = 64, 500_000
 #: Chunks that one generation of a worker's memory holds, and the longest that it keeps.
 MEMORY, LONGEST_KEPT = 250_000, 64
 #: Pre-tokens of the vocabulary's format (a fixed value), for lower-cased printable Latin-1 without white space.
@@ -182,15 +183,21 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*cols.T, opened)
 
 
-def rank_within(df: DataFrame, group: str, order: list[str], buckets: int = RANK_BUCKETS) -> DataFrame:
-    """`df` with _rank: gapless from 0 within `group`, numbered in hashed buckets that are laid end to end."""
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.count(F.lit(1)).alias("_n"))
+def rank_within(df: DataFrame, counts: DataFrame, order: list[str], least: int = RANK_BUCKETS, most: int = BUCKET_PIECES) -> DataFrame:
+    """`df` with _rank: gapless from 0 within `length`, numbered in hashed buckets that are laid end to end.
+
+    `counts`: stored table length, n, a sequence's lengths at most. Buckets per length follow from n.
+    """
+    counts = counts.select(F.col("length").alias("_l"), F.greatest(F.lit(least), F.ceil(F.col("n") / most)).cast("int").alias("_many"))
+    starts = counts.agg(F.coalesce(F.sum("_many"), F.lit(0))).first()[0]
+    df = df.join(F.broadcast(counts), F.col("length") == F.col("_l")).withColumn("_b", F.pmod(F.xxhash64(*order), F.col("_many")).cast("int")).drop("_l", "_many")
+    sizes = df.groupBy(F.col("length").alias("_g"), F.col("_b").alias("_gb")).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_g").orderBy("_gb").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("_g", "_gb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    df = df.withColumn("_r", F.row_number().over(W.partitionBy(group, "_b").orderBy(*order)) - 1)
-    out = df.join(F.broadcast(sizes), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))  # at most capacity x buckets rows
-    return out.withColumn("_rank", F.col("_from") + F.col("_r")).drop("_b", "_g", "_gb", "_from", "_r", "_n")
+    df = df.withColumn("_r", F.row_number().over(W.partitionBy("length", "_b").orderBy(*order)) - 1)
+    sizes = F.broadcast(sizes) if starts <= BROADCAST_ROWS else sizes  # three numbers a row
+    out = df.join(sizes, (F.col("length") == F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    return out.withColumn("_rank", F.col("_from") + F.col("_r")).drop("_b", "_g", "_gb", "_from", "_r")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
@@ -202,8 +209,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     """
     spark = docs.sparkSession
     cut = store(pieces(docs, path, capacity, end_id, key, text, memory), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = plan_best_fit(counts, capacity)
+    counts = store(cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    plan = plan_best_fit({r["length"]: r["n"] for r in counts.collect()}, capacity)
     sent = spark.sparkContext.broadcast((plan.length, plan.rank, plan.sequence, plan.offset, plan.sequences))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,5 +220,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
             cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = rank_within(cut, "length", ["doc_id", "piece", "ids_crc32"])
+    ranked = rank_within(cut, counts, ["doc_id", "piece", "ids_crc32"])
     return map_batches(ranked, run, f"{PIECES}, sequence_id long, offset long")
