@@ -90,8 +90,10 @@ fit AS (
   FROM base b LEFT JOIN rules r ON (b.host = r.rhost OR ends_with(b.host, '.' || r.rhost)) AND starts_with(b.path, r.rpath)
   GROUP BY ALL),
 hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-    count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS k FROM fit GROUP BY host),
+  SELECT host, CASE WHEN below THEN regexp_extract(host, '([^.]*\.)?[^.]*\.[^.]*\z') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+    CASE WHEN below THEN regexp_extract(host, '[^.]*\.[^.]*\z') ELSE string_split(host, '.')[-1] END AS suffix,
+    count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS k
+  FROM (SELECT *, regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]\z') AS below FROM fit) GROUP BY host, below),
 doms AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS m FROM doms GROUP BY suffix),
 s1 AS (SELECT CASE WHEN sum(n*(n-1)*m*(1-m)) > 0 THEN 1 / greatest(0.001, least(0.999, sum((k-n*m)*(k-n*m) - n*m*(1-m)) / sum(n*(n-1)*m*(1-m)))) - 1 ELSE 1 END AS st FROM s0),

@@ -17,8 +17,8 @@ from glyphmill.llm.shared import fresh, store
 
 #: One-sided normal quantile of the posterior bound, and the bad-page rate that the bound has to pass.
 Z, THRESHOLD = 1.0, 0.5
-#: Registered domains are the last DOMAIN_LABELS labels of a host, suffixes the last one.
-DOMAIN_LABELS = 2
+#: Second-level labels that are part of the suffix before a country code (co.uk, com.vn).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 
 def url_host(url: Column) -> Column:
@@ -46,13 +46,18 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
-def host_domain(host: Column, labels: int = DOMAIN_LABELS) -> Column:
-    """Registered domain: the last `labels` labels; the host itself where it has fewer."""
-    return F.substring_index(host, ".", -labels)
+def _below_country(host: Column, second: Sequence[str]) -> Column:
+    return host.rlike(rf"(^|\.)({'|'.join(second)})\.[a-z][a-z]\z")
 
 
-def host_suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def host_suffix(host: Column, second: Sequence[str] = SECOND_LEVEL) -> Column:
+    """The last label; the last two where those of `second` stand before a country code of two letters."""
+    return F.when(_below_country(host, second), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+
+
+def host_domain(host: Column, second: Sequence[str] = SECOND_LEVEL) -> Column:
+    """Registered domain: the suffix and the label before it; the host itself where it has no more."""
+    return F.when(_below_country(host, second), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _strength(level: DataFrame) -> DataFrame:
