@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -85,11 +86,21 @@ def test_dual_search_prunes(monkeypatch):
     trees = topk.cover_tree(q, leaf=4), topk.cover_tree(x, leaf=16)
     real = topk.bound
     monkeypatch.setattr(topk, "bound", lambda a, b: seen.append(1) or real(a, b))
-    own, ids, score = topk.dual_search(q, -1 - np.arange(len(q)), np.full(len(q), -np.inf), x, np.arange(len(x)), 3, trees)
+    best, asked = topk.Best(np.full(len(q), -np.inf), 3), -1 - np.arange(len(q))
+    topk.dual_search(q, asked, best, x, np.arange(len(x)), trees)
+    own, ids, score = best.rows(asked)
     want = {(-1 - i, int(j), int((q[i] @ x[j]))) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), -(x @ q[i])))[:3]}
     assert set(zip(own.tolist(), ids.tolist(), score.tolist())) == want
     leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
     assert len(seen) < 0.5 * leaves(trees[0]) * leaves(trees[1])
+    carried = topk.Best(np.full(len(q), -np.inf), 3)
+    for at in (0, 700, 1400):  # blocks of one task: what was found prunes the next
+        topk.dual_search(q, asked, carried, x[at : at + 700], np.arange(at, min(at + 700, len(x))), (trees[0], topk.cover_tree(x[at : at + 700], leaf=16)))
+    assert all((a == b).all() for a, b in zip(carried.rows(asked), (own, ids, score)))
+    first, floor = len(seen), best.kth + 1
+    seen.clear()
+    topk.dual_search(q, asked, topk.Best(floor, 3), x, np.arange(len(x)), trees)
+    assert len(seen) < first  # the more is known, the fewer pairs are bounded
 
 
 def test_cover_tree_covers():
@@ -496,6 +507,20 @@ def test_packing(spark, edge, empty):
     assert packing.pack(empty, CLIP).count() == 0
 
 
+def test_ranks_in_buckets_by_count(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(2048).cast("long").alias("length"))
+    rows = rows.unionAll(rows.filter("doc_id < 50"))
+    counts = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    for bound in (0, 200_000):  # starts of buckets joined by shuffle, by broadcast
+        monkeypatch.setattr(packing, "BROADCAST_ROWS", bound)
+        ranked = packing.rank_within(rows, counts, ["doc_id"], least=2, most=40)
+        assert set(ranked.columns) == {"doc_id", "length", "_rank"}
+        got = defaultdict(list)
+        for r in ranked.collect():
+            got[r["length"]].append(r["_rank"])
+        assert {n: sorted(v) for n, v in got.items()} == {r["length"]: list(range(r["n"])) for r in counts.collect()}
+
+
 def test_plan_is_best_fit():
     r = random.Random(1)
     for _ in range(30):
@@ -537,6 +562,27 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    want = {"": ("", ""), "uk": ("uk", "uk"), "co.uk": ("co.uk", "co.uk"), "a.co.uk": ("a.co.uk", "co.uk"), "x.a.co.uk": ("a.co.uk", "co.uk"),
+            "x.a.com.vn": ("a.com.vn", "com.vn"), "x.a.com": ("a.com", "com"), "x.co.com": ("co.com", "com"), "x.disco.uk": ("disco.uk", "uk"), "m.bbc.uk": ("bbc.uk", "uk")}
+    host = F.col("host")
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", url_filter.host_domain(host), url_filter.host_suffix(host)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_url_sql_on_country_domains(spark):
+    hosts = [f"{w}.{d}" for w in ("www", "m", "a.b") for d in ("spam.co.uk", "good.co.uk", "spam.com.vn", "news.de", "co.uk", "bbc.uk")] + ["uk", "co.uk", "", "x..co.uk"]
+    hosts += ["example.org", "m.example.org", "shop.com", "www.shop.com"]
+    paths = ["/", "/de/1", "/fr/", "/es/x", "/en/1"]
+    rows = [(i, f"http://{hosts[i * 7 % len(hosts)]}{paths[i % 5]}") for i in range(400)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES)
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert got == set(con.execute(queries.OP7_SQL).fetchall())
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.x.com", True)] * 40 + [("good.y.com", False)] * 40 + [("one.x.com", True), ("new.x.com", None), ("new.y.com", None), ("far.net", None)]
     df = spark.createDataFrame(rows, "host string, bad boolean")
