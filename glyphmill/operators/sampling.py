@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ranking import bucketed_rank, hash_order, range_bucket, shuffled_rank
+from glyphmill.operators.ranking import hash_order, ranged_rank, shuffled_rank
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -24,7 +24,7 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], k: int, *order: Column) ->
 
 def quantile_picks(df: DataFrame, by: Sequence[str], order: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Rows at the places floor(n * share) of each group, with share."""
-    ranked = bucketed_rank(df, by, [F.col(c) for c in order], range_bucket(df, order[0]), rank="_at", total="_n")
+    ranked = ranged_rank(df, by, [F.col(c) for c in order], rank="_at", total="_n")
     out = ranked.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
     return out.filter(F.col("_at") - 1 == F.floor(F.col("_n") * F.col("share"))).drop("_at", "_n")
 

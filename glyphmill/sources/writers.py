@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ranking import bucketed_rank, range_bucket
+from glyphmill.operators.ranking import RANGES, ranged_rank
 from glyphmill.sources.readers import MANIFEST
 
 
@@ -14,7 +14,7 @@ def write_manifest(df: DataFrame, path: str, more: tuple[str, ...] = (), append:
     df.select(*[c for c in (*MANIFEST, *more)]).write.mode("append" if append else "overwrite").csv(path, header=True, escape='"', quoteAll=True)
 
 
-def export_samples(df: DataFrame, path: str, key: str = "filename", buckets: int = 256) -> None:
+def export_samples(df: DataFrame, path: str, key: str = "filename", buckets: int = RANGES) -> None:
     """Samples with an image, densely numbered from 1 in key order within (level, data_type, split).
 
     Rebuilding replaces only the partitions that are written. The number of samples is metadata of
@@ -22,7 +22,7 @@ def export_samples(df: DataFrame, path: str, key: str = "filename", buckets: int
     """
     by = ["level", "data_type", "split"]
     good = df.filter(F.col("image").isNotNull())
-    ranked = bucketed_rank(good, by, [F.col(key)], range_bucket(good, key, buckets), rank="idx")
+    ranked = ranged_rank(good, by, [F.col(key)], rank="idx", buckets=buckets)
     ranked.select("idx", "image", "label", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 

@@ -7,7 +7,7 @@ from glyphmill.operators import corpus as C
 from glyphmill.operators import gazetteer as G
 from glyphmill.operators import quality as Q
 from glyphmill.operators import sampling as S
-from glyphmill.operators.ranking import bucketed_rank
+from glyphmill.operators.ranking import bucketed_rank, range_bucket, ranged_rank
 from glyphmill.operators.split import determined_split, split_groups, split_rows
 
 
@@ -39,6 +39,28 @@ def test_bucketed_rank_matches_window(spark):
         assert list(part.sort_values("id").rn) == list(range(1, len(part) + 1)) and set(part.n) == {len(part)}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.95])
+def test_ranged_rank_under_skew(spark, share):
+    """Bounds follow the rows: with one first key in most of them no bucket has over twice the median."""
+    df = spark.range(40_000, numPartitions=4).select(F.when(F.col("id") % 100 < 100 * share, 7).otherwise(F.col("id") % 1009).alias("v"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"))
+    df = df.withColumn("v", F.when(F.col("k") % 50 == 0, F.lit(None)).otherwise(F.col("v")))
+    sizes = df.groupBy(range_bucket(df, [F.col("v"), F.col("k")], buckets=32).alias("b")).count().toPandas()["count"]
+    assert len(sizes) == 32 and sizes.max() <= 2 * sizes.median()
+    out = ranged_rank(df, [], [F.col("v"), F.col("k")], total="n").toPandas().sort_values("rn")
+    assert list(out.rn) == list(range(1, 40_001)) and set(out.n) == {40_000}
+    keys = [(v if v == v else -1, k) for v, k in zip(out.v, out.k)]
+    assert keys == sorted(keys)
+    assert "Join" not in ranged_rank(df, ["v"], [F.col("k")])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_of_other_types(spark):
+    rows = [(None, "a", 1.5), ("x", None, 2.0), ('"', "b", float("nan")), ("x", "é", -0.0), ("x", "é", 0.5)] * 3
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, s string, d double, _bucket long")
+    out = ranged_rank(df, ["g"], [F.col("s"), F.col("d"), F.col("_bucket")], total="n", buckets=4).toPandas()
+    assert sorted(zip(out.g.fillna("").astype(str), out.rn, out.n)) == sorted([("", i, 3) for i in (1, 2, 3)] + [('"', i, 3) for i in (1, 2, 3)] + [("x", i, 9) for i in range(1, 10)])
+    assert ranged_rank(df.limit(0), ["g"], [F.col("s")]).count() == 0
+
+
 def test_drop_reason_order(spark):
     rows = [("漢", False, None, None), ("a", False, None, None), ("a", True, None, None), ("a", True, 9, 20), ("a", True, 20, 301), ("a", True, 20, 100), ("a", True, 600, 20), ("a", True, 50, 20)]
     df = spark.createDataFrame(rows, "l string, f boolean, w int, h int")
