@@ -6,7 +6,6 @@ end. The starts, one row per group and bucket, travel as marks among the rows: n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,21 +58,23 @@ def range_bucket(df: DataFrame, keys: Sequence[Column], buckets: int = RANGES, s
     """Bucket of a row, monotone in `keys` taken together (ascending, nulls first): the number of bounds up to it.
 
     Bounds are quantiles of about `sample` x `buckets` rows drawn at random, so that values count as often as
-    they occur; the draw is all that reaches the driver. They are looked up by halving. Only rows
+    they occur; one task sorts the draw and the bounds alone reach the driver. They are looked up by halving. Only rows
     that are equal in all keys have to share a bucket: end `keys` with what tells rows apart.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*[k.alias(n) for k, n in zip(keys, names)])
     n, wanted = rows.count(), sample * buckets
     some = rows if n <= wanted else rows.sample(wanted / n, 42)
-    some = [r[0] for r in some.sort(*names).select(F.to_json(F.struct(*names))).collect()]
-    step = max(1, math.ceil(len(some) / buckets))
-    bounds = list(dict.fromkeys(some[step::step]))
+    sorted_ = some.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("all"))  # one task, the draw alone
+    step = F.greatest(F.lit(1), F.ceil(F.size("all") / buckets)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.floor((F.size("all") - 1) / step).cast("int")), lambda i: F.get("all", i * step))
+    picks = sorted_.select(F.when(F.size("all") > step, F.array_distinct(picked)).alias("p")).select(F.to_json("p"), F.size("p"))
+    bounds, many = picks.first()
     if not bounds:
         return F.lit(0)
-    listed = F.from_json(F.lit(f"[{','.join(bounds)}]"), ArrayType(rows.schema))  # a constant to the optimiser
+    listed = F.from_json(F.lit(bounds), ArrayType(rows.schema))  # a constant to the optimiser
     own = F.struct(*[k.alias(n) for k, n in zip(keys, names)])
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(many.bit_length()))])
     return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(listed, at + half - 1) <= own, at + half).otherwise(at))
 
 
