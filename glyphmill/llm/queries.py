@@ -13,6 +13,7 @@ from glyphmill.llm.decontaminate import contamination
 from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
 from glyphmill.llm.simhash import near_duplicates
+from glyphmill.llm.snapshots import snapshot_difference
 from glyphmill.llm.suffix_dedup import deduplicate
 from glyphmill.llm.token_count import count_tokens
 from glyphmill.llm.topk import top_k
@@ -73,6 +74,24 @@ def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents against a later snapshot of them, in which crc32 of the id changes rows, moves them to other keys, copies or drops them."""
+    old = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    case = F.crc32(F.col("doc_id").cast("string")) % 10
+    moved = -1 - F.col("doc_id")
+    keys = F.when(case.isin(3, 4), F.array(moved)).when(case == 5, F.array("doc_id", moved)).otherwise(F.array("doc_id"))
+    new = old.filter(F.coalesce(case != 0, F.lit(True))).select(
+        keys.alias("keys"),
+        F.when(case == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(case == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(case == 2, F.col("lang")).when(case == 4, None).otherwise(F.col("source")).alias("source"),
+    )
+    line = F.concat_ws("\n", *[F.coalesce(c, F.lit("~")) for c in ("text", "lang", "source")])
+    new = new.withColumn("row_sha256", F.sha2(line, 256)).withColumn("doc_id", F.explode("keys"))
+    out = snapshot_difference(old, new, "doc_id", ["text", "lang", "source"], carry=["row_sha256"])
+    return out.select("key", "old_key", "op", F.array_join(F.coalesce("changed", F.array()), ",").alias("changed"), "row_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -138,6 +157,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 """
 
+OP13_SQL = r"""
+WITH tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(i))),
+old AS (
+  SELECT doc_id AS key, text, lang, source,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10 AS d
+  FROM documents, tbl),
+later AS (
+  SELECT CASE WHEN d IN (3, 4) THEN -1 - key ELSE key END AS key, CASE WHEN d = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+    CASE WHEN d = 2 THEN source ELSE lang END AS lang, CASE WHEN d = 2 THEN lang WHEN d = 4 THEN NULL ELSE source END AS source
+  FROM old WHERE d <> 0
+  UNION ALL SELECT -1 - key, text, lang, source FROM old WHERE d = 5),
+sha AS (SELECT *, sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) AS row_sha256 FROM later),
+met AS (
+  SELECT coalesce(n.key, o.key) AS key, o.key AS old_key, n.key AS new_key, row_sha256,
+    concat_ws(',', CASE WHEN o.text IS DISTINCT FROM n.text THEN 'text' END, CASE WHEN o.lang IS DISTINCT FROM n.lang THEN 'lang' END, CASE WHEN o.source IS DISTINCT FROM n.source THEN 'source' END) AS changed,
+    coalesce(n.text, o.text) AS text, CASE WHEN n.key IS NULL THEN o.lang ELSE n.lang END AS lang, CASE WHEN n.key IS NULL THEN o.source ELSE n.source END AS source
+  FROM old o FULL JOIN sha n ON o.key = n.key),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY text, lang, source, new_key IS NULL ORDER BY key) AS i FROM met WHERE old_key IS NULL OR new_key IS NULL),
+rest AS (
+  SELECT max(new_key) AS new_key, max(old_key) AS old_key, max(row_sha256) AS row_sha256 FROM ranked GROUP BY text, lang, source, i)
+SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, row_sha256 FROM met WHERE old_key IS NOT NULL AND new_key IS NOT NULL
+UNION ALL
+SELECT coalesce(new_key, old_key), old_key, CASE WHEN old_key IS NULL THEN 'insert' WHEN new_key IS NULL THEN 'delete' ELSE 'rekey' END, '', row_sha256 FROM rest
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dual_tree_topk": OP1_SQL, "op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL}
+    return {"op1_dual_tree_topk": OP1_SQL, "op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL, "op13_snapshot_groups": OP13_SQL}
