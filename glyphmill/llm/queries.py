@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import language, quality
 from glyphmill.llm.decontaminate import contamination
+from glyphmill.llm.hard_negatives import mine
 from glyphmill.llm.packing import pack
 from glyphmill.llm.sharding import shard_documents
 from glyphmill.llm.simhash import near_duplicates
@@ -74,6 +75,13 @@ def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the embeddings whose id is divisible by 100, labels of every seventh id being wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents against a later snapshot of them, in which crc32 of the id changes rows, moves them to other keys, copies or drops them."""
     old = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -157,6 +165,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(i))),
 old AS (
@@ -185,4 +206,4 @@ SELECT coalesce(new_key, old_key), old_key, CASE WHEN old_key IS NULL THEN 'inse
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dual_tree_topk": OP1_SQL, "op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL, "op13_snapshot_groups": OP13_SQL}
+    return {"op1_dual_tree_topk": OP1_SQL, "op5_positional_index": OP5_SQL, "op7_url_reputation": OP7_SQL, "op12_ball_tree_negatives": OP12_SQL, "op13_snapshot_groups": OP13_SQL}
