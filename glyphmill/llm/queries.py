@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from glyphmill.llm import language, quality
 from glyphmill.llm.decontaminate import contamination
 from glyphmill.llm.hard_negatives import mine
 from glyphmill.llm.packing import pack
+from glyphmill.llm.shared import shared_root, store
 from glyphmill.llm.sharding import shard_documents
 from glyphmill.llm.simhash import near_duplicates
 from glyphmill.llm.snapshots import snapshot_difference
@@ -19,6 +21,7 @@ from glyphmill.llm.suffix_dedup import deduplicate
 from glyphmill.llm.token_count import count_tokens
 from glyphmill.llm.topk import top_k
 from glyphmill.llm.url_filter import judge_urls
+from glyphmill.llm.warc import capture_index, read_archives, write_archives
 from glyphmill.sources.readers import spread
 
 #: Rules of the page filter: verdict, host, path.
@@ -75,6 +78,16 @@ def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_capture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back, and indexed by URL and time; pages have no time, so captures follow their ids, a second each."""
+    second = F.make_dt_interval(secs=F.pmod(F.col("page_id"), F.lit(30 * 86400)).cast("decimal(18,6)"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html", (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + second).alias("captured"))
+    folder = f"{shared_root(spark)}/archives-{uuid.uuid4().hex[:8]}"
+    write_archives(pages, folder, captured="captured")
+    index = capture_index(store(read_archives(spark, folder), "captures"))
+    return index.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place", "file", "offset", "length")
+
+
 def op12_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of the embeddings whose id is divisible by 100, labels of every seventh id being wrong."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
