@@ -98,10 +98,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     parts = max(1, -(-int(total) // size))
     turns = 4 * parts  # so that files are even
     hot = [r["sha"] for r in firsts.filter((F.col("n") > 1) & (F.col("n") * HOT_SHARE > n)).select("sha").collect()]
-    is_hot = F.col("sha").isin(hot) if hot else F.lit(False)
-    rows = rows.withColumn("turn", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(turns))).otherwise(0))
-    firsts_ = firsts.select("sha", "first", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(turns - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))).alias("turn"))
-    met = rows.repartition(parts, "sha", "turn").join(firsts_.repartition(parts, "sha", "turn").hint("shuffle_hash"), ["sha", "turn"])
+    firsts_, on = firsts.select("sha", "first"), ["sha"]
+    if hot:
+        is_hot, on = F.col("sha").isin(hot), ["sha", "turn"]
+        every = F.sequence(F.lit(0), F.lit(turns - 1)).cast("array<bigint>")
+        rows = rows.withColumn("turn", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(turns))).otherwise(0))
+        firsts_ = firsts_.withColumn("turn", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("bigint")))))
+    met = rows.repartition(parts, *on).join(firsts_.repartition(parts, *on).hint("shuffle_hash"), on)  # the join keeps this dealing
     text = record(F.col("key"), F.col("url"), F.col("captured"), F.col("payload"), base32_of_hex(F.col("sha")), F.col("first"))
     met.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
     drop_stored(firsts)
