@@ -8,7 +8,7 @@ regressions are one matrix, so a batch of presence rows is scored by one matrix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ TRAIN_ROWS, LANDMARKS, RIDGE = 400, 96, 1e-4
 BITS = (256, 1 << 12, 1 << 14)
 BATCH = 128
 UNKNOWN = "und"
+#: Documents of the training languages score more, even of one word (0.2 and more); other scripts score under 0.1.
+LEAST_SCORE = 0.15
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -136,18 +138,23 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     return map_batches(rows, run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text can get a language; null, empty and letterless texts go. All columns stay.
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = LEAST_SCORE, languages: Sequence[str] | None = None) -> DataFrame:
+    """The rows of `docs` whose text has a language: its best score is `least` or more, and it is one of `languages` if they are named.
 
-    Where nothing was learned there is no language to name, and every text with a letter stays.
+    Null, empty and letterless texts go; texts in scripts or languages that no training text is in have scores near 0. Repeated rows
+    are judged alike. All columns stay. Where nothing was learned there is nothing to judge by, and every text with a letter stays.
     """
     sent, place = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights)), docs.columns.index(text)
+    wanted = None if languages is None else set(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*sent.value)
         for b in batches:
             column = b.column(place)
-            keep = [x != UNKNOWN for x in _predict(model, column)[0]] if model.langs else [has_letter(x.as_py()) for x in column]
+            if model.langs:
+                keep = [x != UNKNOWN and s >= least and (wanted is None or x in wanted) for x, s in zip(*_predict(model, column))]
+            else:
+                keep = [has_letter(x.as_py()) for x in column]
             yield b.filter(pa.array(np.array(keep, bool)))
 
     return map_batches(docs, run, docs.schema)

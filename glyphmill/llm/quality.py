@@ -120,14 +120,17 @@ def statistics_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def fit(table: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Forest:
     """Trees from the labelled rows of a statistics table that are not held out.
 
-    At most about `train_rows` rows are used, picked by a hash of the id. Null labels and labels of
-    unknown documents are left out; a document labelled twice counts twice.
+    At most `train_rows` rows reach the driver, those with the smallest hashes of id and label. Null labels and labels of
+    unknown documents are left out; a document counts once for each different label it has, a repeated
+    document id for each of its rows.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, train_rows / max(known.count(), 1))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.filter(u < share).select("doc_id", F.col(label).cast("double").alias("y"))
-    got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in table.join(picked, "doc_id").select("doc_id", "y", "x").collect())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).distinct()
+    share = min(1.0, 1.2 * train_rows / max(known.count(), 1))
+    u = F.pmod(F.xxhash64("doc_id", "y"), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.withColumn("u", u).filter(F.col("u") < share)  # so that the last step sorts little
+    some = table.join(picked, "doc_id").orderBy("u", "doc_id", "y", "x").limit(train_rows)
+    got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in some.select("doc_id", "y", "x").collect())
     x = np.frombuffer(b"".join(r[2] for r in got)).reshape(-1, len(FEATURES))
     return grow(x, np.array([r[1] for r in got]))
 

@@ -35,46 +35,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of the embeddings for every fiftieth id."""
     return top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op2_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once 50-byte strings of earlier documents are cut out."""
     return deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from its labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rule or by its host's reputation."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
 
 def op9_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
 
 
 def op10_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 

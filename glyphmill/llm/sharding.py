@@ -10,10 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: Pieces into which the rows of a shard are numbered apart, so that no task holds a whole shard.
-SLOT_BUCKETS = 256
+from glyphmill.llm.shared import fresh
+from glyphmill.operators.ranking import bucketed_rank
+
+#: Rows in a hash bucket that is numbered at once, over all shards.
+SLOT_ROWS = 20_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -36,25 +38,21 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def slots(df: DataFrame, shard: str, key: Sequence[str], out: str = "slot", buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Gapless numbers from 0 in each shard, in two levels.
+def slots(df: DataFrame, shard: str, key: Sequence[str], out: str = "slot", buckets: int | None = None) -> DataFrame:
+    """Gapless numbers from 0 in each shard: rows are numbered in buckets by a hash of `key`, each of which starts where the one before it ends.
 
-    Rows are numbered inside (shard, bucket), buckets by a hash of `key`; each bucket starts where the
-    buckets before it end. The table of starts has at most shards x buckets rows, which bounds its
-    broadcast. Repeated rows get numbers of their own.
+    Without `buckets` their number follows from the rows, SLOT_ROWS in each, so no task holds a whole shard. Repeated
+    rows get numbers of their own.
     """
+    if buckets is None:
+        buckets = max(1, -(-df.count() // SLOT_ROWS))
     bucket = F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
-    df = df.withColumn("_b", bucket)
-    starts = df.groupBy(F.col(shard).alias("_s"), F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("_s").orderBy("_sb").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("_s", "_sb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = W.partitionBy(shard, "_b").orderBy(*key)
-    df = df.withColumn("_r", F.row_number().over(inner))
-    df = df.join(F.broadcast(starts), (F.col(shard) == F.col("_s")) & (F.col("_b") == F.col("_sb")))
-    return df.withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_s", "_sb", "_start", "_b", "_r", "_n")
+    (rank,) = fresh(df, "rank")
+    ranked = bucketed_rank(df, [shard], [F.col(k) for k in key], bucket, rank)
+    return ranked.withColumn(out, F.col(rank) - 1).drop(rank)
 
 
-def shard_documents(docs: DataFrame, shards: int | Sequence[float], key: str = "doc_id", text: str = "text", buckets: int = SLOT_BUCKETS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int | Sequence[float], key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     `shards`: a count, or the shards' weights. grown_shard: the shard with one more shard (of mean

@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Tables of more rows or bytes (as text) than this are never broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-#: Bounds of what a task holds of long texts at once, unless the application's configuration names them: bytes
-#: of a batch for a Python worker, rows of a batch that a Parquet reader decodes.
+#: Bounds of what a task holds of long texts while a table is stored: bytes of a batch for a Python worker, rows of a
+#: batch that a Parquet reader decodes.
 BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 #: Stored tables: bytes that a writer keeps before it writes them out, rows between looks at a page's size.
 _WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "10"}
@@ -43,36 +43,52 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """`df` in a session of its own with BOUNDS over its caller's settings, which stay as they are.
+
+    A setting that the application's configuration or the caller's session names is kept.
+    """
+    spark = df.sparkSession
+    own = spark.newSession()
+    for key, value in {**BOUNDS, **spark.conf.getAll}.items():
+        if spark.conf.isModifiable(key) or key in BOUNDS:
+            own.conf.set(key, value)
+    name = f"glyphmill_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return own.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives a lost executor."""
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives a lost executor.
+
+    What a task holds of long texts while it writes is bounded by BOUNDS; the session's settings don't change.
+    """
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:8]}"
-    bound(df.sparkSession)
-    df.write.options(**_WRITER).parquet(path)
+    apart(df).write.options(**_WRITER).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def bound(spark: SparkSession) -> None:
-    """Set BOUNDS in the session."""
-    named = spark.sparkContext.getConf()
-    for key, value in BOUNDS.items():
-        if not named.contains(key):
-            spark.conf.set(key, value)
-
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (a stored table) with a broadcast hint if a count of rows, then of bytes, shows it to be small enough.
 
-def forget(spark: SparkSession) -> None:
-    """Have the driver collect its plans that are out of use, so that executors free what was broadcast and shuffled for them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Each task counts what it reads and hands on two numbers.
+    """
+    n = df.count()
+    if n > rows:
+        return df
+    fixed = [f for f in df.schema.fields if not isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    long_ = [F.coalesce(_octets(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema.fields if f not in fixed]
+    bytes_ = df.agg(F.sum(sum(long_, F.lit(8 * len(df.columns))).cast("long"))).first()[0] if n else 0
+    return F.broadcast(df) if bytes_ <= size else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` (a stored table) with a broadcast hint if a count of rows and bytes shows it to be small enough."""
-    some = df.limit(rows + 1)
-    bytes_ = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long"))
-    n, b = some.agg(F.count(F.lit(1)), F.coalesce(bytes_, F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and b <= size else df
+def _octets(c: Column, kind: DataType) -> Column:
+    return F.octet_length(c if isinstance(kind, (StringType, BinaryType)) else F.to_json(F.struct(c.alias("v"))))
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -109,8 +125,7 @@ def release() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow whose Python workers, which Spark keeps for later tasks, give their memory back after each task, with batches bounded by bytes."""
-    bound(df.sparkSession)
+    """mapInArrow whose Python workers, which Spark keeps for later tasks, give their memory back after each task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
