@@ -642,7 +642,8 @@ def test_language(spark, empty):
     odd = {2000: "½ ²", 2001: "Ⅷ ①", 2002: "٣ १ ੩", 2003: "½ é", 2004: "字"}
     odd_docs = spark.createDataFrame([(i, t, None, "s", "p") for i, t in odd.items()], docs.schema)
     assert {r["doc_id"] for r in language.identify(odd_docs, model).collect() if r["lang_pred"] == "und"} == {2000, 2001, 2002}
-    assert {r["doc_id"] for r in language.keep_identified(odd_docs, model).collect()} == {2003, 2004}
+    assert {r["doc_id"] for r in language.keep_identified(odd_docs, model, least=0).collect()} == {2003, 2004}
+    assert {r["doc_id"] for r in language.keep_identified(odd_docs, model).collect()} == {2003}  # no language has the other's letters
     kept = language.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     nothing = language.fit(docs.limit(0))
