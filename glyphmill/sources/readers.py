@@ -60,9 +60,18 @@ def read_label_map(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no (from 0), value of text files; files are split into lines where they are read."""
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    """path, line_no (from 0), value of the lines of text files, which are read split by split.
+
+    Row ids that rise within a split are turned into line numbers by two sums over the splits alone: the lines of
+    earlier splits of the file, less the split's first row id. No line is shuffled, and a file is as many tasks as
+    it has splits. Lines end at LF, CR or both; a file's last line end opens no further line.
+    """
+    found = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    text = spark.read.text(path).select("value", found.alias("split"), F.monotonically_increasing_id().alias("row"))
+    splits = text.groupBy("split").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).select("split.*", "first", "n")
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)  # a file's splits
+    splits = splits.select(F.struct("path", "start").alias("split"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return text.join(splits, "split").select(F.col("split.path").alias("path"), (F.col("row") + F.col("shift")).alias("line_no"), "value")
 
 
 def read_label_lines(spark: SparkSession, path: str, last_wins: bool = True) -> DataFrame:
@@ -131,7 +140,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
     """Epoch table of training logs given as path, line_no, value: path, stage, phase, epoch, loss, runtime, ts,
     printed_cer, printed_wer, hw_cer, hw_wer, restarted, first_line.
 
-    One ordered pass over each log. Phases are filled forward and count for the first stage; an
+    One ordered pass over the lines of each log that any pattern fits; the others go before anything is shuffled. Phases are filled forward and count for the first stage; an
     evaluation goes to the epoch line before it, or to the one on its own line. An epoch that is run
     again starts over: its last run counts, evaluations of earlier ones are dropped. restarted: an epoch of stage 2a
     that was run again after a run with a time stamp; ts is the last stamp of any of its runs.
@@ -147,8 +156,8 @@ def parse_log(lines: DataFrame) -> DataFrame:
         "path", "line_no", F.lower(part(PHASE, 1)).alias("mark"), stage.alias("stage"), pick(1, "int").alias("epoch"), pick(2, "double").alias("loss"),
         F.when(stage == "stage1", number(STAGE_1, 3, "int")).alias("runtime"), F.when(stage != "stage1", F.try_to_timestamp(part(STAMP, 1), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("ts"),
         both(PRINTED).alias("printed"), both(HANDWRITTEN).alias("hw"),
-    )
-    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)  # a log is one task by nature
+    ).filter("mark IS NOT NULL OR stage IS NOT NULL OR printed IS NOT NULL OR hw IS NOT NULL")
+    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)  # the telling lines of one log
     rows = rows.withColumn("mark", F.last("mark", True).over(w)).withColumn("run", F.count("stage").over(w)).filter("run > 0")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     phase = F.when(F.col("stage") == "stage1", F.col("mark")).when(F.col("stage").isNotNull(), F.substring("stage", 6, 2))

@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -22,6 +23,45 @@ def test_label_lines(spark, tmp_path):
     assert R.read_label_lines(spark, str(tmp_path / "l.txt"), last_wins=False).count() == 3
 
 
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Files are read by many tasks; numbers are those of the whole file, whatever ends its lines."""
+    r = random.Random(1)
+    lines = {name: [f"f{r.randrange(60)}.png\t{name}{i}" if r.random() < 0.9 else r.choice(["", "é" * 40, "no tab"]) for i in range(n)] for name, n in (("a", 700), ("b", 333), ("c", 0), ("d", 1))}
+    for name, end in zip(lines, ("\n", "\r\n", "\n", "\n")):
+        (tmp_path / f"{name}.txt").write_bytes("".join(x + end for x in lines[name]).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        df = R.numbered_lines(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.withColumn("task", F.spark_partition_id()).collect()
+        named = R.read_label_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len({x["task"] for x in got}) > 20 and "value" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    found = {name: sorted((x["line_no"], x["value"]) for x in got if x["path"].endswith(f"/{name}.txt")) for name in lines}
+    assert found == {name: list(enumerate(rows)) for name, rows in lines.items()}
+    last = {}
+    for name in sorted(lines):
+        last |= dict(x.split("\t") for x in lines[name] if "\t" in x)
+    assert {x["filename"]: x["label"] for x in named} == last
+
+
+def test_log_over_many_splits(spark, tmp_path):
+    """The epoch table of a log does not depend on how its file is cut."""
+    out = []
+    for i in range(120):
+        out += [f"2024-01-01 00:{i // 60:02d}:{i % 60:02d},1 [Stage2a] Epoch {i % 40} | avg_CE=0.{i:03d}", "noise " * (i % 7), f"printed CER=0.{i:03d} WER=0.5"]
+    (tmp_path / "log.txt").write_text("\n".join(out))
+    whole = sorted(map(str, R.read_log(spark, str(tmp_path / "log.txt")).collect()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert sorted(map(str, R.read_log(spark, str(tmp_path / "log.txt")).collect())) == whole and len(whole) == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_label_map_and_fallback(spark, tmp_path):
     (tmp_path / "labels.json").write_text(json.dumps({"x.png": "Đường", "y.png": ""}, ensure_ascii=False), encoding="utf-8")
     df = R.read_label_map(spark, [str(tmp_path / "label.json"), str(tmp_path / "labels.json")])
