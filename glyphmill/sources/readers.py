@@ -136,27 +136,32 @@ PRINTED = r"(?i)printed.*?CER=([0-9.]+).*?WER=([0-9.]+)"
 HANDWRITTEN = r"(?i)(?:handwritten|hw).*?CER=([0-9.]+).*?WER=([0-9.]+)"
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """Epoch table of training logs given as path, line_no, value: path, stage, phase, epoch, loss, runtime, ts,
-    printed_cer, printed_wer, hw_cer, hw_wer, restarted, first_line.
-
-    One ordered pass over the lines of each log that any pattern fits; the others go before anything is shuffled. Phases are filled forward and count for the first stage; an
-    evaluation goes to the epoch line before it, or to the one on its own line. An epoch that is run
-    again starts over: its last run counts, evaluations of earlier ones are dropped. restarted: an epoch of stage 2a
-    that was run again after a run with a time stamp; ts is the last stamp of any of its runs.
-    A line belongs to one stage, the last that fits; numbers that are none are null.
-    """
+def told_lines(lines: DataFrame) -> DataFrame:
+    """What each line (path, line_no, value) of a training log tells: mark, stage, epoch, loss, runtime, ts, and the rates printed and hw; lines
+    that no pattern fits are left out. A line belongs to one stage, the last that fits; numbers that are none are null."""
     part = lambda p, i: F.nullif(F.regexp_extract("value", p, i), F.lit(""))
     number = lambda p, i, kind: part(p, i).try_cast(kind)
     pick = lambda i, kind: F.coalesce(number(STAGE_2B, i, kind), number(STAGE_2A, i, kind), number(STAGE_1, i, kind))
     fits = lambda p: F.col("value").rlike(p)
     stage = F.when(fits(STAGE_2B), "stage2b").when(fits(STAGE_2A), "stage2a").when(fits(STAGE_1), "stage1")
     both = lambda p: F.when(fits(p), F.struct(number(p, 1, "double").alias("cer"), number(p, 2, "double").alias("wer")))
-    rows = lines.select(
+    return lines.select(
         "path", "line_no", F.lower(part(PHASE, 1)).alias("mark"), stage.alias("stage"), pick(1, "int").alias("epoch"), pick(2, "double").alias("loss"),
         F.when(stage == "stage1", number(STAGE_1, 3, "int")).alias("runtime"), F.when(stage != "stage1", F.try_to_timestamp(part(STAMP, 1), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("ts"),
         both(PRINTED).alias("printed"), both(HANDWRITTEN).alias("hw"),
     ).filter("mark IS NOT NULL OR stage IS NOT NULL OR printed IS NOT NULL OR hw IS NOT NULL")
+
+
+def parse_log(lines: DataFrame) -> DataFrame:
+    """Epoch table of training logs given as path, line_no, value: path, stage, phase, epoch, loss, runtime, ts,
+    printed_cer, printed_wer, hw_cer, hw_wer, restarted, first_line.
+
+    One ordered pass over the lines of each log that any pattern fits; the others go before anything is shuffled. Phases are filled forward and count for the first stage; an
+    evaluation goes to the epoch line before it, or to the one on its own line. An epoch that is run
+    again starts over: its last run counts, evaluations of earlier ones are dropped. restarted: an epoch of stage 2a
+    that was run again after a run with a time stamp; ts is the last stamp of any of its runs.
+    """
+    rows = told_lines(lines)
     w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)  # the telling lines of one log
     rows = rows.withColumn("mark", F.last("mark", True).over(w)).withColumn("run", F.count("stage").over(w)).filter("run > 0")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
