@@ -178,7 +178,7 @@ def trailing_province(spark, sf_dir):
     c = table(spark, sf_dir, "customer", "c_custkey")
     c = c.select("c_custkey", F.concat(F.lit("12 Street, Ward, NATIOM_"), F.col("c_custkey") % 30).alias("address"))
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("norm"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
-    return G.correct_trailing(c, names, "c_custkey", "address").select("c_custkey", "corrected")
+    return G.correct_trailing(c, names, "address").select("c_custkey", "corrected")
 
 
 TRAILING_PROVINCE = """

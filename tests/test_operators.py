@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def test_address_query_reaches_all_levels(spark, sf):
 def test_trailing_province(spark):
     names = spark.createDataFrame([("hà nội", "Hà Nội", 0), ("đà nẵng", "Đà Nẵng", 1)], "norm string, name string, ord int")
     df = spark.createDataFrame([(0, "a, Đà Vưỡng"), (1, "a, Đà Nẵn"), (2, "a"), (3, "a, Hà Nội"), (4, "a, TP Hà Nộ"), (5, None)], "k int, t string")
-    got = {r["k"]: r["corrected"] for r in G.correct_trailing(df, names, "k", "t").collect()}
+    got = {r["k"]: r["corrected"] for r in G.correct_trailing(df, names, "t").collect()}
     assert got == {0: "a, Đà Vưỡng", 1: "a, Đà Nẵng", 2: "a", 3: "a, Hà Nội", 4: "a, TP Hà Nộ", 5: None}
 
 
@@ -166,3 +167,37 @@ def test_mixed_batches_wrap(spark):
     out = S.mixed_batches(spark.range(20), spark.range(100, 106), "id", 8, 0.7).toPandas()
     sizes = out.groupby(["batch_no", "pool"]).size().unstack()
     assert list(sizes["first"]) == [5] * 4 and list(sizes["second"]) == [3] * 4
+
+
+def test_trailing_province_of_equal_names(spark):
+    """Two provinces that are equal once normalised: one address in, one row out, with the first one's spelling."""
+    names = spark.createDataFrame([("hanoi", "HaNoi", 2), ("hanoi", "Hanoi", 1), ("hue", "Hue", 3)], "norm string, name string, ord int")
+    df = spark.createDataFrame([(1, "x, Hanoy"), (1, "x, Hanoy"), (None, "y, Hanoy"), (3, None)], "k int, t string")
+    assert sorted(map(str, (tuple(r) for r in G.correct_trailing(df, names, "t").collect()))) == sorted(map(str, [(1, "x, Hanoy", "x, Hanoi")] * 2 + [(None, "y, Hanoy", "y, Hanoi"), (3, None, None)]))
+
+
+@pytest.mark.parametrize("ratio, near", [(0.35, 2), (0.5, 4)])
+def test_fuzzy_index_finds_what_all_pairs_find(spark, ratio, near):
+    """Equal to Levenshtein over all pairs: names from one letter on, hot pieces, ties, two scopes."""
+    r = random.Random(int(ratio * 100))
+    word = lambda a, n: "".join(r.choices(a, k=n))
+    names = [word("abc", r.randint(1, 9)) for _ in range(60)] + ["prefix prefix " + word("0123", 5) for _ in range(40)] + [word("abcdefghijé", r.randint(8, 40)) for _ in range(60)]
+
+    def bent(s):
+        s = list(s)
+        for _ in range(r.randint(1, max(1, int(0.4 * len(s))))):
+            at = r.randrange(len(s) + 1)
+            s[at : at + r.randint(0, 1)] = r.choice(["", word("abcx01", 1)])
+        return "".join(s)
+
+    names = [(n, r.choice("PD"), i) for i, n in enumerate(names)]
+    asked = [(i, bent(r.choice(names)[0]), r.choice("PD")) for i in range(400)]
+    n, e = spark.createDataFrame(names, "name string, s string, ord int"), spark.createDataFrame(asked, "k int, e string, s string")
+    pairs = e.filter("length(e) >= 2").join(n.drop("s").withColumnRenamed("ord", "o"), F.lit(True)).filter(F.levenshtein("e", "name") / F.greatest(F.length("e"), F.length("name")) <= ratio)
+    known = {x[0] for x in names}
+    want = {x["k"]: (x["b"]["name"], x["b"]["d"]) for x in pairs.groupBy("k", "e").agg(F.min(F.struct(F.levenshtein("e", "name").alias("d"), "o", "name")).alias("b")).collect() if x["e"] not in known}
+    got = {x["k"]: (x["best"], x["dist"]) for x in G.fuzzy_match(e, n, "k", "e", "name", ratio=ratio, near=near).collect()}
+    assert got == want and len(want) > 150
+    inside = e.filter("length(e) >= 2").join(n.withColumnRenamed("ord", "o"), "s").filter(F.levenshtein("e", "name") / F.greatest(F.length("e"), F.length("name")) <= ratio)
+    want = {x["k"]: x["b"]["name"] for x in inside.groupBy("k", "e").agg(F.min(F.struct(F.levenshtein("e", "name").alias("d"), "o", "name")).alias("b")).collect() if x["e"] not in known}
+    assert {x["k"]: x["best"] for x in G.fuzzy_match(e, n, "k", "e", "name", scope="s", ratio=ratio, near=near).collect()} == want
