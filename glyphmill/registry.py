@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import corpus, evaluation, labels, logs, splits
+from glyphmill.plans import corpus, evaluation, flows, labels, logs, splits
 
-_ALL = {k: v for module in (labels, splits, evaluation, logs, corpus) for k, v in module.QUERIES.items()}
+_ALL = {k: v for module in (labels, splits, evaluation, logs, corpus, flows) for k, v in module.QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
