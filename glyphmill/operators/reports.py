@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.ranking import ranged_rank
+
 
 def bin_label(value: Column, edges: Sequence[int]) -> Column:
     """[low,high) of a value between rising edges, >=last beyond, null below the first."""
@@ -68,3 +70,12 @@ def timing_line(steps: Sequence[tuple[str, Column]]) -> Column:
     parts = [F.concat(F.lit(f"{name}: "), places(seconds, 2), F.lit("s")) for name, seconds in steps]
     total = F.concat(F.lit("**Total: "), places(sum((seconds for _, seconds in steps), F.lit(0.0)), 2), F.lit("s**"))
     return F.concat_ws(" │ ", *parts, total)
+
+
+def listing(df: DataFrame, by: Sequence[str], order: Sequence[Column], line: Column) -> DataFrame:
+    """by, place (from 1), line: the lines of each group's listing in `order`, which has to tell rows apart where their place matters.
+
+    Ranges of a group are ranked apart (`ranged_rank`), so that no task holds a whole group.
+    """
+    rows = df.withColumn("line", line)
+    return ranged_rank(rows, by, order, "place").select(*by, "place", "line")

@@ -289,14 +289,14 @@ SELECT '| rank | o_orderkey |' || chr(10) || '|---|---|' || chr(10) || string_ag
 
 
 def outlier_groups(spark, sf_dir):
-    """Per group the collected outliers, worst first."""
+    """The listing of each group's outliers, a row a line, with its place in the listing."""
     li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").filter("l_quantity < 2")
-    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    return li.groupBy("l_returnflag").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["l_orderkey"].cast("string"), r["l_linenumber"].cast("string"))), ";").alias("listing"))
+    line = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return R.listing(li, ["l_returnflag"], [F.col("l_orderkey"), F.col("l_linenumber")], line).select("l_returnflag", "place", "line")
 
 
 OUTLIER_GROUPS = """
-SELECT l_returnflag, string_agg(l_orderkey || ':' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber) AS listing FROM lineitem WHERE l_quantity < 2 GROUP BY l_returnflag"""
+SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS place, l_orderkey || ':' || l_linenumber AS line FROM lineitem WHERE l_quantity < 2"""
 
 QUERIES = {
     "cer_per_pair": (cer_per_pair, CER_PER_PAIR),

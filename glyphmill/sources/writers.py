@@ -41,6 +41,17 @@ def write_lines(df: DataFrame, path: str, line: Column, *order: Column) -> None:
     df.orderBy(*order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_listings(lines: DataFrame, path: str, by: list[str], per_file: int = 1_000_000) -> None:
+    """Text files of a `listing`: a folder for each group, in it an ordered run of files `part=0`, `part=1`, ... of `per_file` lines each.
+
+    A task writes one file's lines, however long the group is; the files of a group in the order of their parts are its listing.
+    """
+    parts = lines.withColumn("part", F.floor((F.col("place") - 1) / per_file).cast("int"))
+    tasks = lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = parts.repartition(int(tasks), *by, "part").sortWithinPartitions(*by, "part", "place")
+    dealt.select(F.col("line").alias("value"), *by, "part").write.mode("overwrite").partitionBy(*by, "part").text(path)
+
+
 def write_predictions(df: DataFrame, path: str, rates: list[str]) -> None:
     """Predictions CSV with rates as %.4f text."""
     cols = [F.format_string("%.4f", F.col(c)).alias(c) if c in rates else F.col(c) for c in df.columns]

@@ -175,3 +175,21 @@ def test_model_hook(spark):
     assert again.count() == again.count() == 1030 and loads.value - before <= 8
     picked = out.select("id", corrector.choose_candidate(F.col("token"), F.col("candidate"), F.col("probability"), F.lit(3)).alias("t")).collect()
     assert all(x["t"].startswith("word" if x["id"] % 2 == 0 else "w0rd") for x in picked)
+
+
+def test_listings_are_runs_of_files(spark, tmp_path):
+    """A group's listing is cut into files in order; no file, and so no task, has more than its share."""
+    from pathlib import Path
+
+    from glyphmill.operators.reports import listing
+    from glyphmill.sources.writers import write_listings
+
+    df = spark.range(5000).select(F.when(F.col("id") < 4500, "big").otherwise("small").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), "id")
+    out = listing(df, ["g"], [F.col("v"), F.col("id")], F.concat_ws(" ", "v", "id"))
+    write_listings(out, f"{tmp_path}/l", ["g"], per_file=600)
+    want = {g: [f"{r['v']} {r['id']}" for r in df.filter(F.col("g") == g).orderBy("v", "id").collect()] for g in ("big", "small")}
+    for g, n in (("big", 8), ("small", 1)):
+        parts = sorted(Path(f"{tmp_path}/l/g={g}").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+        lines = [[x for f in p.glob("*.txt") for x in f.read_text().splitlines()] for p in parts]
+        assert len(parts) == n and all(len(list(p.glob("*.txt"))) == 1 for p in parts) and max(map(len, lines)) <= 600
+        assert sum(lines, []) == want[g]
