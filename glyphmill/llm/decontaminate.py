@@ -4,13 +4,16 @@ Every benchmark window needs all its words at fixed distances, so a document can
 window's rarest words line up. The corpus is read for the counts of benchmark words, then for the stored
 postings (text, word, position) of each window's rarest words; subtracting a word's place in the item from
 its position gives an alignment, and alignments that enough rare words agree on are verified word by
-word against the whole text. Windows that an item repeats are looked for once, so that repeated words do not
+word against the whole text. Texts of so few different words that alignments would outnumber their words are
+looked through window by window instead, with the same result. Windows that an item repeats are looked for once, so that repeated words do not
 multiply alignments. Tables that come from the benchmark are broadcast only after their rows and bytes have
 been counted and found small; otherwise Spark joins them by shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +22,8 @@ from glyphmill.llm.shared import drop_stored, fresh, small, store
 
 #: Words of a window, rarest words of a window whose postings are intersected.
 WINDOW, RAREST = 10, 2
+#: Anchors that a row's postings meet on the average before the row is looked through by whole windows instead.
+DENSE = 32
 #: What parts words: all of ASCII but digits and (lower-cased) letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,6 +99,31 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
     return agreed.groupBy("key", "item_key").agg(F.collect_list("diag").alias("diags"))  # no more than the text's words and the item's
 
 
+def dense_rows(index: DataFrame, rare: DataFrame) -> DataFrame:
+    """Stored table key of the rows whose postings meet over DENSE times their number of anchors: few different words, many alignments.
+
+    Counted from the postings and anchors of each word, before any of them meet.
+    """
+    many = rare.groupBy("term").agg(F.count(F.lit(1)).alias("anchors"))
+    lists = index.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n")).join(small(store(many, "anchor-counts")), "term")
+    work = lists.groupBy("key").agg(F.sum(F.col("n") * F.col("anchors")).alias("work"), F.sum("n").alias("n"))
+    return store(work.filter(F.col("work") > F.lit(DENSE) * F.col("n")).select("key"), "dense")
+
+
+def window_matches(docs: DataFrame, items: DataFrame, dense: DataFrame) -> DataFrame:
+    """Stored table key, found: what occurs in the rows of `dense`, by whole windows. A row is as many windows of each length as it has words."""
+    windows = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("w"))).alias("s"), "words")
+    windows = windows.select("item_id", "w", F.concat_ws(" ", F.slice("words", F.col("s") + 1, F.col("w"))).alias("phrase"))
+    lengths = sorted(r[0] for r in items.select("w").distinct().collect())  # WINDOW at most
+    rows = docs.withColumn("key", row_key(docs)).join(small(dense), "key", "left_semi").select("key", words(F.col("text")).alias("words")).dropDuplicates(["key"])
+    spots = [
+        rows.filter(F.size("words") >= w).select("key", F.lit(w).alias("w"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("start")).select("key", "w", "start", F.concat_ws(" ", F.slice("words", F.col("start") + 1, w)).alias("phrase"))
+        for w in lengths
+    ]
+    met = reduce(DataFrame.unionAll, spots).join(windows, ["w", "phrase"])
+    return store(met.groupBy("key").agg(F.collect_list(F.struct("item_id", "start", "w")).alias("found")), "windows")
+
+
 def _starts(c: Column, diag: Column, text_words: Column) -> Column:
     """Places in a candidate's segment at which a whole window equals the document, when aligned at `diag`."""
     same = F.transform(c["words"], lambda x, q: F.coalesce(F.get(text_words, q + diag) == x, F.lit(False)))
@@ -113,11 +143,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
     rare = anchors(items, term_counts(plain, items), rarest)
     key, cand, n, found = fresh(docs, "_key", "_cand", "_n_words", "_found")
     index = postings(plain, rare)
-    pairs = store(candidates(index, rare), "candidates")
+    dense = dense_rows(index, rare)
+    crowded = not dense.isEmpty()
+    pairs = store(candidates(index.join(small(dense), "key", "left_anti") if crowded else index, rare), "candidates")
     drop_stored(index)
     pairs = pairs.join(small(items), "item_key")
     lists = store(pairs.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("item_id", "words", "w", "diags")).alias(cand)), "aligned")
     out = docs.join(small(lists), row_key(docs) == lists[key], "left").drop(key)
+    whole = F.lit(None)
+    if crowded:
+        key, whole_ = fresh(out, key, "_whole")
+        by_window = window_matches(plain, items, dense).select(F.col("key").alias(key), F.col("found").alias(whole_))
+        out, whole = out.join(small(by_window), row_key(docs) == by_window[key], "left").drop(key), F.col(whole_)
 
     def ranges(w: Column) -> Column:
         def one(c: Column, diag: Column) -> Column:
@@ -127,8 +164,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, rare
 
     text_words = words(F.col("text"))
     once = F.element_at(F.transform(F.array(text_words), ranges), 1)  # the words as a variable: a filter on the result would else split texts once per word
-    empty = F.array().cast("array<struct<item_id:string,start:int,w:int>>")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(text_words).cast("long").alias(n), F.when(F.col(cand).isNull(), empty).otherwise(once).alias(found))
+    kind = "array<struct<item_id:string,start:int,w:int>>"
+    empty = F.array().cast(kind)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(text_words).cast("long").alias(n), F.coalesce(whole.cast(kind), F.when(F.col(cand).isNull(), empty).otherwise(once)).alias(found))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
