@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with two cover trees.
 
-Candidates are indexed block by block where they are read; a block of queries is indexed too. Pairs of
+Candidates are dealt into blocks of near vectors, each stored once with its tree; a round of queries is indexed too. Pairs of
 nodes are visited best bound first, and a pair is dropped when even the largest product that its
 covering radii allow is below the worst kth score of the query group:
 q.x <= Q.C + |Q| rC + |C| rQ + rQ rC for q within rQ of Q and x within rC of C.
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.llm.blocks import BLOCK, build_blocks, opened, scaled, usable
 from glyphmill.llm.shared import map_batches, store
 
-#: Rows of a block of candidates, of a round's queries and of a leaf; radius of a node over its children's.
-BLOCK, QUERIES, LEAF, BASE = 4096, 8192, 64, 1.5
+#: Rows of a round's queries and of a leaf; radius of a node over its children's.
+QUERIES, LEAF, BASE = 8192, 64, 1.5
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -74,6 +75,28 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF,
     return node
 
 
+def flat_tree(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The cover tree of `x` as arrays: order of the rows, and of each node its parent (before it), centre, norm, radius, and the end of its rows; rows of leaves alone."""
+    todo, nodes, rows = [(cover_tree(x), -1)], [], []
+    while todo:
+        node, parent = todo.pop()
+        own = node.rows if not node.children else node.rows[:0]
+        rows.append(own)
+        nodes.append((parent, node.center, node.norm, node.radius, len(own)))
+        todo += [(c, len(nodes) - 1) for c in reversed(node.children)]
+    parent, center, norm, radius, size = zip(*nodes)
+    return np.concatenate(rows), np.array(parent), np.array(center), np.array(norm), np.array(radius), np.cumsum(size)
+
+
+def grown_tree(parent: np.ndarray, center: np.ndarray, norm: np.ndarray, radius: np.ndarray, end: np.ndarray) -> Node:
+    """The tree that `flat_tree` stored, over rows in its order."""
+    first = np.r_[0, end[:-1]]
+    nodes = [Node(center[i], float(norm[i]), float(radius[i]), np.arange(first[i], end[i])) for i in range(len(parent))]
+    for node, p in zip(nodes[1:], parent[1:]):
+        nodes[p].children.append(node)
+    return nodes[0]
+
+
 def bound(q: Node, r: Node) -> float:
     """No product of a point below `q` with one below `r` is larger."""
     top = q.center @ r.center + q.norm * r.radius + r.norm * q.radius + q.radius * r.radius
@@ -128,16 +151,6 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, best: Best, x: np.nd
                 best.add(q.rows[i], s[i], ids[r.rows])
 
 
-def usable(vector: Column) -> Column:
-    """True for vectors with components, all of them finite."""
-    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-
-
-def _scaled(column: pa.Array, scale: float) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(scale * flat).reshape(len(column), -1)
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows by the product of floor(scale * vector).
 
@@ -146,8 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     comparable. Fewer candidates than k: all of them. An id that is stored repeatedly is one query
     (its smallest vector) and as many candidates. No queries: no rows.
 
-    Queries are searched in rounds of about `queries` rows; one round's queries are what the driver
-    and each executor hold.
+    Candidates are read, dealt and indexed once. Queries are searched in rounds of about `queries` rows over the stored blocks; one
+    round's queries are what the driver and each executor hold, and a block whose root no query can need is passed over.
     """
     rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.size(vector).alias("dim"), is_query.alias("is_query"))
     asked = rows.filter("is_query").groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
@@ -155,9 +168,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     parts = []
     for dim, n in sorted((r["dim"], r["n"]) for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         rounds = -(-n // queries)
+        blocks = build_blocks(rows.filter(F.col("dim") == dim).select("vec_id", F.lit(0).cast("long").alias("label"), "v"), flat_tree, scale, block)
         for r in range(rounds):
             mine = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r))
-            found = _round(rows.filter(F.col("dim") == dim).select("vec_id", "v"), mine, k, scale, block)
+            found = _round(blocks, mine, k, scale)
             parts.append(found if rounds == 1 else store(found, "round"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -168,39 +182,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _round(rows: DataFrame, asked: DataFrame, k: int, scale: float, block: int) -> DataFrame:
+def _round(blocks: DataFrame, asked: DataFrame, k: int, scale: float) -> DataFrame:
     """The k best of every task's candidates for one round of queries: blocks of a task share what was found."""
+    spark = blocks.sparkSession
     got = asked.select("vec_id", "v").toArrow()
     ids = got.column(0).to_numpy()
-    q = _scaled(got.column(1).combine_chunks(), scale)
     if not len(ids):
-        return rows.sparkSession.createDataFrame([], FOUND)
+        return spark.createDataFrame([], FOUND)
+    q = scaled(got.column(1).combine_chunks(), scale)
     floor = np.full(len(ids), -np.inf)  # what queries reach among themselves
     for i in range(0, len(ids), 512):
         s = q[i : i + 512] @ q.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         if len(ids) > k:
             floor[i : i + 512] = np.partition(s, -k, axis=1)[:, -k]
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q, floor))  # at most a round's queries
+    sent = spark.sparkContext.broadcast((ids, q, floor))  # at most a round's queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor = sent.value
         tree, best = cover_tree(q), Best(floor, k)
-
-        def search(part: list[pa.RecordBatch]) -> None:
-            t = pa.Table.from_batches(part).combine_chunks()
-            x, own = _scaled(t.column(1).combine_chunks(), scale), t.column(0).to_numpy()
-            dual_search(q, ids, best, x, own, (tree, cover_tree(x)))
-
-        held: list[pa.RecordBatch] = []
         for b in batches:
-            for at in range(0, b.num_rows, block):
-                held.append(b.slice(at, block))
-                if sum(h.num_rows for h in held) >= block:
-                    search(held)
-                    held = []
-        if held and sum(h.num_rows for h in held):
-            search(held)
+            for own, _, x, flat in opened(b):
+                dual_search(q, ids, best, x, own, (tree, grown_tree(*flat)))
         yield pa.record_batch([pa.array(c) for c in best.rows(ids)], ["query_id", "vec_id", "score"])
 
-    return map_batches(rows, run, FOUND)
+    return map_batches(blocks, run, FOUND)

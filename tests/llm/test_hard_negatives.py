@@ -81,3 +81,19 @@ def test_blocks_hold_every_row_once(spark):
             ids += list(own)
             assert x.shape == (len(own), 6) and len(labels) == len(own)
     assert sorted(ids) == sorted(r[0] for r in rows) and max(sizes) <= 64
+
+
+def test_stored_cover_trees():
+    """A tree that was stored and grown again has the same nodes over the same rows."""
+    from glyphmill.llm import topk
+
+    r = np.random.default_rng(2)
+    x = np.floor(256 * r.normal(size=(700, 5)))
+    order, *flat = topk.flat_tree(x)
+    assert sorted(order) == list(range(700))
+
+    def walk(node, rows):
+        below = [walk(c, rows) for c in node.children]
+        return (tuple(node.center), node.radius, sorted(rows[node.rows].tolist()) if not below else [], below)
+
+    assert walk(topk.grown_tree(*flat), order) == walk(topk.cover_tree(x), np.arange(700))
