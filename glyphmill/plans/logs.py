@@ -126,8 +126,9 @@ PHASE_SPANS = 'SELECT event_type, min(event_id) AS first_event, max(event_id) AS
 
 
 def parse_props(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "event_id", "ts", "props")
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 [Stage2a] Epoch "), F.get_json_object("props", "$.k"), F.lit(" | avg_loss=0.5"))
+    e = table(spark, sf_dir, "events", "event_id", "ts", "value", "props")
+    loss = F.concat(F.floor("value").cast("string"), F.lit("."), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 [Stage2a] Epoch "), F.get_json_object("props", "$.k"), F.lit(" | avg_loss="), loss)
     e = e.select("event_id", line.alias("line"))
     return e.select(
         "event_id", F.regexp_extract("line", r"\[Stage2a\] Epoch (\d+)", 1).cast("int").alias("epoch"), F.regexp_extract("line", r"avg_loss=([0-9.]+)", 1).cast("double").alias("loss"),
@@ -135,7 +136,8 @@ def parse_props(spark, sf_dir):
     )
 
 
-PARSE_PROPS = "SELECT event_id, (props->>'$.k')::INT AS epoch, 0.5::DOUBLE AS loss, floor(epoch_us(ts) / 1000000)::BIGINT AS seconds FROM events"
+PARSE_PROPS = """
+SELECT event_id, (props->>'$.k')::INT AS epoch, (floor("value")::BIGINT || '.' || lpad((event_id % 10000)::VARCHAR, 4, '0'))::DOUBLE AS loss, floor(epoch_us(ts) / 1000000)::BIGINT AS seconds FROM events"""
 
 
 def _log_lines(spark, sf_dir):

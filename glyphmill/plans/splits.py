@@ -50,12 +50,18 @@ SPLIT_90 = f"SELECT final_split, count(*) AS \"rows\", sum(p_partkey)::BIGINT AS
 
 
 def split_leakage_check(spark, sf_dir):
-    split = split_group_80_10_10(spark, sf_dir)
-    sides = split.groupBy("o_custkey").agg(F.count_distinct("final_split").alias("sides"))
-    return sides.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("sides") > 1).alias("leaking"))
-
-
-SPLIT_LEAKAGE = "SELECT count(DISTINCT o_custkey) AS groups, 0::BIGINT AS leaking FROM orders"
+    """Customers on more than one side, of a split of customers (none may be) and of one of their orders alone."""
+    grouped = split_group_80_10_10(spark, sf_dir).select(F.lit("by_group").alias("kind"), "o_custkey", "final_split")
+    rows = split_rows(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey").select(F.lit("by_row").alias("kind"), "o_custkey", "final_split")
+    sides = grouped.unionAll(rows).distinct().groupBy("kind", "o_custkey").agg(F.count(F.lit(1)).alias("sides"))
+    return sides.groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("sides") > 1).alias("leaking"))
+
+
+SPLIT_LEAKAGE = f"""
+WITH s AS (
+  SELECT 'by_group' AS kind, o_custkey, final_split FROM ({SPLIT_GROUP})
+  UNION ALL SELECT 'by_row', o_custkey, {_SPLIT.format(h=0.2)} FROM (SELECT o_custkey, {_RANKED.format(p='', k='o_orderkey')} FROM orders))
+SELECT kind, count(*) AS groups, count(*) FILTER (sides > 1) AS leaking FROM (SELECT kind, o_custkey, count(DISTINCT final_split) AS sides FROM s GROUP BY ALL) GROUP BY kind"""
 
 
 def split_by_source(spark, sf_dir):
