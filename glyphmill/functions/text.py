@@ -172,3 +172,13 @@ def image_name(name: Column, prefix: str | None = None) -> Column:
     """File name with the ending .png and, unless it is there, a prefix."""
     out = F.regexp_replace(name, r"\.[^.]+$", ".png")
     return out if prefix is None else F.when(out.startswith(prefix), out).otherwise(F.concat(F.lit(prefix), out))
+
+
+def source_tag(source: Column) -> Column:
+    """Tag of a handwriting subset in file names: its prefix in short (fixed values)."""
+    return F.replace(source, F.lit("UIT_HWDB_"), F.lit("uit_"))
+
+
+def utf8(text: Column) -> Column:
+    """Bytes of a text as they are stored in samples; `F.decode` gives the text back."""
+    return F.encode(text, "UTF-8")

@@ -65,6 +65,11 @@ def percent(value: Column) -> Column:
     return F.concat(places(value * 100, 1), F.lit("%"))
 
 
+def bar(share: Column, width: int = 50) -> Column:
+    """A share as a bar of blocks, `width` of them for all."""
+    return F.repeat(F.lit("█"), F.floor(share * width).cast("int"))
+
+
 def timing_line(steps: Sequence[tuple[str, Column]]) -> Column:
     """One line of the steps' seconds and their total."""
     parts = [F.concat(F.lit(f"{name}: "), places(seconds, 2), F.lit("s")) for name, seconds in steps]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions.corrector import predict
+from glyphmill.functions.text import source_tag, utf8
 from glyphmill.operators.gates import Counters, gated
 from glyphmill.operators.intervals import interval_join
+from glyphmill.operators.reports import bar
 from glyphmill.plans.common import table
 
 
@@ -62,7 +65,28 @@ def model_candidates(spark, sf_dir):
 
 MODEL_CANDIDATES = "SELECT p_partkey, upper(reverse(p_brand)) AS candidate FROM part"
 
+
+def source_bars(spark, sf_dir):
+    """Documents a source: count, share as text, and a bar of it."""
+    d = table(spark, sf_dir, "documents", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))  # a row a source
+    return d.select(source_tag(F.concat(F.lit("UIT_HWDB_"), "source")).alias("tag"), "n", bar(share).alias("bar"))
+
+
+SOURCE_BARS = "SELECT 'uit_' || source AS tag, n, repeat('█', floor(n / sum(n) OVER () * 50)::INT) AS bar FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)"
+
+
+def stored_labels(spark, sf_dir):
+    """Labels as bytes of a sample store, and whether they come back as they were."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", F.octet_length(utf8(F.col("text"))).alias("bytes"), F.md5(utf8(F.col("text"))).alias("digest"), (F.decode(utf8(F.col("text")), "UTF-8") == F.col("text")).alias("same"))
+
+
+STORED_LABELS = "SELECT doc_id, octet_length(encode(text)) AS bytes, md5(text) AS digest, decode(encode(text)) = text AS same FROM documents"
+
 QUERIES = {
+    "source_bars": (source_bars, SOURCE_BARS),
+    "stored_labels": (stored_labels, STORED_LABELS),
     "gated_orders": (gated_orders, GATED_ORDERS),
     "observed_counters": (observed_counters, OBSERVED_COUNTERS),
     "balance_bands": (balance_bands, BALANCE_BANDS),

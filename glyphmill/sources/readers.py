@@ -108,6 +108,14 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "path", F.col("length").alias("bytes"), size["width"].alias("width"), size["height"].alias("height"))
 
 
+def read_fonts(spark: SparkSession, path: str) -> DataFrame:
+    """font_no (from 0, in order of names), name, path of the .ttf files of a folder; no rows if there are none or no folder."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "font_no long, name string, path string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttf").load(path).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    return files.select((F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("font_no"), "name", "path")  # a folder's file names
+
+
 def png_size(content: Column) -> Column:
     """struct(width, height) from the header of a PNG, without decoding it; nulls for anything else."""
     ok = (F.octet_length(content) >= 24) & (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A")

@@ -156,3 +156,10 @@ def test_streaming_counts_equal_batch(spark, sf, tmp_path):
     assert {r["event_type"]: r["count"] for r in want} == {r["event_type"]: r["n"] for r in got.groupBy("event_type").agg(F.sum("n").alias("n")).collect()}
     St.append_to(St.read_arrivals(spark, str(src), batch.schema), str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_fonts_in_order(spark, tmp_path):
+    for name in ("b.ttf", "a.ttf", "c.otf"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [(r["font_no"], r["name"]) for r in R.read_fonts(spark, str(tmp_path)).orderBy("font_no").collect()] == [(0, "a.ttf"), (1, "b.ttf")]
+    assert R.read_fonts(spark, str(tmp_path / "none")).count() == 0
