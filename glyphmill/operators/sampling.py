@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,21 +61,24 @@ def mixed_batches(first: DataFrame, second: DataFrame, key: str, size: int, rati
 def pseudo_lines(df: DataFrame, by: Sequence[str], key: str, label: str, word_share: float, least: int, most: int, seed: int = 42) -> DataFrame:
     """Labels of pseudo-lines in each batch: a sample stays alone with probability `word_share`, else it takes
     the next `least` to `most` samples (itself included, fewer at the end). Draws are hashes of the key."""
-    import hashlib
-
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by) + ", line_no int, words int, label string"
-
-    def draw(k, what: str) -> float:
-        return int(hashlib.md5(f"{k}{what}{seed}".encode()).hexdigest()[:12], 16) / 16**12
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(part[key], part[label]), key=lambda r: (hashlib.md5(f"{r[0]}{seed}".encode()).hexdigest(), str(r[0])))
-        out, i = [], 0
-        while i < len(rows):
-            n = 1 if draw(rows[i][0], "alone") < word_share else least + int(draw(rows[i][0], "count") * (most - least + 1))
-            group = [r[1] for r in rows[i : i + n]]
-            out.append((*(part[c].iloc[0] for c in by), len(out), len(group), " ".join(x or "" for x in group)))
-            i += n
-        return pd.DataFrame(out, columns=[*by, "line_no", "words", "label"])
-
-    return df.select(*by, key, label).groupBy(*by).applyInPandas(run, schema)
+    text = F.col(key).cast("string")
+    draw = lambda what: F.conv(F.substring(F.md5(F.concat(text, F.lit(f"{what}{seed}"))), 1, 12), 16, 10).cast("double") / float(16**12)
+    takes = F.when(draw("alone") < word_share, 1).otherwise(least + F.floor(draw("count") * (most - least + 1))).cast("int")
+    sample = F.struct(F.md5(F.concat(text, F.lit(str(seed)))).alias("h"), text.alias("k"), takes.alias("takes"), F.coalesce(F.col(label), F.lit("")).alias("label"))
+    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(sample)).alias("rows"))  # a batch
+
+    def line(words: Column, label: Column) -> Column:
+        return F.struct(words.cast("int").alias("words"), label.alias("label"))
+
+    def state(left: Column, open_: Column, done: Column) -> Column:
+        return F.struct(left.cast("int").alias("left"), open_.alias("open"), done.alias("done"))
+
+    def add(acc: Column, x: Column) -> Column:
+        first = acc["left"] == 0
+        grown = F.when(first, line(F.lit(1), x["label"])).otherwise(line(acc["open"]["words"] + 1, F.concat_ws(" ", acc["open"]["label"], x["label"])))
+        done = F.when(first & (acc["open"]["words"] > 0), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return state(F.when(first, x["takes"]).otherwise(acc["left"]) - 1, grown, done)
+
+    lines = F.array().cast("array<struct<words:int,label:string>>")
+    folded = F.aggregate("rows", state(F.lit(0), line(F.lit(0), F.lit("")), lines), add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    return rows.select(*by, F.posexplode(folded).alias("line_no", "l")).select(*by, "line_no", "l.words", "l.label")
