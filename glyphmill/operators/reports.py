@@ -56,8 +56,11 @@ def markdown_table(df: DataFrame, columns: Sequence[str], order: str) -> DataFra
 
 
 def places(value: Column | str, digits: int) -> Column:
-    """A number as text with so many places."""
-    return F.format_string(f"%.{digits}f", (F.col(value) if isinstance(value, str) else value).cast("double"))
+    """A number as text with so many places, null for null; halves are those of the binary value, exact ones go to the even digit, as in C."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    half = float(f"5e-{digits + 1}")  # the one value that Java's format takes for an exact half though it is none
+    out = F.call_function("format_number", value, F.lit(f"0.{'0' * digits}"))
+    return F.when(value == half, f"{half:.{digits}f}").when(value == -half, f"{-half:.{digits}f}").otherwise(out)
 
 
 def percent(value: Column) -> Column:
@@ -71,10 +74,10 @@ def bar(share: Column, width: int = 50) -> Column:
 
 
 def timing_line(steps: Sequence[tuple[str, Column]]) -> Column:
-    """One line of the steps' seconds and their total."""
+    """One line of the steps' seconds and their total; null if one is."""
     parts = [F.concat(F.lit(f"{name}: "), places(seconds, 2), F.lit("s")) for name, seconds in steps]
     total = F.concat(F.lit("**Total: "), places(sum((seconds for _, seconds in steps), F.lit(0.0)), 2), F.lit("s**"))
-    return F.concat_ws(" │ ", *parts, total)
+    return F.concat(*[c for part in parts for c in (part, F.lit(" │ "))], total)
 
 
 def listing(df: DataFrame, by: Sequence[str], order: Sequence[Column], line: Column) -> DataFrame:

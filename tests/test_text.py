@@ -113,3 +113,26 @@ def test_desegment_and_formats(spark):
     assert column(spark, ["a_b c__d", ""], T.desegment) == ["a b c  d", ""]
     row = spark.range(1).select(Rp.places(F.lit(1.0049), 2), Rp.percent(F.lit(0.1234)), Rp.timing_line([("a", F.lit(1.0)), ("b", F.lit(0.25))])).first()
     assert tuple(row) == ("1.00", "12.3%", "a: 1.00s │ b: 0.25s │ **Total: 1.25s**")
+
+
+def test_places_round_the_binary_value(spark):
+    from glyphmill.operators import reports as Rp
+
+    values = [6.01875, 1.78125, 13.15625, 4.26875, 0.00005, 0.00015, 0.03125, 0.09375, 2.5, 0.0, 1.0, 12345.67895, 0.99995, -0.00004, -1.78125, 1e-9, 0.05, -0.005]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(*[Rp.places("v", n).alias(str(n)) for n in (1, 2, 4)]).collect()
+    assert [tuple(r) for r in got] == [tuple(f"{v:.{n}f}" for n in (1, 2, 4)) for v in values]
+
+
+def test_previews_are_those_of_the_sql(spark, tmp_path):
+    """Rates that end in a half of the fourth place (exact, and below it in binary), and a null text."""
+    import duckdb
+
+    from glyphmill.plans import evaluation as E
+
+    texts = [("a" * 32, "b" * 57), ("a" * 32, "b" * 33 + "a" * 5), ("a" * 160, "b" * 963), ("a" * 160, "b" * 683), (None, "b"), ("a", None), ("", "b"), ("a", "a")]
+    rows = [(i, turn, role, t) for i, pair in enumerate(texts) for turn, (role, t) in enumerate(zip(("user", "assistant"), pair))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, E.sample_preview(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(E.SAMPLE_PREVIEW).fetchall(), key=key)
