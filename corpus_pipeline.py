@@ -31,7 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are similar to 4/5 or more the one with the smallest id stays.
 
-    Exactly one row of a group: ties go to the smaller text hash, then to the least row by all columns; rows
+    Candidates come from SimHash fingerprints over op2's index of byte positions; what it links is verified on the
+    shingles themselves. Exactly one row of a group: ties go to the smaller text hash, then to the least row by all columns; rows
     without id come last. Null and wordless texts are one group.
     """
     return apart(drop_near_copies(docs))

@@ -1,13 +1,14 @@
-"""Near copies by the true similarity of their word shingles, over an inverted index of byte positions.
+"""Near copies by the true similarity of their word shingles, found by SimHash over op2's index of byte positions.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least
-4/5. At that similarity a 64-bit SimHash often differs in over ten bits, too many for an index, so the
-positional bytes are those of a MinHash sketch: two sketches agree in a position with a probability of
-their texts' similarity. The index posts groups of four positions; pairs that meet in a list have all
-their shared bytes tallied, those below a threshold are dropped. What is linked then is verified on
-the whole sets. A pair of similarity 4/5 meets in no list with probability 2.5e-5 and is below the
-threshold with probability 1.1e-6; more similar pairs are missed less. Lists and groups hand on spanning forests,
-never their pairs.
+4/5. Every text has a SimHash fingerprint of its whole set, which links at three or fewer differing bits, as in
+`simhash`. At that similarity it often differs in over ten bits, so a text has 20 more fingerprints: each
+the SimHash of a sample of four shingles, those with the least products with four multipliers, which two texts share
+with a probability of their similarity each. All go through the same index of positional bytes, with its count of
+shared bytes and its verification of bits (one differing bit in samples). Texts that meet in a fingerprint have 80 bytes of their
+samples tallied, those below a threshold are dropped; what is linked then is verified on the whole sets. A pair of
+similarity 4/5 meets in no sample's fingerprint with probability 2.5e-5 and is below the threshold with
+probability 1.1e-6; more similar pairs are missed less. Lists and groups hand on spanning forests, never their pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.components import connected_components
 from glyphmill.llm.shared import fresh, map_batches, small, store
+from glyphmill.llm.simhash import links as fingerprint_links
+from glyphmill.llm.simhash import majority
 
 SEED, SHINGLE = 42, 5
-#: Lists that a sketch is posted in (groups of four positional bytes), bytes that two sketches have to share.
-LISTS, SHARED = 20, 46
+#: Samples of four shingles that have a fingerprint each, bits in which theirs may differ, bytes that two sketches have to share.
+SAMPLES, BITS, SHARED = 20, 1, 46
 #: Longer lists, and groups of more shingles, are split into blocks of about this size, and the pairs of blocks into tasks.
 LIST, SHINGLES = 4096, 1_000_000
-_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, 4 * LISTS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, 4 * SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_INVERSES = np.array([pow(int(m), -1, 1 << 64) for m in _MULTIPLIERS], np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -44,28 +48,47 @@ def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.n
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64))
 
 
-def sketch(found: np.ndarray, at_once: int = 4096) -> np.ndarray:
-    """Positional bytes of a set: a middle byte of the least product with each multiplier."""
+def sample(found: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """The least product of a set's hashes with each multiplier."""
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
     for i in range(0, len(found), at_once):
         least = np.minimum(least, (_MULTIPLIERS[:, None] * found[None, i : i + at_once]).min(1))
+    return least
+
+
+def positional(least: np.ndarray) -> np.ndarray:
+    """A middle byte of each least product."""
     return (least >> np.uint64(24)).astype(np.uint8)
 
 
+def sketch(found: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Positional bytes of a set."""
+    return positional(sample(found, at_once))
+
+
+def fingerprints(least: np.ndarray) -> np.ndarray:
+    """SimHashes of the samples of each row of least products; numbers of their own tell the samples apart."""
+    hashes = (least * _INVERSES).reshape(-1, 4)  # of the shingles that have the least products
+    return majority(hashes).reshape(-1, SAMPLES) ^ _MULTIPLIERS[::4]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Stored table doc_id, mark (hash of the text), node (digest of the shingle set), sketch (a list's four bytes each) of every row."""
+    """Stored table of every row: doc_id, mark (hash of the text), node (digest of the shingle set), sketch (four bytes a
+    number), whole (SimHash of the set), fps (SimHashes of the samples)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, bytes_ = [], np.zeros((b.num_rows, 4 * LISTS), np.uint8)
-            for row, x in zip(bytes_, b.column(2)):
+            nodes, whole, least = [], np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 4 * SAMPLES), np.uint64)
+            for i, x in enumerate(b.column(2)):
                 found = shingles(x.as_py())
-                row[:] = sketch(found)
+                least[i] = sample(found)
+                whole[i] = majority(found[None])[0]
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest())
-            parts = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * LISTS, bytes_.view("<i4").ravel())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes, pa.string()), parts], ["doc_id", "mark", "node", "sketch"])
+            lists = lambda values: pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * SAMPLES, values.ravel())
+            parts, fps = lists(positional(least).view("<i4")), lists(fingerprints(least).view(np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes, pa.string()), parts, pa.array(whole.view(np.int64)), fps], ["doc_id", "mark", "node", "sketch", "whole", "fps"])
 
-    return store(map_batches(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, node string, sketch array<int>"), "sketches")
+    return store(map_batches(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, node string, sketch array<int>, whole long, fps array<long>"), "sketches")
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -144,12 +167,19 @@ def _search(rows: DataFrame, keys: list[str], value: str, find: Callable[[pa.Arr
 
 
 def links(distinct: DataFrame, longest: int = LIST) -> DataFrame:
-    """a, b: links between sketches (node, sketch; nodes distinct) that connect the same groups as all links the index finds."""
-    index = distinct.select("node", "sketch", F.posexplode("sketch").alias("list", "part"))
-    sizes = index.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = store(sizes.select("list", "part", F.ceil(F.col("n") / longest).cast("int").alias("cuts")), "lists")
-    blobs = index.join(small(sizes), ["list", "part"])
-    return _search(blobs, ["list", "part"], "sketch", lambda v: alike(v.flatten().to_numpy().astype("<i4").view(np.uint8).reshape(len(v), -1)))
+    """a, b: links between sketches (node, sketch, whole, fps; nodes distinct) that connect the same groups as all links the index finds.
+
+    Fingerprints that `fingerprint_links` connects are one class; the texts of a class are the ones that meet.
+    """
+    near = fingerprint_links(distinct.select(F.col("whole").alias("fp")).distinct())
+    near = near.unionAll(fingerprint_links(distinct.select(F.explode("fps").alias("fp")).distinct(), BITS))
+    classes = store(connected_components(near), "classes")
+    fps = distinct.select("node", F.explode(F.array_append("fps", F.col("whole"))).alias("fp"))
+    index = fps.join(small(classes), F.col("fp") == classes["node"], "left").select(fps["node"], F.coalesce("component", "fp").alias("class"))
+    sizes = index.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = store(sizes.select("class", F.ceil(F.col("n") / longest).cast("int").alias("cuts")), "lists")
+    blobs = index.join(small(sizes), "class").join(distinct.select("node", "sketch"), "node")
+    return _search(blobs, ["class"], "sketch", lambda v: alike(v.flatten().to_numpy().astype("<i4").view(np.uint8).reshape(len(v), -1)))
 
 
 def verified(docs: DataFrame, members: DataFrame, block: int = SHINGLES) -> DataFrame:
@@ -180,7 +210,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     rows = sketches(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    distinct = store(rows.groupBy("node").agg(least, F.first("sketch").alias("sketch")), "distinct")
+    distinct = store(rows.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("sketch", "whole", "fps")]), "distinct")
     members = store(connected_components(links(distinct)).join(distinct.select("node", "first"), "node"), "members")
     comp = connected_components(verified(docs, members))
     found = store(comp.join(distinct.select("node", "first"), "node"), "found")

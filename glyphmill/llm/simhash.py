@@ -27,8 +27,10 @@ SEED, SHINGLE, BITS = 42, 3, 3
 LIST = 4096
 
 
-def blocks() -> list[tuple[int, ...]]:
-    """The 14 quadruples of positions 0 to 7 whose exclusive or is zero."""
+def blocks(bits: int = BITS) -> list[tuple[int, ...]]:
+    """The 14 quadruples of positions 0 to 7 whose exclusive or is zero; two halves where one position at most may differ."""
+    if bits < 2:
+        return [(0, 1, 2, 3), (4, 5, 6, 7)]
     return [q for q in combinations(range(8), 4) if not q[0] ^ q[1] ^ q[2] ^ q[3]]
 
 
@@ -51,8 +53,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return int(majority(h[None])[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each row of 64-bit hashes: a bit is set if over half of them have it."""
+    rows, n = hashes.shape
+    ones = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(rows, n, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,7 +109,7 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("the index of four shared bytes covers up to 3 differing bits")
-    lists = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(mask(q))).alias("part")) for i, q in enumerate(blocks())])
+    lists = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(mask(q))).alias("part")) for i, q in enumerate(blocks(bits))])
     index = fps.select("fp", F.explode(lists).alias("k")).select("fp", "k.block", "k.part")
     sizes = index.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = store(sizes.select("block", "part", F.ceil(F.col("n") / longest).cast("int").alias("cuts")), "lists")

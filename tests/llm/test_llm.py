@@ -745,3 +745,28 @@ def test_pipeline_runs_on_odd_tables(spark, tmp_path):
     for _, part in packed.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 2048
+
+
+def test_near_copies_meet_through_simhash(spark, monkeypatch):
+    """The stage's candidates are SimHash fingerprints in op2's index; pairs far beyond its three bits meet by samples of their shingles."""
+    import corpus_pipeline
+
+    asked, original = [], simhash.links
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda fps, bits=simhash.BITS: asked.append(bits) or original(fps, bits))
+    base = words(300, 5).split()
+    far = " ".join(w if at % 43 else "changed" for at, w in enumerate(base))
+    a, b = (near_copies.shingles(" ".join(t)) for t in (base, far.split()))
+    both = len(np.intersect1d(a, b))
+    assert 0.75 < both / (len(a) + len(b) - both) < 0.9 and int(simhash.majority(a[None])[0] ^ simhash.majority(b[None])[0]).bit_count() > 3
+    rows = [(1, " ".join(base)), (2, far), (3, words(300, 6))]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
+    assert kept == {rows[i][0] for i in brute_near_copies(rows)} and sorted(asked) == [1, 3]
+
+
+def test_samples_share_fingerprints_as_often_as_sets_are_alike():
+    r, met = np.random.default_rng(5), []
+    for _ in range(200):
+        x = r.integers(0, 1 << 63, 1100, np.uint64)
+        a, b = (near_copies.fingerprints(near_copies.sample(s)) for s in (x[:1000], x[111:]))  # similarity 0.81
+        met.append((a == b).mean())
+    assert abs(np.mean(met) - (889 / 1100) ** 4) < 0.03 and min(met) > 0
