@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -85,7 +86,8 @@ def pack_segments(text: Column, longest: int) -> Column:
         pieces = F.transform(F.split(text, f"(?U){pattern}"), trim_spaces)
         parts = F.filter(pieces, lambda p, i: (i == 0) | (p != ""))
         fit = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda s: F.length(s) <= longest), found)
-        return F.when(text.rlike(f"(?U){pattern}"), bound(parts, lambda p: bound(joined_parts(p, ", ", longest), fit)))
+        word = max(re.split(r"\\s[*+]", pattern), key=len)  # looked for first, which is much faster
+        return F.when(F.contains(text, F.lit(word)) & text.rlike(f"(?U){pattern}"), bound(parts, lambda p: bound(joined_parts(p, ", ", longest), fit)))
 
     words = bound(F.array_remove(F.split(text, rf"(?U)[{SPACES}]+"), ""), lambda w: joined_parts(w, " ", longest))
     by_words = bound(words, lambda found: F.when(F.size(found) > 0, found))

@@ -11,10 +11,14 @@ from glyphmill.sources.readers import spread
 _LONG = {"documents": "text", "conversations": "text", "pages": "html"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+#: Rows of a task where each text is much work.
+HEAVY = 4096
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, rows: int | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
-    return spread(df) if _LONG.get(name) in df.columns else df
+    return spread(df, rows) if _LONG.get(name) in df.columns else df
 
 
 #: White space of any kind, for SQL engines whose \s is ASCII only.

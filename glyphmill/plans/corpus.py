@@ -9,7 +9,7 @@ from glyphmill.operators import gazetteer as G
 from glyphmill.operators import sampling as S
 from glyphmill.operators import training as T
 from glyphmill.operators.ranking import bucketed_rank
-from glyphmill.plans.common import SPACES, table
+from glyphmill.plans.common import HEAVY, SPACES, table
 
 
 def sentence_extract(spark, sf_dir):
@@ -42,7 +42,7 @@ SELECT doc_id, count(*) AS good, sum(length(s))::BIGINT AS chars, min(md5(s)) AS
 
 
 def pack_segments(spark, sf_dir):
-    s = C.raw_sentences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").filter(F.length("sentence") >= 8)
+    s = C.raw_sentences(table(spark, sf_dir, "documents", "doc_id", "text", rows=HEAVY), "doc_id", "text").filter(F.length("sentence") >= 8)
     seg = s.select("doc_id", F.explode(C.pack_segments(F.col("sentence"), 60)).alias("segment"))
     return seg.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"), F.max(F.length("segment")).alias("longest"))
 

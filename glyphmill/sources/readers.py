@@ -26,11 +26,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df`, a scan, dealt anew where fewer of its splits hold rows than there are cores (a file of one row group
     is one task, however large). Tables of many splits, which are all large ones, are left as they are.
+
+    With `rows`, what a task gets does not grow with the table: a scan with a split of over twice as many rows
+    is dealt into tasks of about so many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        sizes = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+        busy, most, n = sizes.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
+        return df if not n or busy >= cores and most <= 2 * rows else df.repartition(max(2 * cores, -(-n // rows)))
     if df.rdd.getNumPartitions() >= 4 * cores:
         return df
     busy = df.select(F.spark_partition_id().alias("split")).distinct().count()

@@ -163,3 +163,18 @@ def test_fonts_in_order(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     assert [(r["font_no"], r["name"]) for r in R.read_fonts(spark, str(tmp_path)).orderBy("font_no").collect()] == [(0, "a.ttf"), (1, "b.ttf")]
     assert R.read_fonts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_heavy_texts_are_dealt_by_rows(spark, tmp_path):
+    """Tasks do not grow with the table, in as many splits as there are cores or in one."""
+    import re
+
+    from glyphmill import registry
+
+    for files in (1, 8):
+        path = f"{tmp_path}/{files}"
+        spark.range(90_000).selectExpr("id AS doc_id", "concat('Wort ', id, ' und noch eins.') AS text").repartition(files).write.parquet(f"{path}/documents.parquet")
+        for name in ("pack_segments",):
+            df = registry.queries()[name](spark, path)
+            dealt = [int(n) for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", df._jdf.queryExecution().toString())]
+            assert dealt and max(dealt) == 22 and df.count() == 90_000
