@@ -117,7 +117,7 @@ def sanitize(text: Column) -> Column:
     out = F.regexp_replace(out, MARK_RUN, "$1 $1")
     out = F.regexp_replace(out, END_RUN, "")
     out = trim_spaces(F.regexp_replace(out, rf"(?U)[{SPACES}]{{2,}}", " "))
-    return F.when(trim_spaces(text) == "", text).otherwise(out)
+    return F.when(~text.rlike(rf"(?U)[^{SPACES}]"), text).otherwise(out)
 
 
 def has_hallucination(text: Column) -> Column:

@@ -9,7 +9,7 @@ from glyphmill.operators.quality import RENDER_LIMITS, size_reason
 from glyphmill.operators.ranking import bucketed_rank
 from glyphmill.operators.sequence import first_seen, last_write
 from glyphmill.operators.split import split_rows
-from glyphmill.plans.common import LABEL, SPACES, hallucinated, table
+from glyphmill.plans.common import HEAVY, LABEL, SPACES, hallucinated, table
 
 ASCII = [(0x09, 0x0A), (0x20, 0x7E)]
 FRENCH = [(0x09, 0x0A), (0x20, 0x7E), (0xE9, 0xE9)]
@@ -157,7 +157,7 @@ OUTER_LABELS = "SELECT doc_id, lang, coalesce(quality, -1) AS quality, coalesce(
 
 
 def sanitize_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", rows=HEAVY)
     return docs.select("doc_id", F.md5(T.sanitize(F.col("text"))).alias("digest"), F.length(T.sanitize(F.col("text"))).alias("chars"))
 
 

@@ -174,7 +174,7 @@ def test_heavy_texts_are_dealt_by_rows(spark, tmp_path):
     for files in (1, 8):
         path = f"{tmp_path}/{files}"
         spark.range(90_000).selectExpr("id AS doc_id", "concat('Wort ', id, ' und noch eins.') AS text").repartition(files).write.parquet(f"{path}/documents.parquet")
-        for name in ("pack_segments",):
+        for name in ("pack_segments", "sanitize_text"):
             df = registry.queries()[name](spark, path)
             dealt = [int(n) for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", df._jdf.queryExecution().toString())]
             assert dealt and max(dealt) == 22 and df.count() == 90_000
