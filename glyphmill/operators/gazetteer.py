@@ -170,7 +170,8 @@ def correct_addresses(df: DataFrame, names: DataFrame, text: str) -> DataFrame:
     close name stay, and so do texts without keyword, or with the control characters U+0001 and U+0002.
     """
     own = F.col("text")
-    texts = df.select(F.col(text).alias("text")).filter(is_address_like(F.col(text)) & ~F.col(text).rlike(f"[{_CUT}{_GAP}]")).distinct()
+    asked = is_address_like(own) & ~own.rlike(f"[{_CUT}{_GAP}]")
+    texts = df.select(F.col(text).alias("text")).distinct().withColumn("_asked", F.explode(F.array(asked))).filter("_asked").drop("_asked")  # generated, so that only distinct texts are looked at
     found = place_names(texts).join(own_provinces(texts, names), "text", "left")
     word = trim_spaces(F.col("mark"))
     letter = F.when(word.isin(PROVINCE_KEYWORDS), "P").when(word.isin(DISTRICT_KEYWORDS), "D").when(word.isin(WARD_KEYWORDS), "W").otherwise("X")

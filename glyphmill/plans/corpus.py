@@ -10,6 +10,10 @@ from glyphmill.operators import sampling as S
 from glyphmill.operators import training as T
 from glyphmill.operators.ranking import bucketed_rank
 from glyphmill.plans.common import HEAVY, SPACES, table
+from glyphmill.sources.readers import spread
+
+#: Addresses of a task.
+ADDRESSES = 1 << 16
 
 
 def sentence_extract(spark, sf_dir):
@@ -200,7 +204,7 @@ def address_correction(spark, sf_dir):
     nations = nations.select(F.col("n_name").alias("name"), "province", F.col("n_nationkey").alias("ord"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"])  # some dozens of names
     large, small = regions.agg(listed).scalar(), wards.agg(listed).scalar()
-    c = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", large.alias("large"), small.alias("small"))
+    c = spread(table(spark, sf_dir, "customer", "c_custkey"), ADDRESSES).select("c_custkey", large.alias("large"), small.alias("small"))
     pick = lambda names: F.element_at(names, (F.floor(F.col("c_custkey") / 3) % F.size(names) + 1).cast("int"))
     district = F.concat(F.lit("NATIOM_"), F.col("c_custkey") % 30)
     small, large = F.regexp_replace(pick(F.col("small")), "pp", "p"), F.translate(pick(F.col("large")), "IO", "LQ")

@@ -201,3 +201,20 @@ def test_fuzzy_index_finds_what_all_pairs_find(spark, ratio, near):
     inside = e.filter("length(e) >= 2").join(n.withColumnRenamed("ord", "o"), "s").filter(F.levenshtein("e", "name") / F.greatest(F.length("e"), F.length("name")) <= ratio)
     want = {x["k"]: x["b"]["name"] for x in inside.groupBy("k", "e").agg(F.min(F.struct(F.levenshtein("e", "name").alias("d"), "o", "name")).alias("b")).collect() if x["e"] not in known}
     assert {x["k"]: x["best"] for x in G.fuzzy_match(e, n, "k", "e", "name", scope="s", ratio=ratio, near=near).collect()} == want
+
+
+def test_addresses_are_looked_at_once_each(spark, tmp_path):
+    """Keywords are searched in distinct addresses, not in every row's, and rows of one file are dealt over tasks."""
+    import os
+    import re
+
+    from glyphmill.plans import corpus
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for t in ("region", "nation", "supplier"):
+        os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.range(1, 2_000_001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = corpus.address_correction(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "RLIKE" in line for line in plan.splitlines())
+    assert any(int(n) == 31 for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", df._jdf.queryExecution().toString()))
